@@ -6,7 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pricelode.llm import common, quality_rules, simhash
+from pricelode.llm import common, gam, packing, quality_rules, simhash
+
+
+def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score under 0.5 go; the labels of this corpus train the model."""
+    return gam.keep_quality(docs, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,9 +24,16 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.drop_near_copies(docs)
 
 
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document gets a bucket and a batch."""
+    return packing.pack_documents(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_classifier_stage),
     ("quality rules", quality_rules_stage),
     ("near-duplicates", near_dedup_stage),
+    ("packing", packing_stage),
 ]
 
 #: SQL can't express the classifier or the fingerprints' search.
