@@ -13,7 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows that Spark hands to Python at once. Texts may be long, so this is well below Spark's default.
-BATCH_ROWS = 1000
+BATCH_ROWS = 4000
+BATCH_BYTES = "8m"
 #: Bytes of text that a task works on at once (a longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
 
@@ -50,8 +51,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, since whole texts travel in them."""
+    """Bound the rows and bytes of an Arrow batch, since whole texts travel in them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
