@@ -30,7 +30,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    found = quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+ORACLES["op1_quality_rules"] = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+g AS (SELECT rid, i, ws[i:i + 7] AS run FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM w)),
+again AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, run) > 1),
+covered AS (SELECT rid, count(DISTINCT i + k) AS n FROM again, range(8) AS r(k) GROUP BY rid),
+counts AS (
+  SELECT w.doc_id, w.source, len(ws)::BIGINT AS n_words,
+    coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
+      - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
+    coalesce(covered.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN covered USING (rid)),
+judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counts),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS f FROM judged GROUP BY source),
+sums AS (SELECT count(*) AS h, sum(n) AS n, greatest(least(sum(f) / sum(n), 1 - 1e-6), 1e-6) AS m, sum(n * n) AS nn, sum(f * f / n) AS npp FROM hosts),
+spread AS (SELECT *, CASE WHEN n - nn / n > 0 THEN (npp - n * m * m - (h - 1) * m * (1 - m)) / (n - nn / n) ELSE 0 END AS s FROM sums),
+prior AS (SELECT m, CASE WHEN s > 0 THEN greatest(2, least(1e6, m * (1 - m) / s - 1)) ELSE 1e6 END AS weight FROM spread),
+verdicts AS (SELECT source, (f + m * weight) / (n + weight) > 0.5 AS rejected FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR rejected) AS kept
+FROM judged JOIN verdicts ON judged.source IS NOT DISTINCT FROM verdicts.source
+"""
 
 
 @query
@@ -45,7 +71,20 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.archive_pages(table(spark, sf_dir, "pages"))
+    found = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op4_warc"] = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+first AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS least FROM p),
+digits AS (SELECT *, list_transform(range(4), lambda k: ('0x' || substr(sha1(x), 10 * k + 1, 10))::UBIGINT) AS parts FROM first)
+SELECT page_id, strlen(x)::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((parts[k // 8 + 1] >> (35 - 5 * (k % 8))) & 31)::BIGINT + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = least THEN NULL ELSE least END AS refers_to
+FROM digits
+"""
 
 
 @query
