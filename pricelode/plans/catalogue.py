@@ -20,3 +20,8 @@ def query(sql: str | None = None) -> Callable:
         return function
 
     return add
+
+
+def load() -> None:
+    """Import the modules that register queries."""
+    from pricelode.plans import price_queries  # noqa: F401
