@@ -67,7 +67,7 @@ def euro_echo(c: Column) -> Column:
 
 def cents_price(c: Column) -> Column:
     """P6."""
-    return F.round(c.try_cast("double") / 100, 2)
+    return F.round(_number(F.trim(c)) / 100, 2)
 
 
 def plain_price(c: Column) -> Column:

@@ -19,8 +19,8 @@ def claim(queue: DataFrame, job: str, state: str, ready: Column, order: list[Col
     """(the next ``most`` ready jobs, the queue with them in process)."""
     claimed = queue.where(ready).orderBy(*order).limit(most)
     mark = F.broadcast(claimed.select(job).withColumn("_mine", F.lit(True)))  # ``most`` rows at most
-    after = queue.join(mark, job, "left").withColumn(state, F.when("_mine", F.lit("processing")).otherwise(F.col(state)))
-    after = after.withColumn("claimed_by", F.when("_mine", F.lit(worker))).withColumn("claimed_at", F.when("_mine", as_of)).drop("_mine")
+    after = queue.join(mark, job, "left").withColumn(state, F.when(F.col("_mine"), F.lit("processing")).otherwise(F.col(state)))
+    after = after.withColumn("claimed_by", F.when(F.col("_mine"), F.lit(worker))).withColumn("claimed_at", F.when(F.col("_mine"), as_of)).drop("_mine")
     return claimed, after
 
 
