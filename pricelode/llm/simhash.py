@@ -40,7 +40,7 @@ TAU = 4
 NEAR_SHINGLE = 5
 SIMILARITY = 0.8
 PROBE_SHINGLE = 2
-PROBE_TAU = 8
+PROBE_TAU = 10
 SKETCH_WORDS = 4
 #: Fingerprints of a bucket that one block holds.
 BLOCK = 2048
