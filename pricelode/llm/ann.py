@@ -7,9 +7,10 @@ queue, nearest node first, and visits as many leaves as calibration asks for: fo
 ``TARGET`` of these lie in visited leaves.
 
 Equal vectors are one point that keeps its smallest ids, as many as a result can hold; so a
-vector that a third of the rows share is compared once. Leaves are cut into blocks of bounded
-size, and so are the queries of a leaf; every pair of blocks is one unit of work, and a
-query's best from all its blocks are merged at the end. Scores are cosines in double
+vector that a third of the rows share is compared once. Leaves that are near in the tree form
+at most SHARDS shards; a shard's points are cut into blocks of bounded size, and so are its
+queries. Every pair of blocks is one unit of work, which compares a query with the leaves
+that it visits and gives one row for each query; these are merged at the end. Scores are cosines in double
 precision, of the original vectors.
 
 Defined cases: vectors that are null, zero, of another length than the most frequent one,
@@ -40,7 +41,8 @@ LEAF_ROWS = 200
 MOST_LEAVES = 4096
 CALIBRATION = 96
 TARGET = 0.97
-BLOCK = 2048
+SHARDS = 64
+BLOCK = 8192
 QUERY_BLOCK = 512
 
 
@@ -223,46 +225,59 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
     asked = written(rows.where(is_query).withColumn("key", F.xxhash64("v")), "asked")
     distinct = asked.groupBy("v").agg(F.min("vec_id").alias("query"))
 
+    shards = min(SHARDS, tree.leaves)
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                found = [tree.visits(x, visits) for x in unit(_matrix(batch.column(0)))]
-                at = np.repeat(np.arange(len(found)), [len(f) for f in found])
-                leaf = pa.array(np.concatenate(found).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([leaf, batch.column(1).take(pa.array(at)), batch.column(0).take(pa.array(at))], ["leaf", "query", "v"])
-
-    walks = distinct.select("v", "query").mapInArrow(walk, "leaf int, query long, v array<double>")
-    # Blocks of a leaf's points meet blocks of its queries.
-    sizes = points.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    waits = walks.groupBy("leaf").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("shares"))
-    plan = F.broadcast(written(sizes.join(waits, "leaf"), "plan"))  # a row per leaf: MOST_LEAVES at most, times what splits add
+            rows, shard, lists = [], [], []
+            for i, x in enumerate(unit(_matrix(batch.column(0))) if batch.num_rows else []):
+                leaves = np.sort(tree.visits(x, visits))
+                own = leaves * shards // tree.leaves
+                for s in np.unique(own):
+                    rows.append(i)
+                    shard.append(s)
+                    lists.append(leaves[own == s])
+            if rows:
+                at = pa.array(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shard, pa.int32()), batch.column(1).take(at), batch.column(0).take(at), pa.array(lists, pa.list_(pa.int32()))], ["shard", "query", "v", "leaves"]
+                )
+
+    walks = distinct.select("v", "query").mapInArrow(walk, "shard int, query long, v array<double>, leaves array<int>")
+    points = points.withColumn("shard", F.floor(F.col("leaf") * shards / tree.leaves).cast("int"))
+    sizes = points.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    waits = walks.groupBy("shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("shares"))
+    plan = F.broadcast(written(sizes.join(waits, "shard"), "plan"))  # SHARDS rows at most
     hashed = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = walks.join(plan, "leaf").withColumn("share", hashed("query", "shares")).withColumn("block", every("blocks"))
-    right = points.join(plan, "leaf").withColumn("block", hashed("least_id", "blocks")).withColumn("share", every("shares"))
+    left = walks.join(plan, "shard").withColumn("share", hashed("query", "shares")).withColumn("block", every("blocks"))
+    right = points.join(plan, "shard").withColumn("block", hashed("least_id", "blocks")).withColumn("share", every("shares"))
+    best = pa.list_(pa.struct([("minus", pa.float64()), ("vec_id", pa.int64())]))
 
     def meet(key: tuple, queries: pa.Table, block: pa.Table) -> pa.Table:
         if not queries.num_rows or not block.num_rows:
-            return pa.table({"query": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        q, ids = queries.column("query").to_numpy(), block.column("ids").combine_chunks()
-        score = cosines(_matrix(queries.column("v").combine_chunks()), _matrix(block.column("v").combine_chunks()))
-        # k + 1 points: the query's own may be one; all that tie with the last come along, up to
-        # the k + 1 with the smallest ids
-        least = block.column("least_id").to_numpy()
-        by_id = np.argsort(least, kind="stable")
-        top = by_id[np.argsort(-score[:, by_id], axis=1, kind="stable")[:, : k + 1]]
-        at = np.repeat(np.arange(len(q)), top.shape[1])
-        chosen = ids.take(pa.array(top.ravel()))
-        size = pa.compute.list_value_length(chosen).to_numpy()
-        long = np.repeat(np.arange(len(at)), size)
-        return pa.table({"query": q[at[long]], "vec_id": chosen.flatten(), "score": score[at, top.ravel()][long]})
-
-    keys = ["leaf", "block", "share"]
-    met = left.select(*keys, "query", "v").groupBy(*keys).cogroup(right.select(*keys, "v", "ids", "least_id").groupBy(*keys))
-    met = met.applyInArrow(meet, "query long, vec_id long, score double")
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    met = met.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
-    lists = met.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))).alias("found"))
+            return pa.table({"query": pa.array([], pa.int64()), "found": pa.array([], best)})
+        block = block.sort_by("least_id")
+        lists = queries.column("leaves").to_pylist()
+        x, y = (_matrix(t.column("v").combine_chunks()) for t in (queries, block))
+        leaf = block.column("leaf").to_numpy()
+        score = np.full((len(x), len(y)), -np.inf)
+        for number in np.unique(leaf):
+            some, here = np.flatnonzero([number in own for own in map(set, lists)]), np.flatnonzero(leaf == number)
+            if len(some):
+                score[np.ix_(some, here)] = cosines(x[some], y[here])
+        ids, out = block.column("ids").to_pylist(), []
+        # points stand by their smallest id, so a stable sort breaks ties by it; one of the
+        # k + 1 points may be the query's own
+        for row, top in zip(score, np.argsort(-score, axis=1, kind="stable")[:, : k + 1], strict=True):
+            out.append(sorted((-row[p], i) for p in top if row[p] > -np.inf for i in ids[p])[: k + 1])
+        found = pa.array([[{"minus": m, "vec_id": i} for m, i in o] for o in out], best)
+        return pa.table({"query": queries.column("query"), "found": found})
+
+    keys = ["shard", "block", "share"]
+    met = left.select(*keys, "query", "v", "leaves").groupBy(*keys).cogroup(right.select(*keys, "v", "ids", "least_id", "leaf").groupBy(*keys))
+    met = met.applyInArrow(meet, "query long, found array<struct<minus: double, vec_id: long>>")
+    lists = met.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
     named = lists.join(distinct.select("query", "v"), "query").select("v", "found")
     # every asking row gets its vector's list without itself
     each = asked.join(named, "v").select("vec_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("found"))
