@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from pricelode.functions import scoring
 from pricelode.functions.classify import is_hidden_format
 from pricelode.functions.text import normalized
-from pricelode.operators.history import first_by
 
 
 def top_then_filter(df: DataFrame, order: list[Column], first: int, keep: Column, most: int) -> DataFrame:
@@ -73,6 +72,3 @@ def decide(candidates: DataFrame, key: str, score: str, order: list[Column]) ->
 
 def newest(df: DataFrame, created: str, first: int, keep: Column, most: int, tie: str) -> DataFrame:
     return top_then_filter(df, [F.desc(created), F.asc(tie)], first, keep, most)
-
-
-__all__ = ["artist_facets", "decide", "first_by", "nested_offers", "newest", "search", "suggestions", "top_n", "top_then_filter"]

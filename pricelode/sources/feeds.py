@@ -5,10 +5,8 @@ of one file; nothing else of a file passes through the driver."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -51,16 +49,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     rows = read_csv(spark, path).withColumn("source_file", F.input_file_name())
     # multiLine reads a file in one task and in order: the low bits of the id count its rows
     own = F.monotonically_increasing_id()
-    first = F.min("_id").over(_by_file())
+    first = F.min("_id").over(Window.partitionBy("source_file"))
     return rows.withColumn("_id", own).withColumn("line_number", F.col("_id") - first + 2).drop("_id")
 
 
-def _by_file():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("source_file")
-
-
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
     return [c for c in required if c not in df.columns]
 
@@ -136,11 +128,3 @@ def bundles(spark: SparkSession, path: str, most: int = 20) -> DataFrame:
 def bundles_of(manifests: DataFrame, shops: list[str]) -> DataFrame:
     """The manifests whose shops are exactly these, in whatever order."""
     return manifests.where(F.array_sort(F.array_distinct("selected_shops")) == F.array(*map(F.lit, sorted(set(shops)))))
-
-
-def columns_of(row: Column, names: list[str]) -> list[Column]:
-    return [row.getItem(n).alias(n) for n in names]
-
-
-def safe_name(text: str) -> str:
-    return re.sub(r"[^a-z0-9]+", "-", text.lower()).strip("-")
