@@ -25,3 +25,47 @@ def test_odd_rows_pass_each_stage(cases, no_docs, spark):
     for docs in (cases, no_docs):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, docs, DIR).count() <= docs.count()
+
+
+def test_stages_equal_brute_force(spark):
+    """Each stage on its own input: rules by the SQL of their query, near-duplicates by all
+    pairs, packing by the budget of every batch; the classifier by the labels it keeps."""
+    import duckdb
+    import numpy as np
+    import pyarrow as pa
+
+    from pricelode.llm import queries, simhash
+
+    inputs, outputs = {}, {}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        inputs[name] = docs.toPandas()
+        docs = stage(spark, docs, "/root/testdata/sf0.01").cache()
+        outputs[name] = docs.toPandas()
+
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").toPandas().set_index("doc_id").quality
+    kept = set(outputs["quality classifier"].doc_id)
+    assert np.mean([(d in kept) == (labels[d] == 1) for d in labels.index]) > 0.97
+
+    duck = duckdb.connect()
+    duck.register("documents", inputs["quality rules"])
+    want = {r[0] for r in duck.execute(f"SELECT doc_id FROM ({queries.ORACLES['op1_quality_rules']}) WHERE kept").fetchall()}
+    assert set(outputs["quality rules"].doc_id) == want
+
+    rows = inputs["near-duplicates"].sort_values("doc_id")
+    texts = pa.array(rows.text.tolist())
+    fp, sketch = simhash.fingerprints(texts, simhash.PROBE_SHINGLE), simhash.sketches(texts)
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= simhash.PROBE_TAU
+    near &= np.bitwise_count(sketch[:, None, :] ^ sketch[None, :, :]).sum(axis=2) <= simhash.sketch_bits()
+    root = np.arange(len(rows))
+    while True:
+        least = np.where(near, root[None, :], len(rows)).min(axis=1)
+        if (least == root).all():
+            break
+        root = least
+    assert set(outputs["near-duplicates"].doc_id) == set(rows.doc_id.to_numpy()[root == np.arange(len(rows))])
+
+    packed = outputs["packing"]
+    assert sorted(packed.doc_id) == sorted(outputs["near-duplicates"].doc_id)
+    batches = packed.groupby("batch_id")
+    assert ((batches.bucket_len.max() * batches.size() <= 65_536) | (batches.size() == 1)).all()

@@ -81,6 +81,13 @@ def test_automaton_shares_suffixes_and_numbers_words(tmp_path):
     assert bpe.compile_automaton([])["step"].shape[0] == 1
 
 
+def test_lexicon_takes_whole_steps_of_frequency(spark):
+    text = " ".join(["often"] * 40 + ["seldom", "rarely"] * 3 + ["once"])
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    known = lambda size: bpe.Lexicon(bpe.build_lexicon(docs, WORDS, size=size)).numbers(pa.array([b"often", b"rarely", b"seldom", b"once"], pa.binary())).tolist()
+    assert known(10) == [0, 1, 2, -1] and known(2) == [0, -1, -1, -1] and known(0) == [-1] * 4
+
+
 def test_digests_equal_the_library(cases, no_docs, documents):
     library = Tokenizer.from_file(WORDS)
     sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
