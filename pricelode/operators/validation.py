@@ -34,13 +34,17 @@ def duplicate_classes(df: DataFrame, gtin: str, product_key: str, price: str) ->
 
 
 def reject_duplicates(df: DataFrame, gtin: str, product_key: str, price: str, newest: list[Column]) -> DataFrame:
-    """``df`` with ``reject_reason``: of benign duplicates all but the newest, of conflicting ones all."""
-    group = Window.partitionBy(gtin)
-    n = F.count("*").over(group)
-    one = (F.min(product_key).over(group).eqNullSafe(F.max(product_key).over(group))) & (F.min(price).over(group).eqNullSafe(F.max(price).over(group)))
-    place = F.row_number().over(group.orderBy(*newest))
-    reason = F.when((n == 1) | (one & (place == 1)), F.lit(None).cast("string")).when(one, F.lit("duplicate_same_product_same_price")).otherwise(F.lit("conflicting_duplicate_ean"))
-    return df.withColumn("reject_reason", reason)
+    """``df`` with ``reject_reason``: of benign duplicates all but the newest, of conflicting ones
+    all. Groups are judged by their aggregates, which meet the rows in a join that Spark can
+    split where one code is hot; only rows of benign duplicates are put in order."""
+    judged = duplicate_classes(df.select(F.coalesce(gtin, F.lit("")).alias("_g"), F.col(product_key).alias("_k"), F.col(price).alias("_p")), "_g", "_k", "_p").select("_g", F.col("kind").alias("_kind"))
+    joined = df.withColumn("_g", F.coalesce(gtin, F.lit(""))).join(judged, "_g")
+    reason = F.when(F.col("_kind") == "conflict", F.lit("conflicting_duplicate_ean"))
+    benign = joined.where(F.col("_kind") == "benign")
+    place = F.row_number().over(Window.partitionBy("_g").orderBy(*newest))
+    older = F.when(place > 1, F.lit("duplicate_same_product_same_price"))
+    out = joined.where(F.col("_kind") != "benign").withColumn("reject_reason", reason).unionByName(benign.withColumn("reject_reason", older))
+    return out.drop("_g", "_kind")
 
 
 def conflicts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
