@@ -1,6 +1,6 @@
 """BPE encoding and decoding with a minimal acyclic transducer as the lexicon.
 
-The words of all texts are counted; the ``LEXICON`` most frequent are encoded by exact merges
+The words of all texts are counted; the most frequent, ``LEXICON`` at most, are encoded by exact merges
 and compiled into a minimal acyclic automaton: states that accept the same suffixes are
 one, and a word's number (how many words sort before it, summed along its path) leads to
 its ids. The automaton is one file of plain arrays in the shared folder, memory-mapped by
@@ -36,12 +36,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelode.llm.common import bytes_of, shared_dir, slices, small_batches
+from pricelode.llm.common import bytes_of, shared_dir, slices, small_batches, written
 from pricelode.llm.files import local_path, open_file, write_file
 from pricelode.llm.token_store import CUT_BYTES, Memory
 
 #: Words of the lexicon, at most; the rest is merged when met.
-LEXICON = 20_000
+LEXICON = 40_000
 #: A lexicon word has at most so many bytes.
 LONGEST = 40
 REMEMBERED = 200_000
@@ -308,10 +308,19 @@ class Lexicon:
 
 
 def build_lexicon(docs: DataFrame, tokenizer_path: str, text: str = "text", size: int = LEXICON) -> str:
-    """Compiles the most frequent words of all texts; returns the file's path."""
+    """Compiles the most frequent words of all texts, as many whole steps of frequency as
+    ``size`` holds; returns the file's path."""
     encoder = tokenizer_of(tokenizer_path)
     counts = word_counts(docs, text, list(encoder.special)).where((F.length("word") <= LONGEST) & (F.col("n") > 1))
-    top = counts.orderBy(F.desc("n"), "word").limit(size).collect()  # at most ``size`` short words
+    # Steps of a sixteenth of an octave: the whole histogram is some hundred rows.
+    counts = written(counts.withColumn("step", F.floor(F.log2("n") * 16).cast("int")), "words")
+    least, found = None, 0
+    for row in sorted(counts.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        found += row["count"]
+        if found > size:
+            break
+        least = row["step"]
+    top = counts.where(F.col("step") >= least).select("word").collect() if least is not None else []  # at most ``size`` short words
     path = f"{shared_dir(docs.sparkSession, 'lexicon')}/words.mat"
     write_file(path, Lexicon.pack([_lower(bytes(r["word"])) for r in top], encoder))
     return path
