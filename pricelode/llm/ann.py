@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelode.llm.common import written
+from pricelode.llm.common import smallest_hashes, written
 
 NEIGHBOURS = 5
 FIT_ROWS = 20_000
@@ -162,7 +162,7 @@ def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 def _sample(points: DataFrame, rows: int, salt: int, key: str = "least_id") -> np.ndarray:
     """The vectors of ``rows`` points with the smallest hash of their id."""
-    found = points.select(key, "v").orderBy(F.xxhash64(F.lit(salt), key), key).limit(rows).select("v").toArrow()
+    found = smallest_hashes(points.select(key, "v"), rows, salt, key).select("v").toArrow()
     return _matrix(found.column(0).combine_chunks()) if found.num_rows else np.zeros((0, 1))
 
 

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows that Spark hands to Python at once. Texts may be long, so this is well below Spark's default.
 BATCH_ROWS = 4000
@@ -30,6 +31,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         if _own_dir is None:
             _own_dir = tempfile.mkdtemp(prefix="pricelode-")
         base = _own_dir
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
@@ -50,6 +52,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def smallest_hashes(df: DataFrame, rows: int, salt: int, *keys: str) -> DataFrame:
+    """At most ``rows`` rows: those with the smallest hash of their keys. All but about that
+    many are filtered away first, so that not every task sends its own ``rows``."""
+    hashed = F.shiftrightunsigned(F.xxhash64(F.lit(salt), *keys), 1)
+    total = df.count()
+    if total > 2 * rows:
+        share = (rows + 6 * rows**0.5) / total  # six standard deviations of room
+        df = df.where(hashed < int(share * 2**63))
+    return df.orderBy(hashed, *keys).limit(rows)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows and bytes of an Arrow batch, since whole texts travel in them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

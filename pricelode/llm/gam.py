@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelode.llm.common import bytes_of, doc_of, slices, small_batches, words
+from pricelode.llm.common import bytes_of, doc_of, slices, small_batches, smallest_hashes, words
 
 TRAIN_ROWS = 12_000
 BINS = 48
@@ -221,7 +221,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fo
     rest = remainder(F.col("doc_id"), folds)
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(rest == fold if held_out else rest != fold)
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)  # at most ``rows`` narrow rows: small enough to broadcast
+    known = smallest_hashes(known, rows, 0, "doc_id", "y")  # at most ``rows`` narrow rows: small enough to broadcast
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id").select("y", "text")
 
 
