@@ -33,7 +33,10 @@ def shared_dir(spark: SparkSession, label: str) -> str:
         base = _own_dir
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    # with its scheme, so that tasks open the same store whatever the cluster's default is
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    place = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString()
+    return f"{place.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, label: str) -> DataFrame:

@@ -8,9 +8,13 @@ from pyarrow import fs
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path)
-    return fs.LocalFileSystem(), path
+    """The store of a path and its place in it. Spark's names for stores differ in places:
+    file:/x is file:///x, and s3a is s3."""
+    if path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path.removeprefix("file:")
+    if path.startswith(("s3a://", "s3n://")):
+        path = "s3://" + path.partition("://")[2]
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 def write_file(path: str, data: bytes) -> None:
