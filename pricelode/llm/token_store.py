@@ -21,6 +21,7 @@ columns are ignored.
 from __future__ import annotations
 
 import io
+import os
 import struct
 import uuid
 import zlib
@@ -95,6 +96,7 @@ class ChunkEncoder:
     """Ids of whole texts, through the library, chunk by chunk."""
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
