@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-DATA = Path("/root/testdata")
+from tables import DATA  # noqa: E402
 
 
 @pytest.fixture(scope="session")

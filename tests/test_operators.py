@@ -92,7 +92,7 @@ def test_facets_and_suggestions(spark):
 
 
 def test_filters_reach_the_scan(spark):
-    from conftest import DATA
+    from tables import DATA
 
     from pricelode.plans.price_queries import retention
 

@@ -1,7 +1,7 @@
 """Every query that has SQL gives what DuckDB gives; every other one runs."""
 
 import pytest
-from conftest import DATA
+from tables import DATA
 
 from pricelode.plans import catalogue
 
