@@ -81,14 +81,18 @@ def infer_artist_title(artist: Column, title: Column) -> Column:
     """struct(artist, title): a given artist stands; else the title is split at the first
     separator, by precedence, that leaves both sides, else before a blank behind a hyphen."""
     a, t = collapse(artist), collapse(title)
-    found = F.when(a != "", F.struct(a.alias("artist"), t.alias("title")))
-    for separator in SEPARATORS:
-        left, right = _split_at(t, separator)
-        found = found.when((F.instr(t, F.lit(separator)) > 0) & (left != "") & (right != ""), F.struct(left.alias("artist"), right.alias("title")))
+    pair = lambda x, y: F.struct(x.alias("artist"), y.alias("title"))
+
+    def cut(separator: Column) -> Column:
+        at = F.instr(t, separator)
+        return pair(collapse(F.substring(t, F.lit(1), at - 1)), collapse(F.substring(t, at + F.length(separator), F.length(t))))
+
     hyphen = r"^(.+?)-\s+(.+)$"
-    left, right = collapse(F.regexp_extract(t, hyphen, 1)), collapse(F.regexp_extract(t, hyphen, 2))
-    found = found.when((left != "") & (right != ""), F.struct(left.alias("artist"), right.alias("title")))
-    return found.otherwise(F.struct(F.lit("").alias("artist"), t.alias("title")))
+    last = pair(collapse(F.regexp_extract(t, hyphen, 1)), collapse(F.regexp_extract(t, hyphen, 2)))
+    # one tree for all separators: a chain of them would repeat the cleaned text for each
+    cuts = F.concat(F.transform(F.array(*map(F.lit, SEPARATORS)), cut), F.array(last))
+    cuts = F.filter(cuts, lambda c: (c["artist"] != "") & (c["title"] != ""))
+    return F.coalesce(F.when(a != "", pair(a, t)), F.get(cuts, F.lit(0)), pair(F.lit(""), t))
 
 
 def artist_album(title: Column) -> Column:
