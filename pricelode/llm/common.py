@@ -18,6 +18,8 @@ BATCH_ROWS = 4000
 BATCH_BYTES = "8m"
 #: Bytes of text that a task works on at once (a longer text is a slice of its own).
 SLICE_BYTES = 4 << 20
+#: Written files that one task reads back, about.
+FILES_OF_TASK = 8
 
 _own_dir: str | None = None
 
@@ -66,6 +68,13 @@ def smallest_hashes(df: DataFrame, rows: int, salt: int, *keys: str) -> DataFram
     return df.orderBy(hashed, *keys).limit(rows)
 
 
+def files_dealt(files: DataFrame, path: str = "path") -> DataFrame:
+    """A manifest (it is counted first) dealt to tasks, about FILES_OF_TASK files each. The
+    number is given, since Spark would join partitions of such small rows into one task."""
+    n, least = files.count(), int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return files.repartition(max(1, min(n, max(least, n // FILES_OF_TASK))), path)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows and bytes of an Arrow batch, since whole texts travel in them."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelode.llm.common import bytes_of, shared_dir, slices, small_batches, strings, written
+from pricelode.llm.common import bytes_of, files_dealt, shared_dir, slices, small_batches, strings, written
 from pricelode.llm.files import open_file, write_file
 
 END_ID = 2
@@ -333,7 +333,7 @@ def read_shards(manifest: DataFrame, id_type: str = "bigint") -> DataFrame:
     own = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     placed = manifest.withColumn("own", F.coalesce(F.sum("n_tokens").over(own), F.lit(0))).join(parts.select("part", "inner", "base"), "part")
     placed = placed.select("path", (F.col("base") + F.col("inner") + F.col("own")).alias("start"))
-    placed = placed.repartition("path")
+    placed = files_dealt(placed)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
