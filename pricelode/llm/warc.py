@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelode.llm.common import shared_dir, slices, small_batches, written
+from pricelode.llm.common import files_dealt, shared_dir, slices, small_batches, written
 from pricelode.llm.files import open_file, write_file
 
 ARCHIVE_BYTES = 32 << 20
@@ -169,7 +169,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[k]) for c, (_, k) in zip(zip(*rows, strict=True), INDEX, strict=True)], [n for n, _ in INDEX])
 
     schema = ", ".join(f"{n} {k}" for n, k in INDEX)
-    return manifest.select("path").repartition("path").mapInArrow(read, schema)
+    return files_dealt(manifest.select("path")).mapInArrow(read, schema)
 
 
 class LoserTree:
