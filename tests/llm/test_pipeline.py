@@ -69,3 +69,26 @@ def test_stages_equal_brute_force(spark):
     assert sorted(packed.doc_id) == sorted(outputs["near-duplicates"].doc_id)
     batches = packed.groupby("batch_id")
     assert ((batches.bucket_len.max() * batches.size() <= 65_536) | (batches.size() == 1)).all()
+
+
+def test_one_contiguous_edit_is_found(spark):
+    """Pairs with a Jaccard similarity of 0.8 and more by one appended or replaced block."""
+    import numpy as np
+
+    from pricelode.llm import simhash
+
+    rng, rows, want = np.random.default_rng(7), [], set()
+    shingles = lambda words: {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    for k in range(300):
+        words = [f"w{x}" for x in rng.integers(0, 50_000, 260)]
+        if k % 2:
+            other = [*words, *(f"w{x}" for x in rng.integers(0, 50_000, 62))]
+        else:
+            at = int(rng.integers(5, 200))
+            other = [*words[:at], *(f"w{x}" for x in rng.integers(0, 50_000, 22)), *words[at + 22 :]]
+        a, b = shingles(words), shingles(other)
+        assert 0.8 <= len(a & b) / len(a | b) < 0.83
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        want.add(2 * k)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == want
