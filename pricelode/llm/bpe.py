@@ -254,7 +254,7 @@ class Lexicon:
     def pack(words: list[bytes], encoder: WordBpe) -> bytes:
         words = sorted(set(words))
         arrays = compile_automaton(words)
-        ids = [encoder.encode_word(w.decode()) for w in words]
+        ids = [encoder.encode(w.decode()) for w in words]
         arrays["first"] = np.r_[0, np.cumsum([len(x) for x in ids], dtype=np.int64)]
         arrays["ids"] = np.array([i for x in ids for i in x], np.int32)
         out, head = io.BytesIO(), []

@@ -99,3 +99,14 @@ def test_digests_equal_the_library(cases, no_docs, documents):
         assert sorted((str(r[0]), *r[1:]) for r in bpe.bpe_digests(docs, WORDS).collect()) == sorted(want)
     assert bpe.bpe_digests(no_docs, WORDS).count() == 0
     assert bpe.bpe_encode(cases.where("doc_id = 5"), WORDS).first().decoded == "one</w> two</w> three</w>"
+
+
+def test_repeated_special_tokens_equal_the_library(spark):
+    """Words with a special token's string that are frequent enough for the lexicon."""
+    library = Tokenizer.from_file(WORDS)
+    texts = ["a <|endoftext|> b", "<|endoftext|> x<|startoftext|>y", "x<|startoftext|>y x<|startoftext|>y", "B<|ENDOFTEXT|> B<|ENDOFTEXT|>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.n_tokens, r.ids, r.decoded) for r in bpe.bpe_encode(docs, WORDS).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids
+        assert found[i] == (len(ids), " ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)), t
