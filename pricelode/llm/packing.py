@@ -8,9 +8,8 @@ they are dealt by hash into cells of bounded size, cells get offsets from their
 a document's number is its offset plus its rank in the cell.
 
 Defined cases: a null or empty text has length 0 and is packed like others; ties and
-repeated rows are packed one by one; an empty table gives an empty result. Histograms with
-over ``GRID`` different lengths are rounded up to a grid of about 0.1 % for the bounds' choice
-only. Columns of the input other than id and text are ignored.
+repeated rows are packed one by one; an empty table gives an empty result. Columns of the
+input other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +24,6 @@ from pricelode.llm.common import written
 
 BUCKETS = 16
 BUDGET = 65_536
-GRID = 4096
 #: Documents of a cell, about; also the cells whose counts one task adds up.
 CELL = 50_000
 
@@ -41,25 +39,13 @@ def choose_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKET
         return Bounds([], 0)
     lengths, counts = lengths.astype(np.int64), counts.astype(np.int64)
     real = int((lengths * counts).sum())
-    if len(lengths) > GRID:
-        step = 1 + np.log(max(lengths[-1], 2)) / GRID
-        grid = np.unique(np.minimum(np.ceil(step ** np.arange(int(np.log(lengths[-1]) / np.log(step)) + 2)), lengths[-1]).astype(np.int64))
-        at = np.searchsorted(grid, lengths)
-        counts = np.bincount(at, counts, len(grid)).astype(np.int64)
-        lengths = grid[counts > 0]
-        counts = counts[counts > 0]
     m = len(lengths)
     before = np.r_[0, np.cumsum(counts)]
     # cost[j]: padded tokens of the first j lengths in k buckets
-    cost = np.r_[0, lengths * before[1:]].astype(float)
+    cost = np.r_[0, lengths * before[1:]]
     origin = [np.zeros(m + 1, np.int64)]
     for _ in range(1, min(buckets, m)):
-        new, back = cost.copy(), np.zeros(m + 1, np.int64)
-        for j in range(1, m + 1):
-            tried = cost[:j] + lengths[j - 1] * (before[j] - before[:j])
-            back[j] = int(tried.argmin())
-            new[j] = tried[back[j]]
-        cost = new
+        cost, back = _one_more(cost, lengths, before)
         origin.append(back)
     upper, j = [], m
     for back in reversed(origin):
@@ -70,6 +56,28 @@ def choose_bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int = BUCKET
     return Bounds(sorted(upper), int(cost[m]) - real)
 
 
+def _one_more(cost: np.ndarray, lengths: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The cost with one bucket more, and where that bucket begins. The best beginning never
+    falls as j grows (padding is a Monge cost), so the middle of a range of j bounds those of
+    both halves; all ranges of a level are worked out at once, in m log m steps altogether."""
+    m = len(lengths)
+    new, back = cost.copy(), np.zeros(m + 1, np.int64)
+    a, b, low, high = (np.array([x]) for x in (1, m, 0, m - 1))
+    while len(a):
+        j = (a + b) // 2
+        size = np.minimum(high, j - 1) - low + 1
+        start = np.cumsum(size) - size
+        i = np.repeat(low - start, size) + np.arange(size.sum())
+        tried = cost[i] + np.repeat(lengths[j - 1], size) * (np.repeat(before[j], size) - before[i])
+        new[j] = np.minimum.reduceat(tried, start)
+        hit = np.flatnonzero(tried == np.repeat(new[j], size))
+        back[j] = best = i[hit[np.searchsorted(hit, start)]]
+        a, b, low, high = np.r_[a, j + 1], np.r_[j - 1, b], np.r_[low, best], np.r_[best, high]
+        some = a <= b
+        a, b, low, high = a[some], b[some], low[some], high[some]
+    return new, back
+
+
 def word_count(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; 0 for a null one."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")

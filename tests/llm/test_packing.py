@@ -43,3 +43,18 @@ def test_batches_hold_their_budget(documents, cases, no_docs):
 def test_null_text_has_no_words(cases):
     found = {r.doc_id: r.n_tokens for r in pack_documents(cases).collect()}
     assert found[1] == found[2] == found[3] == 0 and found[4] == 80_000
+
+
+def test_many_lengths_have_least_padding():
+    """Over 4,096 different lengths, against the quadratic program."""
+    rng = np.random.default_rng(3)
+    lengths = np.sort(rng.choice(30_000, 5000, replace=False))
+    counts = rng.integers(1, 50, 5000)
+    before = np.r_[0, np.cumsum(counts)]
+    cost = np.r_[0, lengths * before[1:]]
+    for _ in range(4):
+        cost = np.array([0] + [(cost[:j] + lengths[j - 1] * (before[j] - before[:j])).min() for j in range(1, 5001)])
+    bounds = choose_bounds(lengths, counts, 5)
+    assert bounds.padding == cost[-1] - (lengths * counts).sum() and set(bounds.upper) <= set(lengths.tolist())
+    upper = np.array(bounds.upper)
+    assert (counts * (upper[np.searchsorted(upper, lengths)] - lengths)).sum() == bounds.padding
