@@ -37,7 +37,7 @@ MOST_MISSING = 0.25
 LONG_LINE, LONG_PARAGRAPH = 60, 400
 WRAPPED_CHARS = 100
 
-CUE = r"licen[cs]e|copyright|all rights reserved|public domain|permission is hereby|redistribution and use|creative commons|\bcc[ -](?:by|0)|spdx"
+CUE = r"licen[cs]e|copyright|all rights reserved|public domain|permission is hereby|redistribution and use|creative commons|\bcc[ -]?(?:by|0)|spdx|\bapache\b|\b[al]?gpl|\bmozilla\b|\b(?-i:MIT|BSD)\b"
 
 #: License: (key words, wordings). The notices that the licenses themselves prescribe, and their usual short forms.
 TEMPLATES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {

@@ -51,3 +51,13 @@ def test_rows(spark, cases, no_docs):
     found = license_scan(docs).collect()
     assert [(r.doc_id, r.offset, r.license, r.verdict, r.saved > 0) for r in found] == [(1, 6, "MIT", "exact", True)] * 2
     assert license_scan(cases).count() == license_scan(no_docs).count() == 0
+
+
+def test_every_wording_comes_out_of_the_scan(spark):
+    texts = [(name, t) for name, (_, some) in TEMPLATES.items() for t in some]
+    more = ["Available under Apache 2.0", "GPLv3 or later", "CC0", "Under MIT terms"]
+    rows = [(i, f"prose\n{t}\nprose") for i, t in enumerate([*(t for _, t in texts), *more])]
+    found = license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in found} == {i for i, _ in rows}
+    exact = {(r.doc_id, r.license) for r in found if r.verdict == "exact"}
+    assert {(i, name) for i, (name, _) in enumerate(texts)} <= exact
