@@ -1,26 +1,32 @@
 """License scan by conditional compression.
 
-A candidate block is a line with a license cue (its sentences around the cue, if the line is
-long), and the whole paragraph where lines are wrapped. Each block is compressed with every
-template wording as a raw zstandard dictionary; wordings are ranked by how many bytes they
-save. The best few are confirmed by their exact wording: the words of block and template are
-aligned, and what is missing, added or replaced inside the template's span is listed. A
-verdict is ``exact`` (no difference), ``variant`` (the template's key words are there and at
-most ``MOST_MISSING`` of its words are not), or ``unconfirmed``.
-
-Defined cases: a null or empty text has no blocks and no rows; a text may have several rows;
-repeated rows are scanned one by one; an empty table gives an empty result; other columns are
-ignored.
+Every cue in a text (a word that license notices use) gets a candidate block: the words on
+both sides of it, so many that any wording of a size class fits in, wherever lines are wrapped and
+however long a paragraph is. The block is compressed as it is and with each wording of the
+class as a raw zstandard dictionary, and wordings are ranked by the bytes they save. From the first
+to the last, each one that could win (its words are in the block, but for ``MOST_MISSING`` of them) is confirmed by its
+exact words: a cheapest edit script (insertions, deletions, replacements) aligns it with the span of the block that
+fits it best and holds the cue. A low rank leaves none out: a wording with many words put in between saves hardly a byte. A verdict is ``exact`` (no difference), ``variant`` (the wording's key words are
+there, at most ``MOST_MISSING`` of its words are not, and no more words are added than it has), or
+``unconfirmed``. All confirmed spans of a text are reported; of two that overlap and say the same, the one
+that matches more. A cue outside every confirmed span gives one unconfirmed row for its sentence.
+
+The work is in proportion to the number of cues; a span is found however far its ends are from its cue.
+
+Defined cases: a null or empty text has no cues and no rows; a text may have several rows; equal
+blocks (ties) give the wording that stands first in ``TEMPLATES``; repeated rows are scanned one by one; a very
+long text is scanned whole; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -28,74 +34,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.llm.common import slices, small_batches
+from pricelode.llm.license_texts import TEMPLATES
 
 LEVEL = 3
-#: Wordings, by bytes saved, that are held against a block's exact words.
-CONFIRMED = 3
 MOST_MISSING = 0.25
-#: A line of more words is cut to the sentences around its cues; a paragraph of more is not tried whole.
-LONG_LINE, LONG_PARAGRAPH = 60, 400
-WRAPPED_CHARS = 100
-
-CUE = r"licen[cs]e|copyright|all rights reserved|public domain|permission is hereby|redistribution and use|creative commons|\bcc[ -]?(?:by|0)|spdx|\bapache\b|\b[al]?gpl|\bmozilla\b|\b(?-i:MIT|BSD)\b"
-
-#: License: (key words, wordings). The notices that the licenses themselves prescribe, and their usual short forms.
-TEMPLATES: dict[str, tuple[tuple[str, ...], tuple[str, ...]]] = {
-    "MIT": (("mit",), (
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "SPDX-License-Identifier: MIT",
-    )),
-    "MIT-text": (("permission", "hereby", "granted"), (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the "
-        "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, "
-        "and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
-    )),
-    "Apache-2.0": (("apache", "2.0"), (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
-        "http://www.apache.org/licenses/LICENSE-2.0",
-        "SPDX-License-Identifier: Apache-2.0",
-    )),
-    "GPL-3.0": (("general", "public", "3"), (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
-        "either version 3 of the License, or (at your option) any later version.",
-    )),
-    "GPL-2.0": (("general", "public", "2"), (
-        "This work is licensed under the GNU General Public License, version 2.",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; "
-        "either version 2 of the License, or (at your option) any later version.",
-    )),
-    "LGPL-3.0": (("lesser", "3"), ("This work is licensed under the GNU Lesser General Public License, version 3.",)),
-    "AGPL-3.0": (("affero", "3"), ("This work is licensed under the GNU Affero General Public License, version 3.",)),
-    "MPL-2.0": (("mozilla", "2.0"), (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Licensed under the Mozilla Public License, Version 2.0.",
-    )),
-    "BSD-3-Clause": (("bsd", "3-clause"), ("Licensed under the BSD 3-Clause License.",)),
-    "BSD-2-Clause": (("bsd", "2-clause"), ("Licensed under the BSD 2-Clause License.",)),
-    "BSD-text": (("redistribution", "source", "binary"), (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    )),
-    "CC-BY-4.0": (("by", "4.0"), ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.")),
-    "CC-BY-SA-4.0": (("by-sa", "4.0"), ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.")),
-    "CC-BY-NC-4.0": (("by-nc", "4.0"), ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.")),
-    "CC-BY-ND-4.0": (("by-nd", "4.0"), ("Licensed under CC BY-ND 4.0.",)),
-    "CC-BY-NC-SA-4.0": (("by-nc-sa", "4.0"), ("Licensed under CC BY-NC-SA 4.0.",)),
-    "CC0-1.0": (("cc0",), ("Released under CC0 1.0 Universal.", "Dedicated to the public domain under CC0.")),
-    "Unlicense": (("public", "domain"), ("This is free and unencumbered software released into the public domain.",)),
-    "all-rights-reserved": (("rights", "reserved"), ("All rights reserved.", "Copyright. All rights reserved.")),
-}
+#: What a missing or replaced word costs an alignment; an added one costs 1.
+MISSING = 2
+#: Wordings of up to so many words share blocks of one size.
+CLASSES = (12, 48, 1000)
+#: An unconfirmed row shows so many words on each side of its cue, at most.
+SHOWN = 30
+
+CUE = (
+    r"licen[cs]e|copyright|all rights reserved|public domain|permission is|is hereby|redistribution and use|creative commons|\bcc[ -]?(?:by|0)|spdx|\bapache\b|\b[al]?gpl|\bmozilla\b"
+    r"|\beclipse public\b|provided ['\"]?as[- ]is|permitted to copy|\b(?-i:MIT|BSD|ISC)\b"
+)
 
 _CUE = re.compile(CUE, re.IGNORECASE)
 _WORD = re.compile(r"[A-Za-z0-9]+(?:[.\-'][A-Za-z0-9]+)*")
-_SENTENCE_END = re.compile(r"(?<=[.!?:;])\s+(?=[A-Z(\"])")
+_BREAK = re.compile(r"\n|(?<=[.!?:;])\s+(?=[A-Z(\"])")
 
 
 class Wording(NamedTuple):
     license: str
-    keys: tuple[str, ...]
+    keys: frozenset[str]
     words: tuple[str, ...]
     compressor: zstandard.ZstdCompressor
 
@@ -110,6 +72,21 @@ class Finding(NamedTuple):
     runner_up: str
 
 
+class Match(NamedTuple):
+    """An alignment: the words block[begin:end], and how they differ."""
+
+    begin: int
+    end: int
+    missing: int
+    added: int
+    shown: list[str]
+    keys: tuple[int, ...]  # places of the wording's key words in the block
+    verdict: str
+
+    def worth(self, wording: Wording) -> float:
+        return len(wording.words) - self.missing - (self.missing + self.added) / 2
+
+
 def words_of(text: str) -> tuple[str, ...]:
     return tuple(w.lower() for w in _WORD.findall(text))
 
@@ -120,97 +97,195 @@ def wordings() -> tuple[list[Wording], zstandard.ZstdCompressor]:
     made = []
     for name, (keys, texts) in TEMPLATES.items():
         for text in texts:
-            raw = zstandard.ZstdCompressionDict(" ".join(words_of(text)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            made.append(Wording(name, keys, words_of(text), zstandard.ZstdCompressor(level=LEVEL, dict_data=raw)))
+            words = words_of(text)
+            raw = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            raw.precompute_compress(level=LEVEL)
+            made.append(Wording(name, frozenset(keys) & frozenset(words), words, zstandard.ZstdCompressor(level=LEVEL, dict_data=raw)))
     return made, zstandard.ZstdCompressor(level=LEVEL)
 
 
+@lru_cache(maxsize=1)
+def classes() -> list[tuple[int, list[int]]]:
+    """(words on each side of a cue, numbers of the wordings) of each size class. The span that fits
+    best costs no more than leaving out the whole wording, so it has at most three times its words."""
+    known, low, out = wordings()[0], 0, []
+    for high in CLASSES:
+        some = [k for k, w in enumerate(known) if low < len(w.words) <= high]
+        if some:
+            out.append((3 * max(len(known[k].words) for k in some) + 2, some))
+        low = high
+    return out
+
+
+def align(block: tuple[str, ...], wording: tuple[str, ...], at: int | None = None, keys: frozenset[str] = frozenset()) -> Match:
+    """The span of ``block`` that takes the least to turn into ``wording``: a missing or replaced word
+    costs MISSING, and one that the block has besides 1. Words outside the span are free. With
+    ``at``, the span holds that word."""
+    code = {w: k for k, w in enumerate(dict.fromkeys(wording))}
+    b = np.array([code.get(w, -1) for w in block], np.int32)
+    t = [code[w] for w in wording]
+    n, m, place = len(b), len(t), np.arange(len(b) + 1)
+    cost = np.empty((m + 1, n + 1), np.int32)
+    cost[0] = 0 if at is None else np.maximum(place - at, 0)
+    for i in range(1, m + 1):
+        step = cost[i - 1] + MISSING
+        step[1:] = np.minimum(step[1:], cost[i - 1, :-1] + MISSING * (b != t[i - 1]))
+        cost[i] = np.minimum.accumulate(step - place) + place  # and words that the block has besides
+    low = 0 if at is None else at + 1
+    end = low + int(cost[m, low:].argmin())
+    while end < n and cost[m, end + 1] == cost[m, end] == cost[m - 1, end] + MISSING * (b[end] != t[m - 1]):
+        end += 1  # a replaced last word belongs to the span
+    i, j, steps = m, end, []
+    while i:
+        if j and cost[i, j] == cost[i - 1, j - 1] + MISSING * (b[j - 1] != t[i - 1]):
+            i, j = i - 1, j - 1
+            steps.append((i, j))
+        elif cost[i, j] == cost[i - 1, j] + MISSING:
+            i -= 1
+            steps.append((i, None))
+        else:
+            j -= 1
+            steps.append((None, j))
+    if at is not None:
+        while j > at:
+            j -= 1
+            steps.append((None, j))
+    missing, added, shown, found = 0, 0, [], {}
+    lost: list[str] = []
+    more: list[str] = []
+
+    def close() -> None:
+        if lost or more:
+            shown.append(f"-[{' '.join(lost)}]+[{' '.join(more)}]")
+            lost.clear(), more.clear()
+
+    for x, y in reversed(steps):
+        if x is not None and y is not None and t[x] == b[y]:
+            close()
+            found.setdefault(wording[x], y)
+        else:
+            if x is not None:
+                lost.append(wording[x])
+                missing += 1
+            if y is not None:
+                more.append(block[y])
+                added += 1
+    close()
+    held = keys <= found.keys() and missing <= MOST_MISSING * m and added <= m
+    verdict = "exact" if not missing and not added else "variant" if held else "unconfirmed"
+    return Match(j, end, missing, added, shown, tuple(sorted(found[k] for k in keys if k in found)), verdict)
+
+
 def differences(block: tuple[str, ...], template: tuple[str, ...]) -> tuple[int, int, list[str]]:
     """Words of the template that the block lacks, words that it has inside the template's
     span besides, and both as text."""
-    steps = SequenceMatcher(None, template, block, autojunk=False).get_opcodes()
-    inner = [s for k, s in enumerate(steps) if not (s[0] == "insert" and k in (0, len(steps) - 1))]
-    missing = added = 0
-    shown = []
-    for kind, a, b, c, d in inner:
-        if kind != "equal":
-            edge = kind == "replace" and inner and (a == 0 or b == len(template))
-            extra = min(d - c, b - a) if edge else d - c  # text beside a span isn't its own
-            missing += b - a
-            added += extra
-            shown.append(f"-[{' '.join(template[a:b])}]+[{' '.join(block[c : c + extra])}]")
-    return missing, added, shown
-
-
-@lru_cache(maxsize=50_000)
-def identify(block: str) -> Finding:
-    """The license that a block names best."""
+    m = align(block, template)
+    return m.missing, m.added, m.shown
+
+
+@lru_cache(maxsize=4096)
+def ranked(block: str, size_class: int) -> list[tuple[int, int]]:
+    """(bytes saved, wording) of the wordings of a class, most first; ties by their order."""
     known, plain = wordings()
-    words = words_of(block)
-    raw = " ".join(words).encode()
+    raw = block.encode()
     alone = len(plain.compress(raw))
-    ranked = sorted(((alone - len(w.compressor.compress(raw)), -k) for k, w in enumerate(known)), reverse=True)
-    tried = []
-    for place, (saved, k) in enumerate(ranked[:CONFIRMED]):
-        w = known[-k]
-        missing, added, shown = differences(words, w.words)
-        present = set(words)
-        held = all(key in present for key in w.keys) and missing <= MOST_MISSING * len(w.words)
-        verdict = "exact" if not missing and not added else "variant" if held and added <= len(w.words) else "unconfirmed"
-        tried.append((("exact", "variant", "unconfirmed").index(verdict), place, Finding(w.license, saved, missing, added, "; ".join(shown), verdict, "")))
-    best = min(tried, key=lambda t: t[:2])[2]
-    other = next((known[-k].license for _, k in ranked if known[-k].license != best.license), "")
-    return best._replace(runner_up=other)
-
-
-def blocks(text: str) -> list[tuple[int, str]]:
-    """(offset, block) of the candidate blocks of a text; of a block that holds another, with
-    the same license, the callers keep the better one."""
-    out, at = [], 0
-    lines = []
-    for line in text.split("\n"):
-        lines.append((at, line))
-        at += len(line) + 1
-    paragraph_done = -1
-    for k, (begin, line) in enumerate(lines):
-        if not _CUE.search(line):
-            continue
-        if line.count(" ") < LONG_LINE:
-            out.append((begin, line))
-        else:
-            start = 0
-            for end in [*(m.start() for m in _SENTENCE_END.finditer(line)), len(line)]:
-                if _CUE.search(line, start, end):
-                    lead = len(line[start:end]) - len(line[start:end].lstrip())
-                    out.append((begin + start + lead, line[start:end].strip()))
-                start = end
-        if k <= paragraph_done or len(line) > WRAPPED_CHARS:
-            continue
-        first = last = k
-        while first and lines[first - 1][1].strip() and len(lines[first - 1][1]) <= WRAPPED_CHARS:
-            first -= 1
-        while last + 1 < len(lines) and lines[last + 1][1].strip() and len(lines[last + 1][1]) <= WRAPPED_CHARS:
-            last += 1
-        paragraph = "\n".join(x for _, x in lines[first : last + 1])
-        if last > first and paragraph.count(" ") <= LONG_PARAGRAPH:
-            out.append((lines[first][0], paragraph))
-            paragraph_done = last
-    return out
+    return sorted(((alone - len(known[k].compressor.compress(raw)), k) for k in classes()[size_class][1]), key=lambda x: (-x[0], x[1]))
+
+
+class Hit(NamedTuple):
+    """A confirmed wording, in words of the text."""
+
+    wording: int
+    begin: int
+    end: int
+    keys: tuple[int, ...]
+    worth: float
+    finding: Finding
+
+    def repeats(self, other: Hit) -> bool:
+        """Does it overlap ``other`` and say nothing besides?"""
+        if self.begin >= other.end or other.begin >= self.end:
+            return False
+        same = wordings()[0][self.wording].license == wordings()[0][other.wording].license
+        return same or all(other.begin <= k < other.end for k in self.keys)
+
+
+def _confirmed(words: list[str], cue: int) -> Iterator[Hit]:
+    """The wordings that the block around a cue holds."""
+    known = wordings()[0]
+    for number, (radius, _) in enumerate(classes()):
+        low = max(0, cue - radius)
+        block = tuple(words[low : cue + radius + 1])
+        present = set(block)
+        order = ranked(" ".join(block), number)
+        for saved, k in order:
+            w = known[k]
+            if not w.keys <= present or sum(x not in present for x in w.words) > MOST_MISSING * len(w.words):
+                continue  # lacks too many words, wherever they stand
+            m = align(block, w.words, cue - low, w.keys)
+            if m.verdict != "unconfirmed":
+                other = next((known[o].license for _, o in order if known[o].license != w.license), "")
+                yield Hit(k, m.begin + low, m.end + low, tuple(p + low for p in m.keys), m.worth(w), Finding(w.license, saved, m.missing, m.added, "; ".join(m.shown), m.verdict, other))
+
+
+def _guess(block: str) -> Finding:
+    """What an unconfirmed block is most like."""
+    known = wordings()[0]
+    words = words_of(block)
+    order = [x for c in range(len(classes())) for x in ranked(" ".join(words), c) if len(known[x[1]].words) <= max(CLASSES[0], 2 * len(words))]
+    order.sort(key=lambda x: (-x[0], x[1]))
+    saved, k = order[0]
+    m = align(words, known[k].words)
+    other = next((known[o].license for _, o in order if known[o].license != known[k].license), "")
+    return Finding(known[k].license, saved, m.missing, m.added, "; ".join(m.shown), "unconfirmed", other)
 
 
 def scan(text: str) -> list[tuple[int, str, Finding]]:
-    """(offset, block, finding) of each block; a paragraph stands only where it says more
-    than its lines."""
-    found = [(at, block, identify(block)) for at, block in blocks(text)]
-    order = ("exact", "variant", "unconfirmed")
+    """(offset, block, finding) of all confirmed spans and of the cues outside them, in order."""
+    cues = [m.start() for m in _CUE.finditer(text)]
+    if not cues:
+        return []
+    words, begins, ends = [], [], []
+    for m in _WORD.finditer(text):
+        words.append(m[0].lower())
+        begins.append(m.start())
+        ends.append(m.end())
+    at = sorted({min(bisect_right(ends, c), len(words) - 1) for c in cues})
+    hits = {(h.wording, h.begin, h.end): h for c in at for h in _confirmed(words, c)}
+    order = sorted(hits.values(), key=lambda h: (-h.worth, h.finding.missing + h.finding.added, -len(wordings()[0][h.wording].words), h.wording, h.begin))
+    chosen: list[Hit] = []
+    by_word: dict[int, list[Hit]] = {}  # the chosen spans that hold a word
+    for h in order:
+        near = {id(o): o for p in range(h.begin, h.end) for o in by_word.get(p, [])}
+        if not any(h.repeats(o) for o in near.values()):
+            chosen.append(h)
+            for p in range(h.begin, h.end):
+                by_word.setdefault(p, []).append(h)
     out = []
-    for at, block, f in found:
-        end = at + len(block)
-        rivals = [(b, g) for a, b, g in found if (a, b) != (at, block) and a < end and at < a + len(b)]
-        mine = (order.index(f.verdict), f.missing + f.added, len(block))
-        if all(mine <= (order.index(g.verdict), g.missing + g.added, len(b)) for b, g in rivals):
-            out.append((at, block, f))
-    return out
+    for h in chosen:
+        stop = ends[h.end - 1]
+        while stop < len(text) and text[stop] in ".\")":  # the wording's own last sign
+            stop += 1
+        out.append((begins[h.begin], text[begins[h.begin] : stop], h.finding))
+    breaks = [0, *(m.end() for m in _BREAK.finditer(text)), len(text) + 1]
+    last = -1
+    for c in at:
+        if c in by_word or begins[c] < last:
+            continue
+        k = bisect_right(breaks, begins[c])
+        low = max(breaks[k - 1], begins[max(0, c - SHOWN)])
+        high = min(breaks[k] - 1, ends[min(len(words) - 1, c + SHOWN)] + 1)
+        block = text[low:high].strip()
+        out.append((low + len(text[low:high]) - len(text[low:high].lstrip()), block, _guess(block)))
+        last = high
+    return sorted(out, key=lambda x: x[0])
+
+
+def identify(block: str) -> Finding:
+    """The license that a block names best."""
+    order = ("exact", "variant", "unconfirmed")
+    found = scan(block)
+    return min(found, key=lambda x: (order.index(x[2].verdict), x[0]))[2] if found else _guess(block)
 
 
 SCHEMA = "offset int, block string, license string, saved int, missing int, added int, differences string, verdict string, runner_up string"
