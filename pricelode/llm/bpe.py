@@ -14,8 +14,9 @@ blanks only. Decoding joins token strings by blanks, as a tokenizer without a de
 Supported files: BPE with an end-of-word suffix, the normalizers NFC, blank collapsing and
 lower-casing, and a split by pattern before the byte alphabet. Others are refused.
 
-Defined cases: a null or empty text has no tokens and decodes to nothing; other columns are
-ignored; repeated rows are encoded one by one; an empty table gives an empty result.
+Defined cases: a null or empty text has no tokens and decodes to nothing; a very long text is cut
+and encoded whole, in time n log n at its worst; other columns are ignored; repeated rows are encoded one by
+one; of words equally frequent all or none are in the lexicon; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ import hashlib
 import heapq
 import io
 import json
-import tempfile
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -52,6 +52,8 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SIGN = np.zeros(256, bool)
 _SIGN[list(b".,!?*#$%&;:|")] = True
 
@@ -149,8 +151,26 @@ def tokenizer_of(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+def lower_words(words: pa.Array, special: list[str]) -> pa.Array:
+    """ASCII words in lower case, as the tokenizer has them; others, and those that would then hold
+    a special token's string, as they are."""
+    at = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, words.offset * 4) if len(words) else np.zeros(1, np.int32)
+    raw = np.frombuffer(words.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    other = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum(raw >= 0x80, out=other[1:])
+    keep = other[at[1:]] > other[at[:-1]]
+    low = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(at), pa.py_buffer(_LOWER[raw])])
+    for s in special:
+        keep |= pc.match_substring(low, s).to_numpy(zero_copy_only=False)
+    if not keep.any():
+        return low
+    mixed = np.where(np.repeat(keep, np.diff(at)), raw, _LOWER[raw])
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(at), pa.py_buffer(mixed)])
+
+
 def cut_words(texts: pa.Array, special: list[str]) -> tuple[pa.Array, np.ndarray]:
-    """The words of all texts as one binary array (a-z lower case), and where each text's begin."""
+    """The words of all texts as one binary array, and where each text's begin."""
     raw, ends = bytes_of(texts)
     solid = ~_BLANK[raw]
     begins = solid.copy()
@@ -170,7 +190,7 @@ def cut_words(texts: pa.Array, special: list[str]) -> tuple[pa.Array, np.ndarray
 
 
 def word_counts(docs: DataFrame, text: str, special: list[str]) -> DataFrame:
-    """(word, n) over all texts."""
+    """(word, n) over all texts, ASCII words in lower case."""
     small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +198,7 @@ def word_counts(docs: DataFrame, text: str, special: list[str]) -> DataFrame:
             for part in slices(batch, "text", CUT_BYTES):
                 coded = cut_words(part.column(0), special)[0].dictionary_encode()
                 n = np.bincount(coded.indices.to_numpy(zero_copy_only=False), minlength=len(coded.dictionary))
-                yield pa.RecordBatch.from_arrays([coded.dictionary, pa.array(n.astype(np.int64))], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([lower_words(coded.dictionary, special), pa.array(n.astype(np.int64))], ["word", "n"])
 
     found = docs.select(F.col(text).alias("text")).mapInArrow(count, "word binary, n long")
     return found.groupBy("word").agg(F.sum("n").alias("n"))
@@ -269,11 +289,8 @@ class Lexicon:
 
     def __init__(self, path: str) -> None:
         place = local_path(path)
-        if place is None:  # a store that can't be mapped: this worker's own copy is
-            with tempfile.NamedTemporaryFile(delete=False) as f:
-                f.write(open_file(path))
-            place = f.name
-        whole = np.memmap(place, np.uint8, "r")
+        # a store that can't be mapped is read into this worker's memory
+        whole = np.memmap(place, np.uint8, "r") if place else np.frombuffer(open_file(path), np.uint8)
         size = int(whole[:8].view("<u8")[0])
         for name, kind, shape, at in json.loads(whole[8 : 8 + size].tobytes()):
             n = int(np.prod(shape)) * np.dtype(kind).itemsize
@@ -322,16 +339,13 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, text: str = "text", size
         least = row["step"]
     top = counts.where(F.col("step") >= least).select("word").collect() if least is not None else []  # at most ``size`` short words
     path = f"{shared_dir(docs.sparkSession, 'lexicon')}/words.mat"
-    write_file(path, Lexicon.pack([_lower(bytes(r["word"])) for r in top], encoder))
+    write_file(path, Lexicon.pack([bytes(r["word"]) for r in top], encoder))
     return path
 
 
-def _lower(word: bytes) -> bytes:
-    return word.lower() if word.isascii() else word
-
-
 class Encoder:
-    """Words to (tokens, ids as text, decoded text): the lexicon first, merges for the rest."""
+    """Words to (tokens, ids as text, decoded text): the lexicon first, merges for the rest. ASCII
+    words are looked up in lower case, which the tokenizer gives them anyway."""
 
     def __init__(self, tokenizer_path: str, lexicon_path: str) -> None:
         self.bpe, self.lexicon = tokenizer_of(tokenizer_path), Lexicon(lexicon_path)
@@ -343,6 +357,7 @@ class Encoder:
 
     def words(self, names: pa.Array) -> list[tuple[int, str, str]]:
         out = []
+        names = lower_words(names, self.special)
         for word, number in zip(names.to_pylist(), self.lexicon.numbers(names).tolist(), strict=True):
             if number >= 0:
                 found = self.known.get(number)

@@ -110,3 +110,23 @@ def test_repeated_special_tokens_equal_the_library(spark):
     for i, t in enumerate(texts):
         ids = library.encode(t, add_special_tokens=False).ids
         assert found[i] == (len(ids), " ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)), t
+
+
+def test_capitals_are_served_by_the_automaton(spark, documents):
+    """The share of all words that the automaton serves, capitals included."""
+    path = bpe.build_lexicon(documents, WORDS)
+    encoder = bpe.Encoder(WORDS, path)
+    texts = pa.array([r.text or "" for r in documents.select("text").collect()])
+    coded = bpe.cut_words(texts, encoder.special)[0].dictionary_encode()
+    known = encoder.lexicon.numbers(bpe.lower_words(coded.dictionary, encoder.special)) >= 0
+    counts = np.bincount(coded.indices.to_numpy(), minlength=len(known))
+    assert counts[known].sum() >= 0.9 * counts.sum()
+    low = {w.lower() for w, k in zip(coded.dictionary.to_pylist(), known, strict=True) if k and w.isascii()}
+    assert all(k for w, k in zip(coded.dictionary.to_pylist(), known, strict=True) if w.isascii() and w.lower() in low)
+
+
+def test_lowering_leaves_special_tokens_and_other_scripts():
+    words = pa.array([b"The", b"<|ENDOFTEXT|>", "ÄB".encode(), b"", b"X<|endoftext|>", b"A1"], pa.binary())
+    found = bpe.lower_words(words, ["<|endoftext|>"])
+    assert found.to_pylist() == [b"the", b"<|ENDOFTEXT|>", "ÄB".encode(), b"", b"X<|endoftext|>", b"a1"]
+    assert bpe.lower_words(words.slice(5), []).to_pylist() == [b"a1"] and bpe.lower_words(words.slice(6), []).to_pylist() == []
