@@ -9,9 +9,10 @@ entries, looked up by bin for a whole batch at once.
 The model learns from a bounded sample: the ``TRAIN_ROWS`` labelled rows with the smallest
 hash of their id. Everything else covers all rows.
 
-Defined cases: a null or empty text has all-zero counts and gets a score like any other; a
-null label doesn't train; of repeated labels each trains; without labels of both kinds
-every score is 0.5; a null id is scored and not held out; other columns are ignored.
+Defined cases: a null or empty text has all-zero counts and gets a score like any other; a very long
+text is measured whole; a null label doesn't train; of repeated labels or documents one row trains for each
+id and label; equal scores (ties) need no order; repeated rows are scored one by one; without labels of both kinds
+every score is 0.5; a null id is scored and not held out; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -217,12 +218,14 @@ def remainder(doc_id: Column, folds: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int, held_out: bool, rows: int, doc_id: str, text: str) -> DataFrame:
-    """(y, text) of a bounded sample of the labelled rows outside the held-out fold."""
+    """(y, text) of a bounded sample of the labelled rows outside the held-out fold: at most ``rows``
+    labels, and one text for each id and label however often it is repeated."""
     rest = remainder(F.col("doc_id"), folds)
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(rest == fold if held_out else rest != fold)
     known = smallest_hashes(known, rows, 0, "doc_id", "y")  # at most ``rows`` narrow rows: small enough to broadcast
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id").select("y", "text")
+    found = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(known), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("y", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, rows: int = TRAIN_ROWS, doc_id: str = "doc_id", text: str = "text") -> Model:

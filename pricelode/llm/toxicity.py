@@ -1,25 +1,30 @@
 """Toxicity: a weighted lexicon, matched by Aho-Corasick on folded text.
 
-Folding lowers the case, turns homoglyphs of other scripts and full-width forms into Latin
-letters, and digits and signs that stand for letters into those; it keeps one character
-for one, so that positions hold. A term counts where it begins a word (a stem) or fills
-one (a whole word), unless an exception phrase covers it. A text's matched weight, as such
-and by length, gives its score through a logistic curve.
+Folding lowers the case and turns into plain Latin letters: homoglyphs of other scripts, letters with
+marks or strokes, small capitals, full-width, circled and mathematical forms, and digits and signs
+that stand for letters. Combining marks and characters without width go. Letters that stand one by one
+(``m o r o n``) are read together as well. A term counts where it begins a word (a stem) or fills
+one (a whole word), unless an exception phrase of whole words overlaps it. A text's matched weight, as
+such and by length, gives its score through a logistic curve. A text takes time in proportion to its length
+and matches.
 
 The lexicon has seed stems and terms learned from a bounded sample: the ``TRAIN_ROWS``
 labelled rows with the smallest hash of their id (their words are counted on the
-executors; what returns are the terms that pass the bar). Weights are smoothed log odds.
+executors; what returns are the terms that could pass the bar, all of them). Weights are smoothed log odds.
 
-Defined cases: a null or empty text matches nothing and scores as such; null labels don't
-train; without labels of both kinds the seed lexicon and a fixed curve are used; a null id
-is scored and not held out; other columns are ignored.
+Defined cases: a null or empty text matches nothing and scores as such; a very long text is matched whole; null labels
+don't train, and of repeated labels or documents one row trains for each id and label; without labels of
+both kinds the seed lexicon and a fixed curve are used; equal scores (ties) need no order; repeated rows are scored one
+by one; a null id is scored and not held out; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import ahocorasick
@@ -32,50 +37,75 @@ from pricelode.llm.common import slices, small_batches
 from pricelode.llm.gam import remainder, training_rows
 
 TRAIN_ROWS = 12_000
-#: Learned terms: prefixes of words, LEAST to MOST characters, in so many toxic texts at
-#: least, whose smoothed odds of a toxic text are so much over the base rate's.
+#: Learned terms: prefixes of words, LEAST to MOST characters, and whole words from LEAST_WHOLE on, in so
+#: many toxic texts at least, whose smoothed odds of a toxic text are so much over the base rate's.
 LEAST, MOST = 4, 14
+LEAST_WHOLE = 3
 LEAST_TEXTS = 5
 LEAST_LOG_ODDS = 3.0
-MOST_TERMS = 4000
+#: A term is made longer while so many of its toxic texts agree on the next character.
+AGREE = 0.9
 
 #: Stems that are insults in plain English, with the weight they have before any training.
 SEED = ("idiot", "moron", "stupid", "imbecile", "scumbag", "worthless", "pathetic", "disgusting", "dumbass", "bastard", "asshole", "bitch", "retard")
 SEED_WEIGHT = 3.0
-#: Phrases in which a term is no insult.
+#: Phrases in which a term is no insult, as whole words (a plural s may follow).
 EXCEPTIONS = (
     "trash can", "trash bin", "trash bag", "trash collection", "clown fish", "clownfish", "class clown", "losers bracket", "loser of the match",
     "oxymoron", "scum of the pond", "pond scum", "retardant", "not stupid", "idiot proof", "idiot-proof",
 )
 
+#: Letters of other scripts that look like Latin ones. Fixed values.
 _HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b", "ԁ": "d", "ո": "n", "ӏ": "l",
-    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɡ": "g", "ⅼ": "l", "ѵ": "v", "ԛ": "q", "ԝ": "w",
+    "г": "r", "п": "n", "һ": "h", "ѡ": "w", "ց": "g", "հ": "h", "ս": "u", "օ": "o", "ք": "f",
+    "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "η": "n", "ω": "w", "ѵ": "v", "ԛ": "q", "ԝ": "w",
 }
+#: Digits and signs that stand for letters. Fixed values.
 _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
-_FOLD = {ord(a): b for a, b in (_HOMOGLYPHS | _SIGNS).items()} | {0xFEE0 + c: chr(c).lower() for c in range(0x21, 0x7F)}
+_FOLD = str.maketrans(_SIGNS)
 _INNER_SIGN = re.compile(r"(?<=\w)[@$!](?=\w)|(?<!\w)[@$](?=\w)")
 _WORD = re.compile(r"[^\W_]+")
-
-
-def lowered(text: str) -> str:
-    """The text in lower case, character for character."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+_OTHER = re.compile(r"[^\x00-\x7f]+")
+_LATIN_NAME = re.compile(r"LATIN (?:SMALL |CAPITAL )?LETTER (?:SMALL CAPITAL |SCRIPT |DOTLESS |LONG )?([A-Z])(?: WITH .+)?")
+_SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .*_-]){2,}[^\W_](?![^\W_])")
+_SPACES = str.maketrans("", "", " .*_-")
+
+
+@lru_cache(maxsize=1 << 16)
+def folded_char(c: str) -> str:
+    """What a character outside ASCII folds to: the letter that it shows, nothing for marks and
+    characters without width, else itself."""
+    if unicodedata.category(c) in ("Mn", "Me", "Cf"):
+        return ""
+    low = c.lower()
+    if low in _HOMOGLYPHS:
+        return _HOMOGLYPHS[low]
+    base = "".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x) not in ("Mn", "Me"))
+    if len(base) == 1 and base.lower() in _HOMOGLYPHS:
+        return _HOMOGLYPHS[base.lower()]
+    if len(base) == 1 and base.isascii():
+        return base
+    named = _LATIN_NAME.fullmatch(unicodedata.name(c, ""))
+    return named[1] if named else c
 
 
 def fold(text: str) -> str:
-    """The folded text, of the same length. A sign folds only where it leads or joins letters."""
-    low = lowered(text)
+    """The folded text. A sign folds only where it leads or joins letters, else it is a blank."""
+    if not text.isascii():
+        text = _OTHER.sub(lambda m: "".join(map(folded_char, m[0])), text)
+    low = text.lower()
     if "@" in low or "$" in low or "!" in low:
-        inner = {m.start() for m in _INNER_SIGN.finditer(low)}
-        if inner:
-            low = "".join(_SIGNS[c] if i in inner else c for i, c in enumerate(low))
-        low = low.translate(_DROP_SIGNS)
+        low = _INNER_SIGN.sub(lambda m: _SIGNS[m[0]], low).translate(_DROP_SIGNS)
     return low.translate(_FOLD)
 
 
-_DROP_SIGNS = {ord(c): " " for c in "@$!"}
+def spaced_words(folded: str) -> list[str]:
+    """Runs of three or more letters that stand one by one, read together."""
+    return [m[0].translate(_SPACES) for m in _SPACED.finditer(folded)]
+
+
+_DROP_SIGNS = str.maketrans("@$!", "   ")
 
 
 class Lexicon(NamedTuple):
@@ -85,28 +115,43 @@ class Lexicon(NamedTuple):
 
 
 def automaton(lexicon: Lexicon) -> ahocorasick.Automaton:
+    """Values are (length, weight, must it fill the word); an exception has no weight."""
     found = ahocorasick.Automaton()
-    for term, (weight, whole) in lexicon.terms.items():
-        found.add_word(term, (len(term), weight, whole))
     for phrase in lexicon.exceptions:
-        found.add_word(fold(phrase), (len(phrase), 0.0, False))
+        found.add_word(fold(phrase), (len(fold(phrase)), None, True))
+    for term, (weight, whole) in lexicon.terms.items():
+        if found.get(term, None) is None:  # an exception is never a term
+            found.add_word(term, (len(term), weight, whole))
     found.make_automaton()
     return found
 
 
-def matched_weight(folded: str, found: ahocorasick.Automaton) -> float:
-    """The weights of the terms in a folded text; of terms that overlap, the heaviest counts."""
+def matched_weight(folded: str, found: ahocorasick.Automaton, inside: bool = False) -> float:
+    """The weights of the terms in a folded text; of terms that overlap, the heaviest counts. With
+    ``inside``, a term may stand anywhere in a word."""
     spans, covered = [], []
     size = len(folded)
     for end, (length, weight, whole) in found.iter(folded):
         begin = end - length + 1
-        if weight == 0.0:
-            covered.append((begin, end))
-        elif (begin == 0 or not folded[begin - 1].isalnum()) and not (whole and end + 1 < size and folded[end + 1].isalnum()):
+        starts = begin == 0 or not folded[begin - 1].isalnum()
+        ends = end + 1 >= size or not folded[end + 1].isalnum()
+        if weight is None:
+            plural = not ends and folded[end + 1] == "s" and (end + 2 >= size or not folded[end + 2].isalnum())
+            if starts and (ends or plural):
+                covered.append((begin, end))
+        elif inside or (starts and (ends or not whole)):
             spans.append((begin, end, weight))
-    total, last, best = 0.0, -1, 0.0
+    merged: list[list[int]] = []  # exceptions that touch are one
+    for begin, end in sorted(covered):
+        if merged and begin <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], end)
+        else:
+            merged.append([begin, end])
+    total, last, best, k = 0.0, -1, 0.0, 0
     for begin, end, weight in sorted(spans):
-        if any(a <= end and begin <= b for a, b in covered):
+        while k < len(merged) and merged[k][1] < begin:
+            k += 1
+        if k < len(merged) and merged[k][0] <= end:
             continue
         if begin <= last:
             if weight > best:
@@ -117,11 +162,16 @@ def matched_weight(folded: str, found: ahocorasick.Automaton) -> float:
     return total
 
 
+def text_weight(text: str, found: ahocorasick.Automaton) -> float:
+    folded = fold(text)
+    return matched_weight(folded, found) + sum(matched_weight(w, found, inside=True) for w in spaced_words(folded))
+
+
 def measures(texts: list[str], found: ahocorasick.Automaton) -> np.ndarray:
     """(texts, 2): the matched weight, and that for each 100 words."""
     out = np.zeros((len(texts), 2))
     for i, text in enumerate(texts):
-        weight = matched_weight(fold(text), found)
+        weight = text_weight(text, found)
         if weight:
             n = text.count(" ") + text.count("\n") + 1
             out[i] = weight, 100 * weight / (n + 20)
@@ -151,8 +201,8 @@ def _prefixes(text: str) -> set[str]:
     """Distinct prefixes of the folded words of a text; a whole word ends in a blank."""
     out: set[str] = set()
     for word in set(_WORD.findall(fold(text))):
-        if len(word) >= LEAST:
-            out.update(word[:k] for k in range(LEAST, min(len(word), MOST) + 1))
+        out.update(word[:k] for k in range(LEAST, min(len(word), MOST) + 1))
+        if LEAST_WHOLE <= len(word) <= MOST:
             out.add(word + " ")
     return out
 
@@ -173,7 +223,7 @@ def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) ->
         if any(p[:k] in good for k in range(LEAST, len(p))):
             continue
         while True:
-            nxt = [c for c in children.get(p, []) if counts[c][0] >= 0.9 * counts[p][0]]
+            nxt = [c for c in children.get(p, []) if counts[c][0] >= AGREE * counts[p][0]]
             if not nxt:
                 break
             p = max(nxt, key=lambda c: (counts[c][0], c))
@@ -190,22 +240,22 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, fold_no: int = 0,
             seen: tuple[Counter, Counter] = Counter(), Counter()
             for y, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seen[y].update(_prefixes(t or ""))
-                seen[y][""] += 1
             keys = list(seen[0].keys() | seen[1].keys())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array([seen[y][k] for k in keys], pa.int64()) for y in (1, 0))], ["term", "toxic", "clean"])
 
     sums = sample.mapInArrow(count, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    # Of the sample's terms, those that could pass: the most frequent in toxic texts.
-    wanted = sums.where((F.col("toxic") >= LEAST_TEXTS) & ((F.col("term") == "") | (F.col("toxic") * 4 >= F.col("clean"))))
-    best = wanted.orderBy(F.desc(F.col("term") == ""), F.desc("toxic"), "term").limit(MOST_TERMS * 10)
-    counts = {r["term"]: (r["toxic"], r["clean"]) for r in best.collect()}
-    toxic, clean = counts.pop("", (0, 0))
+    totals = {r["y"]: r["count"] for r in sample.groupBy("y").count().collect()}
+    toxic, clean = totals.get(1, 0), totals.get(0, 0)
     terms = {t: (SEED_WEIGHT, False) for t in SEED}
     plain = Lexicon(terms, EXCEPTIONS, (-3.0, 2.0, 1.0))
     if not toxic or not clean:
         return plain
-    learned = choose_terms(counts, toxic, clean)
-    terms |= dict(sorted(learned.items(), key=lambda kv: (-kv[1][0], kv[0]))[:MOST_TERMS])
+    # All terms that could be chosen: over the bar, or longer forms of one that is, which may lose a
+    # share of its toxic texts with each character, but gain no clean ones.
+    odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
+    bar = LEAST_LOG_ODDS + (MOST - LEAST + 1) * float(np.log(AGREE))
+    wanted = sums.where((F.col("toxic") >= F.lit(LEAST_TEXTS * AGREE ** (MOST - LEAST + 1))) & (odds >= bar))
+    terms |= choose_terms({r["term"]: (r["toxic"], r["clean"]) for r in wanted.collect()}, toxic, clean)
     lexicon = Lexicon(terms, EXCEPTIONS, plain.curve)
     found = sample.mapInArrow(_measuring(lexicon, "y", "text"), "y int, weight double, density double").toPandas()
     x, y = found[["weight", "density"]].to_numpy(float), found["y"].to_numpy(float)
