@@ -26,10 +26,12 @@ _own_dir: str | None = None
 
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share: below ``spark.checkpoint.dir``,
-    or, where that is unset (tests in local mode), below a temporary folder."""
+    or, where that is unset in local mode (tests), below a temporary folder."""
     global _own_dir
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if _own_dir is None:
             _own_dir = tempfile.mkdtemp(prefix="pricelode-")
         base = _own_dir
@@ -57,6 +59,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key is hot if it has over 1 / HOT_SHARE of the rows, so there are at most HOT_SHARE hot keys.
+HOT_SHARE = 256
+HOT_ROWS = 64
+
+
+def hot_limit(rows: int) -> int:
+    return max(HOT_ROWS, rows // HOT_SHARE)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The left join of ``left`` (written or checkpointed: it is read three times) with the one row that
+    ``right`` (the same) has for a key at most. Rows of hot keys meet theirs by broadcast, which is
+    HOT_SHARE rows at most whatever the size; all others by a join that shuffles."""
+    counts = left.groupBy(key).count()
+    hot = checkpointed(counts.where(F.col("count") > hot_limit(left.count())).select(key))
+    if hot.isEmpty():
+        return left.join(right, key, "left")
+    found = right.join(F.broadcast(hot), key)
+    own = F.broadcast(hot.join(F.broadcast(found), key, "left"))
+    return left.join(own, key).unionByName(left.join(F.broadcast(hot), key, "left_anti").join(right, key, "left"))
+
+
 def smallest_hashes(df: DataFrame, rows: int, salt: int, *keys: str) -> DataFrame:
     """At most ``rows`` rows: those with the smallest hash of their keys. All but about that
     many are filtered away first, so that not every task sends its own ``rows``."""

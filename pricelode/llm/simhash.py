@@ -10,10 +10,11 @@ filed under each group's bits, visit the values within ``t_i``, and are verified
 
 Equal fingerprints are one node. Inside a bucket a breadth-first walk gives a spanning
 forest of its links, never all pairs; buckets over ``BLOCK`` nodes are dealt out as pairs of
-blocks. Components come from iterated star contraction, each round checkpointed.
+blocks. Components come from iterated star contraction, each round checkpointed; hubs (nodes with over
+1 / HOT_SHARE of the edges) meet their edges by broadcast, and so do fingerprints and components that many documents share.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero, which
-links like any other; a repeated row is a node of its own id; rows with a null id keep
+links like any other; a very long text is hashed whole; ties go to the smallest id; a repeated row is a node of its own id; rows with a null id keep
 their fingerprint and component but can't name a component that has an id; an empty table
 gives an empty result; other columns are ignored.
 """
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelode.llm.common import checkpointed, slices, small_batches, word_array, written
+from pricelode.llm.common import checkpointed, hot_limit, slices, small_batches, spread_join, word_array, written
 
 BITS = 64
 SEED = 42
@@ -410,9 +411,12 @@ def links(nodes: DataFrame, limits: Limits, plan: Plan | None = None) -> DataFra
 
 
 def banded(nodes: DataFrame) -> DataFrame:
-    """Rows like those of ``visits``: each node (with ``bands``) at its value of each band. Their
-    fingerprints are 0, so that the sketches decide alone."""
-    rows = nodes.select("node", "sketch", F.posexplode("bands").alias("part", "value"))
+    """Rows like those of ``visits``: each node (with ``bands``) at those values of its bands that other
+    nodes have too; the sketches join them only then. Their fingerprints are 0, so that the sketches
+    decide alone."""
+    lean = nodes.select("node", F.posexplode("bands").alias("part", "value"))
+    shared = lean.groupBy("part", "value").count().where(F.col("count") > 1).drop("count")
+    rows = lean.join(shared, ["part", "value"], "left_semi").join(nodes.select("node", "sketch"), "node")
     return rows.select((F.col("part") + FIRST_BAND).alias("part"), "value", "node", F.lit(0).cast("long").alias("fp"), "sketch", F.lit(True).alias("home"))
 
 
@@ -471,13 +475,17 @@ def components(edges: DataFrame) -> DataFrame:
     component. Alternating large and small stars until the edges rest."""
     state: tuple | None = None
     edges = checkpointed(edges.select("a", "b").where(F.col("a") != F.col("b")))
+    total = edges.count()
     for _ in range(ROUNDS):
         for large in (True, False):
             both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
             if not large:
                 both = both.where(F.col("b") < F.col("a"))
-            least = both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("least"))
-            moved = both.join(least, "a")
+            least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("least"), F.count("*").alias("n")))
+            hub = F.col("n") > hot_limit(2 * total)
+            hubs = F.broadcast(least.where(hub).drop("n"))  # HOT_SHARE rows at most, whatever the size
+            rest = both.join(hubs, "a", "left_anti").join(least.where(~hub).drop("n"), "a")
+            moved = both.join(hubs, "a").unionByName(rest)
             if large:
                 made = moved.where(F.col("b") > F.col("a")).select("b", "least")
             else:
@@ -487,7 +495,7 @@ def components(edges: DataFrame) -> DataFrame:
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == state:
             break
-        state = now
+        state, total = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     pairs = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
@@ -502,9 +510,9 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     graph = nodes.select(F.col("fp").alias("node"), "fp", F.lit(None).cast("binary").alias("sketch"))
     roots = checkpointed(components(links(graph, Limits(tau, 0))))
     named = nodes.join(roots, nodes["fp"] == roots["node"]).groupBy("root").agg(F.min("least_id").alias("component_id"))
-    linked = roots.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    whole = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return table.join(whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    linked = spread_join(roots, checkpointed(named), "root").select(F.col("node").alias("fp"), "component_id")
+    whole = written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")), "whole")
+    return spread_join(table, whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def alike(table: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -553,23 +561,23 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields)
     table = written(inner.mapInArrow(make, f"{fields}, _fp long, _sketch binary, _bands array<long>"), "near")
-    node = F.xxhash64("_fp", "_sketch").alias("node")
-    lean = table.select(node, F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_row").alias("row")).alias("who"), "_fp", "_sketch", "_bands")
-    firsts = [F.first(c).alias(c[1:]) for c in ("_fp", "_sketch", "_bands")]
-    nodes = written(lean.groupBy("node").agg(F.min("who").alias("who"), *firsts), "nodes")
+    lean = table.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_row").alias("row")).alias("who"), "_fp", "_sketch", "_bands")
+    # Numbers, not hashes, name the nodes: different texts never share one. They are fixed once written.
+    same = lean.groupBy(F.col("_fp").alias("fp"), F.col("_sketch").alias("sketch")).agg(F.min("who").alias("who"), F.first("_bands").alias("bands"))
+    nodes = written(same.withColumn("node", F.monotonically_increasing_id()), "nodes")
     limits = Limits(PROBE_TAU, sketch_bits(similarity), DOUBT)
     visited = visits(nodes, plan_search(*bit_sums(nodes), PROBE_TAU)).union(banded(nodes))
     edges = written(_found(visited, limits).distinct(), "edges")
     roots = checkpointed(components(edges.where("sure").select("a", "b")))
     doubts = edges.where(~F.col("sure")).select("a", "b")
     for end in ("a", "b"):
-        doubts = doubts.join(roots.toDF(end, f"root_{end}"), end, "left").withColumn(f"root_{end}", F.coalesce(f"root_{end}", end))
-    doubts = written(doubts.where(F.col("root_a") != F.col("root_b")), "doubts")
+        doubts = written(spread_join(doubts, roots.toDF(end, f"root_{end}"), end).withColumn(f"root_{end}", F.coalesce(f"root_{end}", end)), f"doubts-{end}")
+    doubts = doubts.where(F.col("root_a") != F.col("root_b"))
     if not doubts.isEmpty():
         more = checkpointed(components(alike(table.select("_row", F.col(t).alias("text")), nodes, doubts)))
         ends = doubts.select(F.col("root_a").alias("node")).union(doubts.select("root_b")).distinct()
-        every = roots.union(ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("root")))
-        roots = every.join(more.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        every = written(roots.union(ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))), "roots")
+        roots = spread_join(every, more.toDF("root", "top"), "root").select("node", F.coalesce("top", "root").alias("root"))
     first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("who").alias("who"))
     stay = first.select(F.col("who.row").alias("_row"))
     return table.join(stay, "_row", "left_semi").select(*own).toDF(*docs.columns)
