@@ -1,7 +1,7 @@
 """BPE encoding and decoding with a minimal acyclic transducer as the lexicon.
 
 The words of all texts are counted; the most frequent, ``LEXICON`` at most, are encoded by exact merges
-and compiled into a minimal acyclic automaton: states that accept the same suffixes are
+on the executors and compiled into a minimal acyclic automaton: states that accept the same suffixes are
 one, and a word's number (how many words sort before it, summed along its path) leads to
 its ids. The automaton is one file of plain arrays in the shared folder, memory-mapped by
 every worker. A batch's distinct words walk it together, one byte a step; the others are
@@ -41,7 +41,7 @@ from pricelode.llm.files import local_path, open_file, write_file
 from pricelode.llm.token_store import CUT_BYTES, Memory
 
 #: Words of the lexicon, at most; the rest is merged when met.
-LEXICON = 40_000
+LEXICON = 100_000
 #: A lexicon word has at most so many bytes.
 LONGEST = 40
 REMEMBERED = 200_000
@@ -272,9 +272,14 @@ class Lexicon:
 
     @staticmethod
     def pack(words: list[bytes], encoder: WordBpe) -> bytes:
-        words = sorted(set(words))
+        return Lexicon.pack_encoded({w: encoder.encode(w.decode()) for w in words})
+
+    @staticmethod
+    def pack_encoded(known: dict[bytes, list[int]]) -> bytes:
+        """The file of words with their ids."""
+        words = sorted(known)
         arrays = compile_automaton(words)
-        ids = [encoder.encode(w.decode()) for w in words]
+        ids = [known[w] for w in words]
         arrays["first"] = np.r_[0, np.cumsum([len(x) for x in ids], dtype=np.int64)]
         arrays["ids"] = np.array([i for x in ids for i in x], np.int32)
         out, head = io.BytesIO(), []
@@ -337,9 +342,21 @@ def build_lexicon(docs: DataFrame, tokenizer_path: str, text: str = "text", size
         if found > size:
             break
         least = row["step"]
-    top = counts.where(F.col("step") >= least).select("word").collect() if least is not None else []  # at most ``size`` short words
+    known: dict[bytes, list[int]] = {}
+    if least is not None:
+        spark = docs.sparkSession
+
+        def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = tokenizer_of(tokenizer_path)
+            for batch in batches:
+                ids = [own.encode(w.decode()) for w in batch.column(0).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["word", "ids"])
+
+        top = counts.where(F.col("step") >= least).select("word").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        found = top.mapInArrow(encode, "word binary, ids array<int>").toArrow()  # at most ``size`` short words
+        known = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
     path = f"{shared_dir(docs.sparkSession, 'lexicon')}/words.mat"
-    write_file(path, Lexicon.pack([bytes(r["word"]) for r in top], encoder))
+    write_file(path, Lexicon.pack_encoded(known))
     return path
 
 

@@ -112,8 +112,9 @@ def test_repeated_special_tokens_equal_the_library(spark):
         assert found[i] == (len(ids), " ".join(map(str, ids)), library.decode(ids, skip_special_tokens=False)), t
 
 
-def test_capitals_are_served_by_the_automaton(spark, documents):
-    """The share of all words that the automaton serves, capitals included."""
+def test_capitals_are_served_by_the_automaton(spark):
+    """The share of all words that the automaton serves, capitals included; it holds no word that occurs once."""
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     path = bpe.build_lexicon(documents, WORDS)
     encoder = bpe.Encoder(WORDS, path)
     texts = pa.array([r.text or "" for r in documents.select("text").collect()])
