@@ -4,12 +4,12 @@ The lengths of all documents form one histogram. A dynamic program over it choos
 ``buckets`` upper bounds that minimise the padding of every document to its bucket's
 bound. A batch holds ``budget // bound`` documents of one bucket (at least one), so no text
 is cut. Documents of a bucket are numbered through without gathering a bucket in one task:
-they are dealt by hash into cells of bounded size, cells get offsets from their counts, and
-a document's number is its offset plus its rank in the cell.
+they are dealt by hash of id, length and place in the table into cells of bounded size, cells get offsets from
+their counts, and a document's number is its offset plus its rank in the cell.
 
-Defined cases: a null or empty text has length 0 and is packed like others; ties and
-repeated rows are packed one by one; an empty table gives an empty result. Columns of the
-input other than id and text are ignored.
+Defined cases: a null or empty text has length 0 and is packed like others; a text longer than the budget
+is a batch of its own; ties, repeated rows and null ids are packed one by one, and spread over cells as others
+are; an empty table gives an empty result. Columns of the input other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -84,7 +84,7 @@ def word_count(text: Column) -> Column:
 
 
 def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
-    """``lengths`` (doc_id, n_tokens; read more than once, so written before) with bucket,
+    """``lengths`` (doc_id, n_tokens; a written table, which is read more than once) with bucket,
     bucket_len, padding, batch_id (text, unique over buckets) and position in the batch."""
     histogram = lengths.groupBy("n_tokens").count().toPandas().sort_values("n_tokens")
     total = int(histogram["count"].sum()) if len(histogram) else 0
@@ -96,7 +96,9 @@ def pack(lengths: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET) -> Da
     bound = F.element_at(F.array(*(F.lit(x).cast("long") for x in upper)), F.col("bucket") + 1)
     cells = max(1, -(-total // CELL))
     placed = lengths.withColumn("bucket", bucket).withColumn("bucket_len", bound)
-    placed = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(cells)).cast("int"))
+    # A written table has its files' rows in order: a row's name there is its own, even if its id is not.
+    file, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    placed = placed.withColumn("cell", F.pmod(F.xxhash64("doc_id", "n_tokens", file, row), F.lit(cells)).cast("int"))
     counts = placed.groupBy("bucket", "cell").agg(F.count("*").alias("n"))
     counts = counts.withColumn("block", F.floor(F.col("cell") / 1000))
     # offsets of cells: sums in blocks of 1,000 cells, then over the blocks of a bucket

@@ -58,3 +58,25 @@ def test_many_lengths_have_least_padding():
     assert bounds.padding == cost[-1] - (lengths * counts).sum() and set(bounds.upper) <= set(lengths.tolist())
     upper = np.array(bounds.upper)
     assert (counts * (upper[np.searchsorted(upper, lengths)] - lengths)).sum() == bounds.padding
+
+
+def test_twelve_thousand_lengths_have_least_padding():
+    """Against the plain program over all pairs of bounds."""
+    rng = np.random.default_rng(8)
+    lengths = np.sort(rng.choice(60_000, 12_000, replace=False))
+    counts = rng.integers(1, 50, 12_000)
+    before = np.r_[0, np.cumsum(counts)]
+    cost = np.r_[0, lengths * before[1:]]
+    for _ in range(3):
+        cost = np.array([0] + [(cost[:j] + lengths[j - 1] * (before[j] - before[:j])).min() for j in range(1, 12_001)])
+    assert choose_bounds(lengths, counts, 4).padding == cost[-1] - (lengths * counts).sum()
+
+
+def test_repeated_and_null_ids_share_no_cell(spark, monkeypatch):
+    from pricelode.llm import packing
+
+    monkeypatch.setattr(packing, "CELL", 100)
+    docs = spark.range(6000).selectExpr("if(id % 2 = 0, 7, null) doc_id", "'one two three' text")
+    rows = pack_documents(docs, budget=30).toPandas()
+    assert len(rows) == 6000 and not rows.duplicated(["batch_id", "position"]).any()
+    assert rows.groupby("batch_id").size().tolist() == [10] * 600
