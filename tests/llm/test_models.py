@@ -184,6 +184,6 @@ def test_quality_equals_a_loop_over_tables(spark):
 def test_accuracy_at_the_figure_of_the_readme(spark):
     d = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{d}/labels.parquet")
-    for name, column in (("op9_quality_gam", "quality"), ("op10_toxicity", "toxic")):
+    for name, column, bar in (("op9_quality_gam", "quality", 0.99), ("op10_toxicity", "toxic", 0.98)):
         accuracy, n = held_out_accuracy(queries.QUERIES[name](spark, d).collect(), labels, column)
-        assert n > 400 and accuracy >= 0.99
+        assert n > 400 and accuracy >= bar
