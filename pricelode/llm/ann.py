@@ -6,17 +6,19 @@ queue, nearest node first, and visits as many leaves as calibration asks for: fo
 ``CALIBRATION`` queries the true neighbours are found over all vectors, and visits widen until
 ``TARGET`` of these lie in visited leaves.
 
+A query whose visited leaves hold too few vectors goes on until they hold enough.
+
 Equal vectors are one point that keeps its smallest ids, as many as a result can hold; so a
-vector that a third of the rows share is compared once. Leaves that are near in the tree form
-at most SHARDS shards; a shard's points are cut into blocks of bounded size, and so are its
-queries. Every pair of blocks is one unit of work, which compares a query with the leaves
-that it visits and gives one row for each query; these are merged at the end. Scores are cosines in double
-precision, of the original vectors.
+vector that a third of the rows share is compared once. Neighbouring leaves form shards of about BLOCK points, as many
+shards as the points need; a leaf with more is cut into blocks. A query goes to the shards of the leaves that it visits, and
+to no others; its unit of work compares a block of points with up to QUERY_BLOCK queries and
+gives one row for each; these are merged at the end. So what is shuffled follows the leaves
+visited. Scores are cosines in double precision, of the original vectors.
 
 Defined cases: vectors that are null, zero, of another length than the most frequent one,
 or hold a null or non-finite component take no part, as query or candidate; a query with
 fewer candidates gets them all; ties go to the smaller id; repeated ids are separate rows
-(a query never finds its own id); null ids take no part; an empty table gives an empty result.
+(a query never finds its own id); long vectors are compared whole; null ids take no part; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pricelode.llm.common import smallest_hashes, written
+from pricelode.llm.common import smallest_hashes, spread_join, written
 
 NEIGHBOURS = 5
 FIT_ROWS = 20_000
@@ -41,9 +43,10 @@ LEAF_ROWS = 200
 MOST_LEAVES = 4096
 CALIBRATION = 96
 TARGET = 0.97
-SHARDS = 64
+#: Points and queries of a unit of work, about, and queries that it scores at once.
 BLOCK = 8192
-QUERY_BLOCK = 512
+QUERY_BLOCK = 8192
+STEP = 256
 
 
 class Tree(NamedTuple):
@@ -71,11 +74,12 @@ class Tree(NamedTuple):
             todo += [(kid, rows[best == k]) for k, kid in enumerate(kids) if (best == k).any()]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first: the queue holds every branch not taken."""
+    def visits(self, query: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves, best bin first (the queue holds every branch not taken), and more
+        while these hold fewer than ``least`` ids (``held``: of each leaf)."""
         near = self.centroids @ query
-        queue, found = [(-float(near[0]), 0)], []
-        while queue and len(found) < most:
+        queue, found, ids = [(-float(near[0]), 0)], [], 0
+        while queue and (len(found) < most or ids < least):
             _, node = heapq.heappop(queue)
             while self.children[node]:
                 kids = sorted(self.children[node], key=lambda k: -near[k])
@@ -83,6 +87,7 @@ class Tree(NamedTuple):
                     heapq.heappush(queue, (-float(near[k]), k))
                 node = kids[0]
             found.append(int(self.leaf[node]))
+            ids += int(held[found[-1]]) if held is not None else least
         return found
 
 
@@ -140,15 +145,30 @@ def unit(x: np.ndarray) -> np.ndarray:
     return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Cosines of all pairs of rows. Each is summed by itself, so that equal pairs of vectors
-    get equal scores in whatever block they meet."""
-    out = np.empty((len(a), len(b)))
-    ua, ub = unit(a), unit(b)
-    step = max(1, (1 << 21) // max(1, ub.size))
-    for at in range(0, len(ua), step):
-        out[at : at + step] = (ua[at : at + step, None, :] * ub[None, :, :]).sum(axis=2)
-    return out
+def best_of(a: np.ndarray, b: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of ``a`` (unit vectors) its number, and the rows of ``b`` that could be among its ``k``
+    nearest, with their cosines. A product of matrices finds them; each cosine is then summed by itself, so that
+    equal pairs of vectors get equal scores in whatever block they meet."""
+    for at in range(0, len(a), STEP):
+        near = a[at : at + STEP] @ b.T
+        kth = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -np.inf)
+        rows, cols = np.nonzero(near >= kth[:, None] - 1e-9)
+        score = np.concatenate([(a[at + rows[i : i + 65_536]] * b[cols[i : i + 65_536]]).sum(axis=1) for i in range(0, len(rows), 65_536)])
+        cut = np.searchsorted(rows, np.arange(len(near) + 1))
+        for i in range(len(near)):
+            own = slice(cut[i], cut[i + 1])
+            yield at + i, cols[own], score[own]
+
+
+def shards_of(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each leaf, by the points that leaves have, and the blocks of each shard."""
+    shard, held, out = 0, 0, np.zeros(len(sizes), np.int32)
+    for leaf, n in enumerate(sizes.tolist()):
+        if held and held + n > BLOCK:
+            shard, held = shard + 1, 0
+        out[leaf] = shard
+        held += n
+    return out, np.maximum(1, -(-np.bincount(out, sizes).astype(np.int64) // BLOCK))
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
@@ -199,7 +219,7 @@ def _needed_visits(points: DataFrame, tree: Tree, queries: np.ndarray, k: int, t
 
 def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEIGHBOURS, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row where ``is_query``
-    (an expression of ``vec_id``) holds."""
+    (an expression of ``vec_id``) holds; and how many leaves it visited, of how many."""
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, embedding)
     # A point keeps the k + 1 smallest ids of its vector: one may be the query's own.
@@ -208,7 +228,7 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
     points = ids.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("least_id", F.col("ids")[0])
     points = written(points, "points")
     total = points.count()
-    schema = "query_id long, rank int, vec_id long, score double"
+    schema = "query_id long, rank int, vec_id long, score double, visited int, leaves int"
     if not total:
         return spark.createDataFrame([], schema)
     tree = fit_tree(unit(_sample(points, FIT_ROWS, 1)), total)
@@ -222,64 +242,68 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
     points = written(points.select("v", "ids", "least_id").mapInArrow(place, "leaf int, v array<double>, ids array<long>, least_id long"), "leaves")
     visits = min(tree.leaves, max(1, _needed_visits(points, tree, _sample(points, CALIBRATION, 2), k, target)))
 
-    asked = written(rows.where(is_query).withColumn("key", F.xxhash64("v")), "asked")
-    distinct = asked.groupBy("v").agg(F.min("vec_id").alias("query"))
+    # One row for each leaf; there are MOST_LEAVES at most, or as many as a bounded sample gives.
+    counts = points.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()
+    size, held = np.zeros(tree.leaves, np.int64), np.zeros(tree.leaves, np.int64)
+    for r in counts:
+        size[r["leaf"]], held[r["leaf"]] = r["n"], r["ids"]
+    shard_of, blocks = shards_of(size)
 
-    shards = min(SHARDS, tree.leaves)
+    asked = written(rows.where(is_query), "asked")
+    distinct = written(asked.groupBy("v").agg(F.min("vec_id").alias("query")), "queries")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, shard, lists = [], [], []
+            rows, shard, lists, visited = [], [], [], []
             for i, x in enumerate(unit(_matrix(batch.column(0))) if batch.num_rows else []):
-                leaves = np.sort(tree.visits(x, visits))
-                own = leaves * shards // tree.leaves
+                leaves = np.sort(tree.visits(x, visits, held, k + 1))
+                own = shard_of[leaves]
                 for s in np.unique(own):
                     rows.append(i)
                     shard.append(s)
                     lists.append(leaves[own == s])
+                    visited.append(len(leaves))
             if rows:
                 at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard, pa.int32()), batch.column(1).take(at), batch.column(0).take(at), pa.array(lists, pa.list_(pa.int32()))], ["shard", "query", "v", "leaves"]
-                )
-
-    walks = distinct.select("v", "query").mapInArrow(walk, "shard int, query long, v array<double>, leaves array<int>")
-    points = points.withColumn("shard", F.floor(F.col("leaf") * shards / tree.leaves).cast("int"))
-    sizes = points.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    waits = walks.groupBy("shard").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("shares"))
-    plan = F.broadcast(written(sizes.join(waits, "shard"), "plan"))  # SHARDS rows at most
+                columns = [pa.array(shard, pa.int32()), batch.column(1).take(at), batch.column(0).take(at), pa.array(lists, pa.list_(pa.int32())), pa.array(visited, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "query", "v", "leaves", "visited"])
+
+    walks = written(distinct.select("v", "query").mapInArrow(walk, "shard int, query long, v array<double>, leaves array<int>, visited int"), "walks")
+    waiting = {r["shard"]: r["n"] for r in walks.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # no more rows than leaves
+    plan = [(leaf, int(s), int(blocks[s]), -(-waiting[int(s)] // QUERY_BLOCK)) for leaf, s in enumerate(shard_of) if int(s) in waiting]
+    plan = spark.createDataFrame(plan, "leaf int, shard int, blocks int, shares int")
     hashed = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = walks.join(plan, "shard").withColumn("share", hashed("query", "shares")).withColumn("block", every("blocks"))
-    right = points.join(plan, "shard").withColumn("block", hashed("least_id", "blocks")).withColumn("share", every("shares"))
+    left = walks.join(F.broadcast(plan.drop("leaf").distinct()), "shard").withColumn("share", hashed("query", "shares")).withColumn("block", every("blocks"))
+    right = points.join(F.broadcast(plan), "leaf").withColumn("block", hashed("least_id", "blocks")).withColumn("share", every("shares"))
     best = pa.list_(pa.struct([("minus", pa.float64()), ("vec_id", pa.int64())]))
 
     def meet(key: tuple, queries: pa.Table, block: pa.Table) -> pa.Table:
         if not queries.num_rows or not block.num_rows:
-            return pa.table({"query": pa.array([], pa.int64()), "found": pa.array([], best)})
+            return pa.table({"query": pa.array([], pa.int64()), "found": pa.array([], best), "visited": pa.array([], pa.int32())})
         block = block.sort_by("least_id")
-        lists = queries.column("leaves").to_pylist()
-        x, y = (_matrix(t.column("v").combine_chunks()) for t in (queries, block))
-        leaf = block.column("leaf").to_numpy()
-        score = np.full((len(x), len(y)), -np.inf)
+        x, y = (unit(_matrix(t.column("v").combine_chunks())) for t in (queries, block))
+        leaf, ids = block.column("leaf").to_numpy(), block.column("ids").to_pylist()
+        lists = queries.column("leaves").combine_chunks()
+        asking = np.repeat(np.arange(len(x)), np.diff(lists.offsets.to_numpy()))
+        wanted = lists.flatten().to_numpy()
+        found: list[list] = [[] for _ in range(len(x))]
         for number in np.unique(leaf):
-            some, here = np.flatnonzero([number in own for own in map(set, lists)]), np.flatnonzero(leaf == number)
-            if len(some):
-                score[np.ix_(some, here)] = cosines(x[some], y[here])
-        ids, out = block.column("ids").to_pylist(), []
-        # points stand by their smallest id, so a stable sort breaks ties by it; one of the
-        # k + 1 points may be the query's own
-        for row, top in zip(score, np.argsort(-score, axis=1, kind="stable")[:, : k + 1], strict=True):
-            out.append(sorted((-row[p], i) for p in top if row[p] > -np.inf for i in ids[p])[: k + 1])
-        found = pa.array([[{"minus": m, "vec_id": i} for m, i in o] for o in out], best)
-        return pa.table({"query": queries.column("query"), "found": found})
+            some, here = asking[wanted == number], np.flatnonzero(leaf == number)
+            # one of the k + 1 points may be the query's own
+            for i, near, score in best_of(x[some], y[here], k + 1):
+                found[some[i]] += [(-s, v) for p, s in zip(near.tolist(), score.tolist(), strict=True) for v in ids[here[p]]]
+        top = [[{"minus": m, "vec_id": v} for m, v in sorted(f)[: k + 1]] for f in found]
+        return pa.table({"query": queries.column("query"), "found": pa.array(top, best), "visited": queries.column("visited")})
 
     keys = ["shard", "block", "share"]
-    met = left.select(*keys, "query", "v", "leaves").groupBy(*keys).cogroup(right.select(*keys, "v", "ids", "least_id", "leaf").groupBy(*keys))
-    met = met.applyInArrow(meet, "query long, found array<struct<minus: double, vec_id: long>>")
-    lists = met.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"))
-    named = lists.join(distinct.select("query", "v"), "query").select("v", "found")
+    met = left.select(*keys, "query", "v", "leaves", "visited").groupBy(*keys).cogroup(right.select(*keys, "v", "ids", "least_id", "leaf").groupBy(*keys))
+    met = met.applyInArrow(meet, "query long, found array<struct<minus: double, vec_id: long>>, visited int")
+    lists = met.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"), F.first("visited").alias("visited"))
+    named = written(lists.join(distinct, "query").select("v", "found", "visited"), "found")
     # every asking row gets its vector's list without itself
-    each = asked.join(named, "v").select("vec_id", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("found"))
-    flat = each.select(F.col("vec_id").cast("long").alias("query_id"), F.posexplode("found").alias("at", "x"))
-    return flat.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.minus")).alias("score"))
+    each = spread_join(asked, named, "v").select("vec_id", "visited", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("found"))
+    flat = each.select(F.col("vec_id").cast("long").alias("query_id"), "visited", F.posexplode("found").alias("at", "x"))
+    return flat.select(
+        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.minus")).alias("score"), "visited", F.lit(tree.leaves).cast("int").alias("leaves")
+    )

@@ -67,3 +67,46 @@ def test_visits_cover_all_leaves():
     tree = ann.fit_tree(x, 20_000)
     assert sorted(tree.visits(x[0], tree.leaves)) == list(range(tree.leaves)) and tree.leaves > 20
     assert len(set(tree.assign(x))) == tree.leaves
+
+
+def test_clustered_vectors_visit_few_leaves(spark):
+    """200,000 vectors in clusters: recall against brute force, and the share of leaves that were visited."""
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(2000, 16))
+    x = (centres[rng.integers(0, 2000, 200_000)] + 0.3 * rng.normal(size=(200_000, 16))).astype(np.float32)
+    vectors = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(200_000), "embedding": x.tolist()}), "vec_id long, embedding array<float>").repartition(8)
+    rows = ann.nearest(vectors, F.col("vec_id") % 2000 == 0).toPandas()
+    assert rows.groupby("query_id").size().tolist() == [5] * 100
+    assert rows.leaves.min() > 500 and rows.visited.max() < 0.1 * rows.leaves.min()
+    u = ann.unit(x.astype(float))
+    hits = 0
+    for q, part in rows.groupby("query_id"):
+        score = u @ u[q]
+        score[q] = -2
+        hits += len(set(part.vec_id) & set(np.argsort(-score)[:5].tolist()))
+    assert hits >= 0.9 * len(rows)
+
+
+def test_a_query_in_a_tiny_leaf_gets_all_its_neighbours(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, (np.array([1.0, 0, 0, 0]) + 1e-4 * rng.normal(size=4)).tolist()) for i in range(1, 3000)] + [(0, [0.0, 0.0, 0.0, -1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert [r["rank"] for r in ann.nearest(vectors, F.col("vec_id") == 0, target=0.01).collect()] == [1, 2, 3, 4, 5]
+
+
+def test_a_vector_of_many_rows_answers_each(spark):
+    vectors = spark.range(4000).selectExpr("id vec_id", "if(id % 3 = 0, array(1d, 2d), array(cast(id as double), 1d)) embedding")
+    rows = ann.nearest(vectors, F.col("vec_id") % 3 == 0).toPandas()
+    assert rows.groupby("query_id").size().tolist() == [5] * 1334
+    same = rows[rows.query_id == 3]
+    assert same.sort_values("rank").vec_id.tolist() == [0, 6, 9, 12, 15]
+
+
+def test_shards_hold_about_a_block():
+    sizes = np.array([5000, 5000, 100, 30_000, 0, 8000, 10])
+    shard, blocks = ann.shards_of(sizes)
+    assert shard.tolist() == sorted(shard.tolist()) and shard[0] != shard[1] == shard[2] != shard[3]
+    total = np.bincount(shard, sizes)
+    assert all(t <= ann.BLOCK * b for t, b in zip(total, blocks, strict=True))
