@@ -7,8 +7,8 @@ the rest of its documents too. The statistics are written once, without the text
 verdicts come back to documents by a broadcast join while hosts are few, else by a
 shuffled one, in which Spark splits hot hosts.
 
-Defined cases: a null or empty text has no words and fails; a null host is a host of its
-own; repeated rows are judged one by one; an empty table gives an empty result; other
+Defined cases: a null or empty text has no words and fails; a very long text is counted whole; a null host is a host of its
+own; a rate that equals the limit (a tie) is kept; repeated rows are judged one by one; an empty table gives an empty result; other
 columns are ignored.
 """
 
@@ -178,10 +178,20 @@ def quality_rules(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", h
 
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", host_limit: float = HOST_LIMIT) -> DataFrame:
     """The rows of ``docs`` that pass, with their own columns. The counts travel beside the
-    rows into one written table, so texts are neither counted twice nor shuffled."""
+    rows into one written table, so texts are neither counted twice nor shuffled: the rejected hosts
+    are broadcast. If there are over BROADCAST_HOSTS of those, the rows that they lose are found without texts
+    and leave by their numbers, so that no host's texts meet."""
     keep = [f"_keep_{i}" for i in range(len(docs.columns))]  # counts may clash with columns of docs
-    inner = docs.toDF(*keep)
+    inner = docs.toDF(*keep).withColumn("_row", F.monotonically_increasing_id())
     t, h = (keep[docs.columns.index(x)] for x in (text, host))
     counted = document_counts(inner, t)
-    table = written(counted.select(*keep, "base_failed"), "quality")
-    return with_verdicts(table, h, host_limit).where("kept").select(*keep).toDF(*docs.columns)
+    table = written(counted.select(*keep, "_row", "base_failed"), "quality")
+    hosts, _ = host_rates(table, h)
+    bad = written(hosts.where(F.col("host_rate") > host_limit).select("host"), "hosts")
+    good = table.where(~F.col("base_failed"))
+    if bad.count() <= BROADCAST_HOSTS:
+        out = good.join(F.broadcast(bad), good[h].eqNullSafe(bad["host"]), "left_anti")
+    else:
+        rows = good.select("_row", h)
+        out = good.join(rows.join(bad, rows[h].eqNullSafe(bad["host"]), "left_semi").select("_row"), "_row", "left_anti")
+    return out.select(*keep).toDF(*docs.columns)

@@ -70,3 +70,16 @@ def test_query_equals_sql(compare):
 def test_code_points_not_bytes():
     assert text_counts(pa.array(["é你 a"])).word_chars.tolist() == [3]
     assert np.all(text_counts(pa.array(["", " "])).n_words == 0)
+
+
+def test_many_rejected_hosts_take_no_texts_along(spark, cases, monkeypatch):
+    """The way of many rejected hosts gives what the broadcast gives, null hosts and repeated rows included."""
+    from pricelode.llm import quality_rules as module
+
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(i % 50, "short", "bad") for i in range(100)] + [(7, good, "bad")] + [(i % 40, "short", None) for i in range(80)] + [(500, good, None)] + [(1000 + i, f"{good} {i}", f"host{i % 9}") for i in range(300)]
+    docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, source string, _row string")
+    want = sorted(map(str, keep_good(docs).collect()))
+    monkeypatch.setattr(module, "BROADCAST_HOSTS", 0)
+    kept = keep_good(docs)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == want and len(want) == 300
