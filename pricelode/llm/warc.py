@@ -10,7 +10,8 @@ tree merges the runs' slices: the ranges, one after the other, are the global or
 Defined cases: a null payload is empty (and equal to other empty ones); a null URL has the
 empty key and sorts first; pages that repeat an id and its payload are all responses; a null
 id is never referred to, and is a response if no equal page has an id; line breaks in a URL
-are percent-encoded; an empty table gives an empty result; other columns are ignored.
+are percent-encoded, and those of an id (of any type) come back as they were; a very long payload is one record; captures
+equal in URL, time and id (ties) stand in the order of their archives; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pricelode.llm.common import files_dealt, shared_dir, slices, small_batches, written
+from pricelode.llm.common import files_dealt, shared_dir, slices, small_batches, spread_join, written
 from pricelode.llm.files import open_file, write_file
 
 ARCHIVE_BYTES = 32 << 20
@@ -52,6 +53,15 @@ def digest32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def _header(value) -> str:
+    """A value that is one line of a header, whatever it holds."""
+    return str(value).replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+
+
+def _value(header: str) -> str:
+    return header.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+
+
 def _record_id(page_id) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
 
@@ -64,10 +74,12 @@ def record(page_id, url: str | None, second: int, payload: bytes, refers_to, rev
     lines = [
         "WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id)}",
         f"WARC-Date: {datetime.fromtimestamp(second, UTC):%Y-%m-%dT%H:%M:%SZ}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest32(payload)}",
-        f"X-Page-Id: {'' if page_id is None else page_id}", f"X-Url-Key: {key.replace(chr(13), '%0D').replace(chr(10), '%0A')}",
+        f"X-Url-Key: {_header(key)}",
     ]
+    if page_id is not None:
+        lines.append(f"X-Page-Id: {_header(page_id)}")
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}", f"X-Refers-To-Page: {refers_to}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to)}", f"X-Refers-To-Page: {_header(refers_to)}"]
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
     pack = zlib.compressobj(6, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
@@ -107,13 +119,17 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     spark = pages.sparkSession
     small_batches(spark)
     folder = shared_dir(spark, "warc")
-    when = F.coalesce(F.col(page_id).cast("long"), F.lit(0)) + FIRST_SECOND if second is None else second
+    when = F.coalesce(F.col(page_id).cast("string").try_cast("long"), F.lit(0)) + FIRST_SECOND if second is None else second
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload), F.lit("")).alias("payload"), when.alias("second"))
     digests = written(own.select("page_id", F.sha1(F.col("payload").cast("binary")).alias("sha1")), "digests")
     repeats = written(digests.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("first_id").isNotNull()).drop("n"), "repeats")
+    known = own.withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
     if repeats.count() <= BROADCAST_REPEATS:
-        repeats = F.broadcast(repeats)
-    known = own.withColumn("sha1", F.sha1(F.col("payload").cast("binary"))).join(repeats, "sha1", "left")
+        known = known.join(F.broadcast(repeats), "sha1", "left")
+    else:  # rows meet by digest without payloads, and payloads by their rows' numbers
+        known = written(known.withColumn("_row", F.monotonically_increasing_id()), "pages")
+        refers = spread_join(known.select("_row", "sha1"), repeats, "sha1").where(F.col("first_id").isNotNull()).select("_row", "first_id")
+        known = known.join(refers, "_row", "left")
     other = F.coalesce(F.col("page_id") != F.col("first_id"), F.col("first_id").isNotNull())
     # 1970 to 9999: what a WARC date can hold
     second = F.least(F.greatest(F.coalesce(F.col("second"), F.lit(0)), F.lit(0)), F.lit(253_402_300_799)).cast("long")
@@ -164,7 +180,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 for seq, (at, length, content) in enumerate(members(open_file(path))):
                     f = parse(content)
                     second = int(datetime.strptime(f["WARC-Date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC).timestamp())
-                    rows.append((f["X-Url-Key"], second, f["X-Page-Id"] or None, f["size"], f["digest"], f["WARC-Type"], f.get("X-Refers-To-Page"), path, at, length, seq))
+                    page, refers = (_value(f[x]) if x in f else None for x in ("X-Page-Id", "X-Refers-To-Page"))
+                    rows.append((_value(f["X-Url-Key"]), second, page, f["size"], f["digest"], f["WARC-Type"], refers, path, at, length, seq))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[k]) for c, (_, k) in zip(zip(*rows, strict=True), INDEX, strict=True)], [n for n, _ in INDEX])
 
@@ -208,12 +225,13 @@ class LoserTree:
 
 def merge_runs(index: DataFrame, ranges: int | None = None) -> DataFrame:
     """The index (written: it is read twice) in global order of url_key, captured_at and
-    page_id: ``part`` numbers the ranges and ``place`` the rows of a range."""
+    page_id (as a number; -1 if it is none): ``part`` numbers the ranges and ``place`` the rows of a range."""
     spark = index.sparkSession
     if ranges is None:
         ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), index.count() // RANGE_ROWS)
-    number = F.coalesce(F.col("page_id").cast("long"), F.lit(-1))
-    dealt = index.withColumn("_number", number).repartitionByRange(ranges, "url_key", "captured_at", "_number")
+    number = F.coalesce(F.col("page_id").try_cast("long"), F.lit(-1))
+    # archive and seq part captures that are equal in all else
+    dealt = index.withColumn("_number", number).repartitionByRange(ranges, "url_key", "captured_at", "_number", "archive", "seq")
     dealt = dealt.sortWithinPartitions("archive", "seq").withColumn("_part", F.spark_partition_id())
     names = [n for n, _ in INDEX[:-1]]
 

@@ -71,3 +71,24 @@ def test_empty_table(pages):
 
 def test_query_equals_sql(compare):
     compare(queries.QUERIES["op4_warc"], queries.ORACLES["op4_warc"])
+
+
+def test_many_repeats_give_the_same(pages, monkeypatch):
+    want = sorted(str(r) for r in warc.archive_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())
+    monkeypatch.setattr(warc, "BROADCAST_REPEATS", 0)
+    assert sorted(str(r) for r in warc.archive_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == want
+
+
+def test_ids_of_any_text(spark):
+    ids = ["a\nb", "", "100%", "%0A", "x\r\ny: z", " blank ", None, "7"]
+    rows = [(i, f"http://h.example/{k % 3}", "same" if k % 2 else f"own {k}") for k, i in enumerate(ids)]
+    found = warc.archive_pages(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert sorted(map(str, (r.page_id for r in found))) == sorted(map(str, ids))
+    # equal payloads: "", "%0A", " blank " and "7"; the smallest is ""
+    assert {r.page_id: r.refers_to for r in found if r.record_type == "revisit"} == {"%0A": "", " blank ": "", "7": ""}
+
+
+def test_a_payload_over_all_slices(spark):
+    long = "<p>" + "y" * (9 << 20)
+    [r] = warc.archive_pages(spark.createDataFrame([(1, "http://a", long)], "page_id long, url string, html string")).collect()
+    assert r.payload_bytes == len(long) and r.payload_digest == warc.digest32(long.encode())
