@@ -13,14 +13,16 @@ Encoding: a text is cut where the byte-level pre-tokenizer cuts too, whatever st
 (``chunk_begins``); distinct chunks are encoded once, by the tokenizers library, and their
 ids gathered. Texts with the special token's string go through the library whole.
 
-Defined cases: a null or empty text has only the end id; a null id sorts first; repeated
-rows are written one by one; an empty table gives no shards and an empty result; other
+Defined cases: a null or empty text has only the end id; a very long text is encoded whole and is a shard of
+its own; a null id sorts first; equal ids (ties) stand in the order in which they were read; repeated
+rows are written one by one, by several tasks if there are many; an id may hold any characters; an empty table gives no shards and an empty result; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
 import io
+import json
 import os
 import struct
 import uuid
@@ -42,7 +44,7 @@ from pricelode.llm.files import open_file, write_file
 END_ID = 2
 SHARD_TOKENS = 1 << 21
 RANK_STEP = 512
-MAGIC = b"PLWM0001"
+MAGIC = b"PLWM0002"
 #: Chunks that a worker process remembers (twice that at most).
 CHUNKS = 350_000
 #: Bytes of text cut at once: the more, the fewer chunks are looked up twice.
@@ -157,11 +159,11 @@ def wavelet_planes(ids: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
 
 
 def pack_shard(doc_ids: list, ends: np.ndarray, ids: np.ndarray) -> bytes:
-    """A shard file: documents (ids as text, ``\\x00`` for null), ``ends`` of their tokens, planes."""
+    """A shard file: documents (ids as a JSON list of texts, null for null), ``ends`` of their tokens, planes."""
     squeeze = zstandard.ZstdCompressor(level=1).compress
     out = io.BytesIO()
     planes = list(wavelet_planes(ids))
-    table = "\n".join("\x00" if d is None else str(d) for d in doc_ids).encode()
+    table = json.dumps([None if d is None else str(d) for d in doc_ids]).encode()
     out.write(MAGIC + struct.pack("<QQI", len(doc_ids), len(ids), len(planes)))
     for raw in (table, np.asarray(ends, "<i8").tobytes()):
         block = squeeze(raw)
@@ -176,7 +178,7 @@ def pack_shard(doc_ids: list, ends: np.ndarray, ids: np.ndarray) -> bytes:
 
 
 class WaveletShard:
-    """A shard read back. Planes are unpacked when first needed."""
+    """A shard read back, with its planes as packed bits."""
 
     def __init__(self, raw: bytes) -> None:
         if raw[:8] != MAGIC:
@@ -188,7 +190,7 @@ class WaveletShard:
             (size,) = struct.unpack_from("<Q", raw, at)
             blocks.append(zstandard.decompress(raw[at + 8 : at + 8 + size]))
             at += 8 + size
-        self.doc_ids = [None if x == "\x00" else x for x in blocks[0].decode().split("\n")] if self.n_docs else []
+        self.doc_ids = json.loads(blocks[0])
         self.ends = np.frombuffer(blocks[1], "<i8")
         self.zeros, self.bits, self.ranks = [], [], []
         for _ in range(n_planes):
@@ -277,8 +279,9 @@ def write_shards(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
     spark = docs.sparkSession
     small_batches(spark)
     folder = folder or shared_dir(spark, "tokens")
-    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    ranged = narrow.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
+    narrow = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    # A row's number parts repeated and null ids, so that no task gets all of them.
+    ranged = narrow.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row").select("doc_id", "text", F.spark_partition_id().alias("part"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, attempt = encoder_of(tokenizer_path), uuid.uuid4().hex

@@ -131,3 +131,27 @@ def test_lowering_leaves_special_tokens_and_other_scripts():
     found = bpe.lower_words(words, ["<|endoftext|>"])
     assert found.to_pylist() == [b"the", b"<|ENDOFTEXT|>", "ÄB".encode(), b"", b"X<|endoftext|>", b"a1"]
     assert bpe.lower_words(words.slice(5), []).to_pylist() == [b"a1"] and bpe.lower_words(words.slice(6), []).to_pylist() == []
+
+
+def test_a_text_over_all_slices(spark):
+    """9 MB, beside short ones: both encoders against the library."""
+    long = "Some words, and other words! " * 320_000
+    docs = spark.createDataFrame([(1, "short"), (2, long), (3, None)], "doc_id long, text string").coalesce(1)
+    want = np.array([*Tokenizer.from_file(BYTES).encode(long, add_special_tokens=False).ids, 2], "<u4")
+    rows = {r.doc_id: r for r in token_store.token_store(docs, BYTES).collect()}
+    assert (rows[2].n_tokens, rows[2].ids_crc32) == (len(want), zlib.crc32(want.tobytes())) and rows[3].n_tokens == 1
+    ids = Tokenizer.from_file(WORDS).encode(long, add_special_tokens=False).ids
+    found = {r.doc_id: r for r in bpe.bpe_digests(docs, WORDS).collect()}
+    assert (found[2].n_tokens, found[2].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+
+
+def test_ids_of_any_text_and_repeated_ids(spark):
+    rows = [("a\nb", "one"), ("\x00", "two"), (None, "three"), ("", "four")] + [("hot", f"text {i % 7}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string").repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few rows are one part
+    manifest = token_store.write_shards(docs, BYTES)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = sorted(token_store.read_shards(manifest, "string").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in found] == [None, "", "\x00", "a\nb"] + ["hot"] * 2000
+    assert [r.start for r in found] == [0, *np.cumsum([r.n_tokens for r in found])[:-1].tolist()]
+    assert manifest.where("n_docs > 100").count() > 1  # the hot id is in several parts
