@@ -92,3 +92,68 @@ def test_one_contiguous_edit_is_found(spark):
         want.add(2 * k)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == want
+
+
+def test_near_duplicates_against_exact_shingles(spark):
+    """All pairs of the stage's input, by their exact sets of five-word shingles: of two texts with a Jaccard
+    similarity of 0.8 or more one goes at least, and a text goes only if it is near a text that stays, in steps."""
+    import re
+
+    import numpy as np
+    import pyarrow as pa
+
+    from pricelode.llm import simhash
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas().sort_values("doc_id")
+    texts = [t or "" for t in rows.text]
+    kept = {r.doc_id for r in simhash.drop_near_copies(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
+    sets, place = [], {}
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        some = {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)}
+        sets.append(some)
+        for s in some:
+            place.setdefault(s, []).append(len(sets) - 1)
+    shared = {}
+    for own in place.values():
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    near = {(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)}
+    assert len(near) > 50
+    sketch = simhash.sketches(pa.array(texts))
+    linked = np.bitwise_count(sketch[:, None, :] ^ sketch[None, :, :]).sum(axis=2) <= simhash.sketch_bits()
+    for a, b in near:
+        linked[a, b] = linked[b, a] = True
+    root = np.arange(len(rows))
+    while True:
+        least = np.where(linked, root[None, :], len(rows)).min(axis=1)
+        if (least == root).all():
+            break
+        root = least
+    ids = rows.doc_id.to_numpy()
+    stays = np.array([d in kept for d in ids])
+    assert not [(int(ids[a]), int(ids[b])) for a, b in near if stays[a] and stays[b]]
+    assert all(stays[root == r].any() for r in set(root.tolist()))
+
+
+def test_hubs_and_hot_texts(spark):
+    """100,000 equal rows and a hub of 3,000 near ones leave one each."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from pricelode.llm import simhash
+
+    rng = random.Random(1)
+    base = [f"b{i}" for i in range(400)]
+    near = []
+    for i in range(3000):
+        words = base.copy()
+        words[rng.randrange(400)] = f"x{i}"
+        near.append((200_000 + i, " ".join(words)))
+    same = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit(" ".join(f"c{i}" for i in range(40))).alias("text"))
+    docs = same.union(spark.createDataFrame(near, "doc_id long, text string")).repartition(4)
+    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == [0, 200_000]
+    found = simhash.simhash_components(docs)
+    assert found.count() == 103_000 and found.where("doc_id < 100000").select("component_id").distinct().collect()[0].component_id == 0
