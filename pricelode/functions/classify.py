@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from pricelode.functions.prices import is_placeholder_text
 from pricelode.functions.text import collapse, is_blank, normalized
 
 #: Formats that are not shown. Fixed values, compared after trimming in upper case.
@@ -45,6 +46,57 @@ def availability_of_flag(c: Column) -> Column:
     return F.when(low.isin("true", "1", "yes", "ja", "j"), F.lit("in_stock")).when(low.isin("false", "0", "no", "nee", "n"), F.lit("out_of_stock")).otherwise(F.lit("unknown"))
 
 
+#: What feeds write for an offer that is sold out, or to be had. Fixed values, in lower case.
+SOLD_OUT_WORDS = ("niet op voorraad", "uitverkocht", "sold out", "not in stock", "out of stock", "temporarily unavailable")
+FOR_SALE_WORDS = ("op voorraad", "leverkans", "levertijd", "preorder", "bestelbaar", "in stock", "estimated delivery", "delivery chance")
+SOLD_OUT_STATUS = ("uitverkocht", "sold out", "niet leverbaar", "out_of_stock")
+VARIANT_SOLD_OUT, VARIANT_FOR_SALE = ("uitverkocht", "sold out"), ("op voorraad", "in stock", "preorder", "bestelbaar")
+
+
+def _unless_priced(price: Column) -> Column:
+    """What has a price and no word against it is in stock."""
+    return F.when(price.isNotNull(), F.lit("in_stock")).otherwise(F.lit("unknown"))
+
+
+def availability_of_yes(c: Column) -> Column:
+    """Of JA and NEE alone; all else is unknown."""
+    word = F.upper(collapse(c))
+    return F.when(word == "JA", F.lit("in_stock")).when(word == "NEE", F.lit("out_of_stock")).otherwise(F.lit("unknown"))
+
+
+def availability_of_ja(c: Column) -> Column:
+    """JA, or out of stock."""
+    return F.when(F.upper(collapse(c)) == "JA", F.lit("in_stock")).otherwise(F.lit("out_of_stock"))
+
+
+def availability_unless_sold_out(c: Column) -> Column:
+    """In stock unless the text says that it is sold out."""
+    return F.when(normalized(c).contains("uitverkocht"), F.lit("out_of_stock")).otherwise(F.lit("in_stock"))
+
+
+def availability_of_listing(status: Column, price: Column) -> Column:
+    """Of a listing's status, which is "ok" or says what is wrong."""
+    return F.when(contains_any(status, list(SOLD_OUT_STATUS)), F.lit("out_of_stock")).when(normalized(status) == "ok", F.lit("in_stock")).otherwise(_unless_priced(price))
+
+
+def availability_of_variant(flag: Column, label: Column, price: Column) -> Column:
+    """A flag decides; without one, the words of the label."""
+    word = normalized(flag)
+    return (
+        F.when(word.isin("false", "0"), F.lit("out_of_stock")).when(word.isin("true", "1"), F.lit("in_stock")).when(contains_any(label, list(VARIANT_SOLD_OUT)), F.lit("out_of_stock"))
+        .when(contains_any(label, list(VARIANT_FOR_SALE)), F.lit("in_stock")).otherwise(_unless_priced(price))
+    )
+
+
+def availability_of_status(status: Column, label: Column, price: Column) -> Column:
+    """A known status decides; without one, the words of the label, the negative ones first."""
+    word = F.replace(normalized(status), F.lit("_"), F.lit(""))
+    return (
+        F.when(word == "outofstock", F.lit("out_of_stock")).when(word == "instock", F.lit("in_stock")).when(contains_any(label, list(SOLD_OUT_WORDS)), F.lit("out_of_stock"))
+        .when(contains_any(label, list(FOR_SALE_WORDS)), F.lit("in_stock")).otherwise(_unless_priced(price))
+    )
+
+
 def is_second_hand(text: Column) -> Column:
     return F.coalesce(normalized(text).rlike(r"2e ?hands|tweede ?hands|second[- ]?hand|pre[- ]?owned|\bused\b|gebruikt"), F.lit(False))
 
@@ -56,6 +108,14 @@ def enrichment_state(page_ok: Column, fetch_error: Column, code: Column, second_
     )
 
 
+def lacks_details(price: Column, *fields: Column) -> Column:
+    """A row whose details are to be read again: a blank field or price, or the price that a shop shows where it has none."""
+    lacking = is_blank(price) | is_placeholder_text(price)
+    for f in fields:
+        lacking = lacking | is_blank(f)
+    return lacking
+
+
 def needs_enrichment(code: Column, status: Column) -> Column:
     return is_blank(code) & ~F.coalesce(status, F.lit("")).isin("second_hand_confirmed", "no_ean")
 
@@ -82,3 +142,8 @@ def queue_state(old: Column, candidates: Column) -> Column:
 
 def confidence(score: Column, most: float = 125.0) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score / most))
+
+
+def rank_confidence(rank: Column, most: int = 100) -> Column:
+    """A candidate's rank as confidence in whole percent."""
+    return F.least(F.lit(most), F.greatest(F.lit(0), rank))

@@ -52,6 +52,28 @@ def freshness_label(last_seen: Column, as_of: Column) -> Column:
     return label.otherwise(F.lit(STALE))
 
 
+#: The labels of a product's page: whole sentences, and older ones by days.
+CHECKED = ((24, "Vandaag gecontroleerd"), (48, "1 dag geleden gecontroleerd"))
+
+
+def checked_label(last_seen: Column, as_of: Column) -> Column:
+    age = hours_between(last_seen, as_of)
+    label = F.when(last_seen.isNull(), F.lit(None).cast("string"))
+    for hours, text in CHECKED:
+        label = label.when(age < hours, F.lit(text))
+    return label.otherwise(F.concat(F.floor(age / 24).cast("string"), F.lit(" dagen geleden gecontroleerd")))
+
+
+#: Short Dutch month names, as charts show them. Fixed values.
+MONTHS = ("jan", "feb", "mrt", "apr", "mei", "jun", "jul", "aug", "sep", "okt", "nov", "dec")
+
+
+def day_label(day: Column, year: bool = False) -> Column:
+    """A day for display: 5 mei, or 5 mei 2024."""
+    parts = [F.dayofmonth(day).cast("string"), F.element_at(F.array(*map(F.lit, MONTHS)), F.month(day))]
+    return F.when(day.isNotNull(), F.concat_ws(" ", *parts, *([F.year(day).cast("string")] if year else [])))
+
+
 def recency_score(last_seen: Column, as_of: Column) -> Column:
     age = F.greatest(hours_between(last_seen, as_of), F.lit(0.0))
     return F.when(last_seen.isNull(), 0).when(age <= 24, 10).when(age <= 72, 6).when(age <= 168, 2).otherwise(0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
@@ -21,6 +22,7 @@ MOST_TAGS = 5
 _TAG = re.compile(r"<(meta|link|img|script)\b([^>]*)>", re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _JSONLD = re.compile(r"""<script\b[^>]*type\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>""", re.IGNORECASE | re.DOTALL)
+_VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _NO_COVER = re.compile(r"logo|icon|sprite|placeholder|avatar|banner|pixel", re.IGNORECASE)
 
 
@@ -137,25 +139,105 @@ def jsonld_images(page: pd.Series, base: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def embedded_array(page: pd.Series, name: pd.Series) -> pd.Series:
-    """The JSON array behind ``"name":`` in a page's scripts, by matching brackets outside strings; null if there is none."""
+    """The JSON array behind ``"name":`` in a page's scripts; null if there is none that can be read."""
 
     def find(text: str, key: str) -> str | None:
         m = re.search(rf'["\']?{re.escape(key)}["\']?\s*[:=]\s*\[', text)
         if not m:
             return None
-        depth, inside, at = 0, False, m.end() - 1
-        for i in range(at, len(text)):
-            c = text[i]
-            if inside:
-                inside = not (c == '"' and text[i - 1] != "\\")
-            elif c == '"':
-                inside = True
-            elif c == "[":
-                depth += 1
-            elif c == "]":
-                depth -= 1
-                if not depth:
-                    return text[at : i + 1]
-        return None
+        try:
+            return text[m.end() - 1 : json.JSONDecoder().raw_decode(text, m.end() - 1)[1]]
+        except (ValueError, RecursionError):
+            return None
 
     return pd.Series([find(p or "", n or "") for p, n in zip(page, name, strict=True)])
+
+
+_PRODUCT = StructType([StructField(x, StringType()) for x in ("name", "price", "currency", "availability")])
+
+
+def _products(node: object) -> Iterator[dict]:
+    """Product objects of a JSON-LD tree, outer ones first."""
+    todo = [node]
+    while todo:
+        x = todo.pop(0)
+        if isinstance(x, list):
+            todo += x
+        elif isinstance(x, dict):
+            kind = x.get("@type")
+            if kind == "Product" or (isinstance(kind, list) and "Product" in kind):
+                yield x
+            todo += [v for v in x.values() if isinstance(v, (dict, list))]
+
+
+def page_product(page: str) -> dict | None:
+    """Name, price, currency and availability of the first Product that a page declares; its first offer with a price counts."""
+    for block in _blocks(page):
+        for x in _products(block):
+            offers = x.get("offers") or {}
+            offers = [o for o in (offers if isinstance(offers, list) else [offers]) if isinstance(o, dict)]
+            offer = next((o for o in offers if o.get("price") is not None), offers[0] if offers else {})
+            text = lambda v: None if v is None else str(v).strip()
+            price = offer.get("price") if offer.get("price") is not None else offer.get("lowPrice")
+            return {"name": text(x.get("name")), "price": text(price), "currency": text(offer.get("priceCurrency")), "availability": text(offer.get("availability"))}
+    return None
+
+
+@F.pandas_udf(_PRODUCT)
+def jsonld_product(page: pd.Series) -> pd.DataFrame:
+    found = [page_product(p or "") or {} for p in page]
+    return pd.DataFrame({f.name: [x.get(f.name) for x in found] for f in _PRODUCT.fields}, dtype=object)
+
+
+class _Blocks(HTMLParser):
+    """The open elements around each link, with their texts, links and prices."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[dict] = []
+        self.found: list[tuple[str, dict, int, dict]] = []  # link, its element, steps up, ancestor
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        own = dict(attrs)
+        block = {"tag": tag, "text": [], "links": [], "prices": 0}
+        if tag not in _VOID:
+            self.open.append(block)
+        if tag == "a" and own.get("href"):
+            for steps, x in enumerate(reversed(self.open)):
+                x["links"].append(own["href"])
+                self.found.append((own["href"], block, steps, x))
+        if "price" in (own.get("class") or "").lower():
+            for x in self.open:
+                x["prices"] += 1
+
+    def handle_endtag(self, tag: str) -> None:
+        if any(x["tag"] == tag for x in self.open):
+            while self.open.pop()["tag"] != tag:
+                pass
+
+    def handle_data(self, data: str) -> None:
+        for x in self.open:
+            x["text"].append(data)
+
+
+def _card_blocks(page: str, base: str | None) -> list[dict]:
+    parser = _Blocks()
+    parser.feed(page)
+    text = lambda x: " ".join("".join(x["text"]).split())
+    return [
+        {"target": _resolve(base, link), "title": text(own), "steps": steps, "text": text(x), "links": [u for u in (_resolve(base, v) for v in x["links"]) if u], "prices": x["prices"]}
+        for link, own, steps, x in parser.found
+    ]
+
+
+_BLOCK = ArrayType(StructType([
+    StructField("target", StringType()), StructField("title", StringType()), StructField("steps", IntegerType()), StructField("text", StringType()),
+    StructField("links", ArrayType(StringType())), StructField("prices", IntegerType()),
+]))
+
+
+@F.pandas_udf(_BLOCK)
+def card_blocks(page: pd.Series, base: pd.Series) -> pd.Series:
+    """Every element around every link of a page (and the link itself, 0 steps up): candidates for the
+    link's product card."""
+    return pd.Series([_card_blocks(p or "", b) for p, b in zip(page, base, strict=True)])

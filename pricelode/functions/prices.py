@@ -16,10 +16,15 @@ def _number(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), text.try_cast("double"))
 
 
+def _shown(number: Column) -> Column:
+    """A number with two decimals, as text, rounded by its exact binary value (2.675 is 2.67): the
+    patterns of format_number do so, round and format_string go by the digits that a number shows."""
+    return F.translate(F.format_number(number, 2), ",", "")
+
+
 def _two(text: Column, otherwise: str | None = "") -> Column:
     """The number with two decimals, as text."""
-    shown = F.format_string("%.2f", _number(text))
-    return F.when(_number(text).isNotNull(), shown).otherwise(F.lit(otherwise))
+    return F.coalesce(_shown(_number(text)), F.lit(otherwise))
 
 
 def _both(t: Column) -> Column:
@@ -67,12 +72,12 @@ def euro_echo(c: Column) -> Column:
 
 def cents_price(c: Column) -> Column:
     """P6."""
-    return F.round(_number(F.trim(c)) / 100, 2)
+    return _shown(_number(F.trim(c)) / 100).cast("double")
 
 
 def plain_price(c: Column) -> Column:
     """Digits and signs, commas as dots."""
-    return F.round(_number(F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\d,.]", ""), ",", ".")), 2)
+    return _shown(_number(F.translate(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\d,.]", ""), ",", "."))).cast("double")
 
 
 def dots_dropped_price(c: Column) -> Column:
@@ -132,6 +137,14 @@ def is_placeholder(price: Column, value: float = 80.0) -> Column:
     return F.coalesce(price == value, F.lit(False))
 
 
+#: The same as texts, without blanks. Fixed values.
+PLACEHOLDER_TEXTS = ("80", "80,00", "€80", "€80,00")
+
+
+def is_placeholder_text(price: Column) -> Column:
+    return F.coalesce(F.replace(dutch_price(price), F.lit(" "), F.lit("")).isin(*PLACEHOLDER_TEXTS), F.lit(False))
+
+
 def euro(price: Column) -> Column:
     """For display: € 1.234,50; €--,-- for null."""
     plain = F.translate(F.format_number(price, 2), ",.", ".,")

@@ -72,6 +72,35 @@ def search_text(*parts: Column) -> Column:
     return F.lower(F.concat_ws(" ", *(blank_to_null(collapse(p)) for p in parts)))
 
 
+def plain_search_text(*parts: Column) -> Column:
+    """The parts as they are, by single blanks; null where there are none."""
+    return blank_to_null(F.trim(F.concat_ws(" ", *parts)))
+
+
+#: What stands for a name that no column tells. Fixed values.
+UNKNOWN_ARTIST, UNKNOWN_TITLE = "Unknown Artist", "Unknown Title"
+
+
+def unslugged(c: Column) -> Column:
+    """A slug as words."""
+    return collapse(F.replace(F.coalesce(c, F.lit("")), F.lit("-"), F.lit(" ")))
+
+
+def names_or_unknown(artist: Column, title: Column, artist_slug: Column, title_slug: Column, display_name: Column) -> Column:
+    """struct(artist, title) from the best columns that say something: the raw names, a title that holds
+    both, a display name that begins with the artist's slug, the slugs, the display name; else Unknown."""
+    a_slug, t_slug = unslugged(artist_slug), unslugged(title_slug)
+    first = lambda *c: F.coalesce(*map(blank_to_null, c))
+    shown = F.coalesce(first(collapse(display_name), collapse(title), t_slug), F.lit(""))
+    raw = F.coalesce(first(collapse(title), t_slug, shown), F.lit(""))
+    pair = infer_artist_title(F.coalesce(first(collapse(artist), a_slug), F.lit("")), raw)
+    rest = F.when(F.startswith(F.lower(shown), F.concat(F.lower(a_slug), F.lit(" "))) & (a_slug != ""), collapse(F.substring(shown, F.length(a_slug) + 1, F.length(shown))))
+    led = (pair["artist"] == "") & (F.coalesce(rest, F.lit("")) != "")
+    return F.struct(
+        F.coalesce(first(pair["artist"], a_slug), F.lit(UNKNOWN_ARTIST)).alias("artist"), F.coalesce(F.when(led, rest), first(pair["title"], raw), F.lit(UNKNOWN_TITLE)).alias("title")
+    )
+
+
 def _split_at(text: Column, separator: str) -> tuple[Column, Column]:
     at = F.instr(text, F.lit(separator))
     return collapse(F.substring(text, F.lit(1), at - 1)), collapse(F.substring(text, at + len(separator), F.length(text)))

@@ -45,6 +45,18 @@ def update_from(current: DataFrame, incoming: DataFrame, keys: list[str], polici
     return joined.select(*(_merged(policies[c], F.col(f"o.{c}"), F.col(f"n.{c}")).alias(c) if c in policies else F.col(f"o.{c}") for c in current.columns))
 
 
+def fill_missing(current: DataFrame, incoming: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """``current`` with the blanks of ``columns`` filled from the incoming rows: what is known stays."""
+    joined = current.alias("o").join(incoming.alias("n"), [F.col(f"o.{k}") == F.col(f"n.{k}") for k in keys], "left")
+    known = lambda side, c: F.nullif(F.trim(F.col(f"{side}.{c}")), F.lit(""))
+    return joined.select(*(F.coalesce(known("o", c), known("n", c)).alias(c) if c in columns else F.col(f"o.{c}") for c in current.columns))
+
+
+def delete_using(current: DataFrame, doomed: DataFrame, keys: list[str]) -> DataFrame:
+    """``current`` without the rows whose keys ``doomed`` has; null keys match nothing."""
+    return current.join(doomed.select(*keys), keys, "left_anti")
+
+
 def missing_rows(current: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """The incoming rows whose key the current table lacks."""
     return incoming.join(current.select(*keys), keys, "left_anti")

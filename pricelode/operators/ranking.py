@@ -28,13 +28,18 @@ def top_n(df: DataFrame, keys: list[str], order: list[Column], most: int) -> Dat
     return df.withColumn("rank", rank).where(F.col("rank") <= most)
 
 
-def search(products: DataFrame, best: DataFrame, query: str, most: int = 24) -> DataFrame:
-    """product, artist, title, score, lowest price and shops of the best answers. ``products``
-    has product, artist, title, gtin, format; ``best`` has product and the best-price columns."""
+def matching(products: DataFrame, query: str) -> DataFrame:
+    """The shown products that a query could mean. Best prices are needed of these alone."""
     q = " ".join(query.lower().split())
     words = F.lower(F.concat_ws(" ", "artist", "title"))
     gtin = F.coalesce(F.col("gtin") == scoring.search_gtin(F.lit(query)), F.lit(False))
-    found = products.where(~is_hidden_format(F.col("format")) & (gtin | words.contains(q) | normalized(F.col("artist")).contains(q) | normalized(F.col("title")).contains(q)))
+    return products.where(~is_hidden_format(F.col("format")) & (gtin | words.contains(q) | normalized(F.col("artist")).contains(q) | normalized(F.col("title")).contains(q)))
+
+
+def search(products: DataFrame, best: DataFrame, query: str, most: int = 24) -> DataFrame:
+    """product, artist, title, score, lowest price and shops of the best answers. ``products``
+    has product, artist, title, gtin, format; ``best`` has product and the best-price columns."""
+    found = matching(products, query)
     joined = found.join(best, "product", "left")
     score = scoring.search_score(query, F.col("artist"), F.col("title"), F.col("gtin"), F.col("fresh_instock_shop_count"), F.col("total_active_shop_count"), F.col("lowest_fresh_price"))
     shops = F.coalesce("fresh_instock_shop_count", F.lit(0))
@@ -70,5 +75,34 @@ def decide(candidates: DataFrame, key: str, score: str, order: list[Column]) ->
     return ranked.withColumn("decision", scoring.match_decision(F.col(score), F.col("second_score")))
 
 
+#: What counts for a card: only its product's link, the product's title in its text, one price. Fixed values.
+CARD_SCORES = {"alone": 12, "among": 2, "titled": 2, "one_price": 3, "two_prices": 1, "more_prices": -3}
+CARD_CHARS = 900
+
+
+def pick_cards(blocks: DataFrame, keys: list[str], most_chars: int = CARD_CHARS) -> DataFrame:
+    """Per key (a link of a page) the block that shows its product best, of those with the link, a price and
+    at most ``most_chars`` characters: highest score, then fewest links, least text, most links to the product, nearest,
+    last by text and prices, so that every choice is one.
+    ``blocks`` has target, title, steps, text, links (an array) and prices (a count)."""
+    unique = F.array_distinct("links")
+    same = F.size(F.filter("links", lambda x: x == F.col("target")))
+    fit = blocks.where((F.length("text") > 0) & (F.length("text") <= most_chars) & (F.col("prices") > 0) & (same > 0))
+    w = CARD_SCORES
+    score = (
+        F.when(F.size(unique) == 1, w["alone"]).otherwise(w["among"]) + F.when((F.col("title") != "") & F.contains("text", "title"), w["titled"]).otherwise(0)
+        + F.when(F.col("prices") == 1, w["one_price"]).when(F.col("prices") == 2, w["two_prices"]).otherwise(w["more_prices"])
+    )
+    rank = F.struct(score.alias("score"), (-F.size(unique)).alias("links"), (-F.length("text")).alias("chars"), same.alias("same"), (-F.col("steps")).alias("near"), "text", "prices")
+    best = F.max_by(F.struct(score.alias("score"), F.size(unique).alias("n_links"), "prices", "steps", "text"), rank)
+    return fit.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")
+
+
+def with_facet(results: DataFrame, artist: str | None) -> DataFrame:
+    """The results of one artist, whatever its spelling; all where none is asked for."""
+    wanted = " ".join((artist or "").lower().split())
+    return results.where(normalized(F.col("artist")) == wanted) if wanted else results
+
+
 def newest(df: DataFrame, created: str, first: int, keep: Column, most: int, tie: str) -> DataFrame:
     return top_then_filter(df, [F.desc(created), F.asc(tie)], first, keep, most)

@@ -49,9 +49,11 @@ def reject_duplicates(df: DataFrame, gtin: str, product_key: str, price: str, ne
 
 def conflicts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Keys with more than one value: their count and the values, sorted and joined by "|"."""
-    values = F.array_sort(F.collect_set(F.col(value).cast("string")))
-    found = df.groupBy(*keys).agg(values.alias("_v"))
-    return found.where(F.size("_v") > 1).select(*keys, F.size("_v").alias("n_values"), F.array_join("_v", "|").alias("conflicting_values"))
+    # Distinct pairs first, on all machines; only keys with a conflict have their values listed.
+    pairs = df.select(*keys, F.col(value).cast("string").alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    found = pairs.groupBy(*keys).agg(F.count("*").cast("int").alias("n_values")).where(F.col("n_values") > 1)
+    listed = pairs.join(found, keys).groupBy(*keys).agg(F.any_value("n_values").alias("n_values"), F.array_join(F.array_sort(F.collect_list("_v")), "|").alias("conflicting_values"))
+    return listed
 
 
 def best_quality(df: DataFrame, keys: list[str], columns: list[str], order: list[Column]) -> DataFrame:
@@ -74,3 +76,31 @@ def import_stats(df: DataFrame, reason: str, new: Column, changed: Column) -> Da
 
 def reason_counts(df: DataFrame, reason: str) -> DataFrame:
     return df.groupBy(reason).agg(F.count("*").alias("n"))
+
+
+def prepare_upload(sets: dict[str, tuple[DataFrame, list[tuple[str, Column]]]]) -> tuple[dict[str, tuple[DataFrame, DataFrame]], DataFrame]:
+    """({set: (validated, rejected)}, preflight report) of sets of rows with their rules. The report has a row per set and
+    reason ('' for the rows that pass): dataset, rejection_reason, n."""
+    pairs, report = {}, None
+    for name, (rows, rules) in sets.items():
+        judged = rows.withColumn("rejection_reason", all_reasons(rules))
+        pairs[name] = split(judged, "rejection_reason")
+        counts = judged.groupBy("rejection_reason").agg(F.count("*").alias("n")).select(F.lit(name).alias("dataset"), "rejection_reason", "n")
+        report = counts if report is None else report.unionByName(counts)
+    return pairs, report
+
+
+def run_metrics(rows: DataFrame, shop: str, reason: str, uploaded: Column) -> DataFrame:
+    """Per shop: rows read, accepted and rejected, uploads that went well or failed (null: none was tried), and the share that was rejected."""
+    bad = F.coalesce(F.col(reason), F.lit("")) != ""
+    return rows.groupBy(shop).agg(
+        F.count("*").alias("rows_read"), F.count_if(~bad).alias("accepted"), F.count_if(bad).alias("rejected"), F.count_if(~bad & F.coalesce(uploaded, F.lit(False))).alias("upload_ok"),
+        F.count_if(~bad & ~F.coalesce(uploaded, F.lit(True))).alias("upload_failed"),
+    ).withColumn("reject_share", F.col("rejected") / F.col("rows_read"))
+
+
+def finish_runs(log: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """The run log with the results of its runs (one row each): what a result says replaces what the log said; other runs stay."""
+    values = [c for c in results.columns if c != key]
+    joined = log.join(results.select(key, *(F.col(c).alias(f"_{c}") for c in values)), key, "left")
+    return joined.select(*(F.coalesce(f"_{c}", c).alias(c) if c in values else F.col(c) for c in log.columns))

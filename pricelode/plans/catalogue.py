@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from pricelode.plans import matching_queries, price_queries, ranking_queries, scalar_queries  # noqa: F401
+    from pricelode.plans import feed_queries, matching_queries, price_queries, ranking_queries, scalar_queries  # noqa: F401

@@ -11,8 +11,12 @@ from pricelode.plans.catalogue import query
 from pricelode.plans.tables import AS_OF, LATEST_SQL, OBS, as_of, latest_order, observations, table
 
 
-def latest(spark: SparkSession, d: str) -> DataFrame:
-    return history.first_by(observations(spark, d), ["product", "shop"], latest_order())
+def latest(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
+    """The latest offers; with ``of``, of these products alone."""
+    rows = observations(spark, d)
+    if of is not None:
+        rows = rows.join(of.select("product"), "product", "left_semi")
+    return history.first_by(rows, ["product", "shop"], latest_order())
 
 
 @query("""

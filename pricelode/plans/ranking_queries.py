@@ -18,8 +18,8 @@ best AS (SELECT product, min(price) FILTER (fresh) AS low, count(DISTINCT shop)
 prod AS (SELECT p_partkey AS product, p_brand AS artist, p_name AS title, CASE WHEN p_size % 10 = 0 THEN 'CD' ELSE 'Vinyl' END AS format, lower(trim(p_brand)) AS a, lower(trim(p_name)) AS t, lower(trim(p_brand)) || ' ' || lower(trim(p_name)) AS b FROM part)"""
 
 
-def _best(spark: SparkSession, d: str) -> DataFrame:
-    found = history.best_prices(latest(spark, d), "product", "shop", "price", "seen", F.col("in_stock"), as_of(), hours=8760)
+def _best(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
+    found = history.best_prices(latest(spark, d, of), "product", "shop", "price", "seen", F.col("in_stock"), as_of(), hours=8760)
     return found.drop("best_price_last_seen_at")
 
 
@@ -42,7 +42,8 @@ _SCORE += " + CASE WHEN contains(t, q) THEN 30 WHEN contains(a, q) THEN 25 WHEN
   FROM (SELECT *, '{QUERY}' AS q FROM prod) LEFT JOIN best USING (product) WHERE format <> 'CD' AND contains(b, q))
 SELECT * FROM s WHERE score > 0 AND found_in > 0 ORDER BY score DESC, price ASC NULLS LAST, found_in DESC, artist, product LIMIT 24""")
 def search_rank(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.search(_products(spark, d), _best(spark, d), QUERY)
+    found = ranking.matching(_products(spark, d), QUERY)  # only their offers are priced
+    return ranking.search(found, _best(spark, d, found), QUERY)
 
 
 @query(f"""WITH {_BEST_SQL}, q AS (SELECT *, 'brand#2' AS q FROM prod WHERE format <> 'CD'),

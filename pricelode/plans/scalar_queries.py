@@ -152,7 +152,7 @@ def backoff(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", dates.backoff_minutes(F.col("o_orderkey") % 12).alias("minutes"))
 
 
-TITLES = ["Blues Pills- Birthday", "A - B – C", "Solo", None, "Een — Twee", "X–Y", " - ", "Artist  -  Title (2LP)", "De Band - Album (Limited Edition)"]
+TITLES = ["Night Ferry- Harbour", "A - B – C", "Solo", None, "Een — Twee", "X–Y", " - ", "Artist  -  Title (2LP)", "De Band - Album (Limited Edition)"]
 
 
 @query(f"""WITH v(raw) AS (VALUES {quoted(TITLES)}), t AS (SELECT raw, trim(regexp_replace(coalesce(raw, ''), '\\s+', ' ', 'g')) AS t FROM v),

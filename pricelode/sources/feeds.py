@@ -44,13 +44,23 @@ def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, d
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of a CSV whose rows are single lines, with ``source_file`` and ``line_number`` (the first row is line 2).
-    Files aren't split, so a row's number follows from its place in its file."""
-    rows = read_csv(spark, path).withColumn("source_file", F.input_file_name())
-    # multiLine reads a file in one task and in order: the low bits of the id count its rows
-    own = F.monotonically_increasing_id()
-    first = F.min("_id").over(Window.partitionBy("source_file"))
-    return rows.withColumn("_id", own).withColumn("line_number", F.col("_id") - first + 2).drop("_id")
+    """The rows of CSV files with ``source_file`` and ``line_number`` (the first row is line 2). One task reads a
+    file, in order, and may read several: a row's number is its place behind the first row of its file, which
+    one aggregate finds for all files."""
+    rows = read_csv(spark, path).withColumn("source_file", F.input_file_name()).withColumn("_id", F.monotonically_increasing_id())
+    first = rows.groupBy("source_file").agg(F.min("_id").alias("_first"))
+    numbered = rows.join(first, "source_file").withColumn("line_number", F.col("_id") - F.col("_first") + 2).drop("_id", "_first")
+    return numbered.sortWithinPartitions("source_file", "line_number")
+
+
+#: Columns of marketplace files that are separated by ~, and the canonical ones. Fixed values.
+RAW_MARKETPLACE = {"title": "title", "artist": "artist", "url": "url", "ean": "ean", "timestamp": "timestamp", "master_id": "master_id", "year": "year", "price_eur": "price_eur", "price_raw": "price_raw"}
+
+
+def converted_marketplace(spark: SparkSession, path: str) -> DataFrame:
+    """A ~-separated file in canonical columns; what the file lacks is ''."""
+    found = read_csv(spark, path, list(RAW_MARKETPLACE), delimiter="~")
+    return found.select(*(F.trim(F.col(raw)).alias(own) for raw, own in RAW_MARKETPLACE.items()))
 
 
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,37 @@ def append_log(rows: DataFrame, path: str) -> None:
 
 
 def write_current(df: DataFrame, path: str, partition: str | None = None) -> None:
-    """A table in place of the old one; with ``partition``, only the partitions that ``df`` has."""
-    writer = df.write.mode("overwrite")
+    """A table in place of the old one, which ``df`` may read; with ``partition``, only the partitions that ``df`` has
+    (Spark's committer puts those in place at the end). The whole table is written beside its place and moved there
+    when all is written: a job that fails leaves the old one."""
     if partition:
-        writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(partition)
-    writer.parquet(path)
+        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        return
+    draft, old = (f"{path.rstrip('/')}.{uuid.uuid4().hex}.{x}" for x in ("new", "old"))
+    df.write.parquet(draft)
+    files, (at, new, gone) = _store(df, path, draft, old)
+    if files.exists(at):
+        files.rename(at, gone)
+    if not files.rename(new, at):
+        raise OSError(f"{draft} could not be moved to {path}")
+    files.delete(gone, True)
+
+
+def _store(df: DataFrame, *paths: str) -> tuple:
+    """The file system of some paths, and the paths for it."""
+    context = df.sparkSession.sparkContext
+    made = [context._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return made[0].getFileSystem(context._jsc.hadoopConfiguration()), made
+
+
+def export_view(df: DataFrame, path: str, columns: list[str]) -> None:
+    """The named columns of a view, in this order, as CSV with a header."""
+    df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_upload(pairs: dict[str, tuple[DataFrame, DataFrame]], report: DataFrame, path: str) -> None:
+    """Validated and rejected rows of each set as CSV, and the preflight report as JSON."""
+    for name, sides in pairs.items():
+        for side, rows in zip(("validated", "rejected"), sides, strict=True):
+            rows.write.mode("overwrite").option("header", True).csv(f"{path}/{name}_{side}")
+    report.coalesce(1).write.mode("overwrite").json(f"{path}/preflight_report")

@@ -21,20 +21,37 @@ def daily_buckets(observed: DataFrame, key: str, ts: str, price: str, in_stock:
 
 
 def capture_changes(observed: DataFrame, history_path: str, checkpoint: str, keys: list[str], ts: str, values: list[str]) -> StreamingQuery:
-    """Appends to the history table what each micro-batch says that is new. Each batch writes
-    its own partition, so a batch that is run again replaces what it wrote."""
+    """Appends to the history table what each micro-batch says that is new. The latest row of every key is a table
+    of its own beside the history (``_latest``, one version a batch; the last two are kept), so that a batch reads
+    one row a key and not the history, however long that grows. Each batch writes its own partition of both, so a
+    batch that is run again replaces what it wrote."""
+    latest_path = f"{history_path.rstrip('/')}_latest"
 
     def write(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
         newest = first_by(batch, keys, [F.desc(ts), *(F.asc(v) for v in values)])
-        schema = batch.schema.add("batch", "long")
-        known = spark.read.schema(schema).option("pathGlobFilter", "*.parquet").parquet(history_path) if _exists(spark, history_path) else spark.createDataFrame([], schema)
-        fresh = history_to_append(known.where(F.col("batch") < number).drop("batch"), newest, keys, ts, values)
+        before = f"{latest_path}/batch={number - 1}"
+        known = spark.read.schema(batch.schema).parquet(before) if _exists(spark, before) else spark.createDataFrame([], batch.schema)
+        fresh = history_to_append(known, newest, keys, ts, values)
         fresh.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(history_path)
+        # what was captured last of each key: a row that said nothing new is not in the history either
+        now = fresh.unionByName(known.join(fresh.select(*keys), keys, "left_anti"))
+        now.write.mode("overwrite").parquet(f"{latest_path}/batch={number}")
+        _delete(spark, f"{latest_path}/batch={number - 2}")
 
     return observed.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _path(spark: SparkSession, path: str) -> tuple:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    files, at = _path(spark, path)
+    return files.exists(at)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, at = _path(spark, path)
+    files.delete(at, True)

@@ -53,7 +53,7 @@ def test_rounding_differs_on_ties(value):
 
 @pytest.mark.parametrize(
     ("artist", "title", "want"),
-    [(None, "Blues Pills- Birthday", ("Blues Pills", "Birthday")), ("", "A - B – C", ("A - B", "C")), ("X", "A - B", ("X", "A - B")), (None, None, ("", "")), ("", "Solo", ("", "Solo"))],
+    [(None, "Night Ferry- Harbour", ("Night Ferry", "Harbour")), ("", "A - B – C", ("A - B", "C")), ("X", "A - B", ("X", "A - B")), (None, None, ("", "")), ("", "Solo", ("", "Solo"))],
 )
 def test_artist_and_title(value, artist, title, want):
     assert tuple(value(text.infer_artist_title, F.lit(artist).cast("string"), F.lit(title).cast("string"))) == want
@@ -144,3 +144,58 @@ def test_page_values(value):
     assert value(lambda t: html.labelled_price(t, ["Onze prijs"]), "Verzendkosten € 3,00 Onze prijs: € 19,99") == "19,99"
     assert value(lambda t: html.labelled_price(t, ["Adviesprijs"]), "€ 12,00 verzending € 3,00") == "12,00"
     assert value(html.embedded_array, 'x = {"variants": [{"a": "]"}, [1]]};', "variants") == '[{"a": "]"}, [1]]'
+
+
+def test_product_of_a_page(value):
+    block = '<script type="application/ld+json">{"@graph": [{"@type": "WebPage"}, {"@type": ["Thing", "Product"], "name": " N ", "offers": [{"url": "x"}, {"price": 12.5, "priceCurrency": "EUR"}]}]}</script>'
+    found = value(html.jsonld_product, "<p>x</p><script type='application/ld+json'>{bad</script>" + block)
+    assert (found.name, found.price, found.currency, found.availability) == ("N", "12.5", "EUR", None)
+    assert value(html.jsonld_product, "<p>none</p>").name is None and value(html.jsonld_product, F.lit(None).cast("string")).name is None
+
+
+def test_cards_of_a_page(spark):
+    from pricelode.operators.ranking import pick_cards
+
+    page = (
+        '<div class="list"><div class="card"><a href="/p/1"><b>First</b></a><img src="x"><span class="price">€ 1</span></div>'
+        '<div class="card"><div><a href="/p/2">Second</a></div><span class="price">€ 2</span><span class="old-price">€ 3</span></div><br></div>'
+    )
+    rows = spark.createDataFrame([(1, page), (2, None)], "page int, html string")
+    blocks = rows.select("page", F.explode(html.card_blocks(F.col("html"), F.lit("http://s.example/list"))).alias("b")).select("page", "b.*")
+    found = {r.target: r for r in pick_cards(blocks, ["page", "target"]).collect()}
+    assert {t: (r.text, r.score, r.n_links, r.prices) for t, r in found.items()} == {
+        "http://s.example/p/1": ("First€ 1", 17, 1, 1), "http://s.example/p/2": ("Second€ 2€ 3", 15, 1, 2)
+    }
+
+
+def test_images_of_known_pages(spark):
+    page = (
+        '<meta property="og:image" content="/a.jpg"><link rel="image_src" href="//c.example/b.jpg"><script type="application/ld+json">{"image": ["/a.jpg", {"url": "/d.jpg#f"}]}</script>'
+        '<img src="plain.png"><img class="product" src="main.png"><img src="/logo.png">'
+    )
+    row = spark.createDataFrame([(page, "http://s.example/x/")], "h string, u string").select(html.image_candidates(F.col("h"), F.col("u")).alias("c"), html.jsonld_images(F.col("h"), F.col("u")).alias("j")).first()
+    assert [(c.url, c.source, c.position) for c in row.c] == [
+        ("http://s.example/a.jpg", "og", 0), ("http://c.example/b.jpg", "image_src", 1), ("http://s.example/d.jpg", "jsonld", 2), ("http://s.example/x/main.png", "img_tag", 3), ("http://s.example/x/plain.png", "img_tag", 4),
+    ]
+    assert row.j == ["http://s.example/a.jpg", "http://s.example/d.jpg"]
+
+
+def test_fallback_names(value):
+    names = lambda *c: tuple(value(text.names_or_unknown, *(F.lit(x).cast("string") for x in c)))
+    assert names(None, None, None, None, None) == ("Unknown Artist", "Unknown Title")
+    assert names("", "", "the-band", "an-album", "") == ("the band", "an album") and names("A", "", "", "", "Shown") == ("A", "Shown")
+    assert names("", "Night Ferry - Harbour", "", "", "") == ("Night Ferry", "Harbour")
+
+
+def test_rows_that_lack_details(value):
+    assert value(classify.lacks_details, "€ 80,00", "x") and value(classify.lacks_details, "", "x") and value(classify.lacks_details, "9,99", " ") and not value(classify.lacks_details, "9,99", "x")
+    assert value(classify.rank_confidence, 130) == 100 and value(classify.rank_confidence, -5) == 0
+
+
+def test_prices_round_as_binary_numbers(value):
+    assert value(prices.plain_price, "382.895") == 382.89 and value(prices.digits_sign_price, "382.895") == "382.89" and value(prices.stripped_price, "2,675") == "2.67"
+
+
+def test_embedded_arrays_with_escapes(value):
+    assert value(html.embedded_array, 'var x = {"items": ["a]\\\\", "b"], "y": 1}', "items") == '["a]\\\\", "b"]'
+    assert value(html.embedded_array, '"items": [1, 2', "items") is None

@@ -95,3 +95,72 @@ def test_change_capture_appends_once(spark, tmp_path):
     rows.withColumn("p", F.when(F.col("k") == 1, 5.0).otherwise(7.0)).withColumn("ts", F.expr("ts + interval 1 hour")).write.mode("append").parquet(str(tmp_path / "in"))
     run()
     assert sorted((r.k, r.p) for r in spark.read.parquet(str(tmp_path / "h")).collect()) == [(1, 5.0), (2, 6.0), (2, 7.0)]
+
+
+def test_sinks_write_what_they_are_given(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 2), ("a", 1), ("c", None)], "k string, v int")
+    sinks.write_summary(rows.limit(1), str(tmp_path / "s"))
+    assert spark.read.json(str(tmp_path / "s")).first().v == 2
+    sinks.write_sorted_csv(rows, str(tmp_path / "csv"), ["k"])
+    assert [r.k for r in spark.read.option("header", True).csv(str(tmp_path / "csv")).collect()] == ["a", "b", "c"]
+    for _ in range(2):
+        sinks.append_log(rows, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 6
+    sinks.export_view(rows, str(tmp_path / "view"), ["v", "k"])
+    assert spark.read.option("header", True).csv(str(tmp_path / "view")).columns == ["v", "k"]
+
+
+def test_a_table_is_replaced_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.write_current(spark.range(3), path)
+    sinks.write_current(spark.read.parquet(path).where("id > 0"), path)  # it may read what it replaces
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [1, 2]
+    with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+        sinks.write_current(spark.range(1).selectExpr("1 div id as id"), path)
+    assert spark.read.parquet(path).count() == 2
+    parts = str(tmp_path / "p")
+    sinks.write_current(spark.range(4).selectExpr("id", "id % 2 as day"), parts, "day")
+    sinks.write_current(spark.createDataFrame([(9, 1)], "id long, day long"), parts, "day")
+    assert sorted(r.id for r in spark.read.parquet(parts).collect()) == [0, 2, 9]
+
+
+def test_upload_files(spark, tmp_path):
+    from pricelode.operators.validation import prepare_upload
+
+    rows = spark.createDataFrame([(1, 5.0), (2, -1.0)], "k int, price double")
+    pairs, report = prepare_upload({"products": (rows, [("invalid_price", F.col("price") <= 0)])})
+    sinks.write_upload(pairs, report, str(tmp_path))
+    read = lambda x: [r.k for r in spark.read.option("header", True).csv(str(tmp_path / x)).collect()]
+    assert read("products_validated") == ["1"] and read("products_rejected") == ["2"]
+    assert sorted((r.dataset, r.rejection_reason, r.n) for r in spark.read.json(str(tmp_path / "preflight_report")).collect()) == [("products", "", 1), ("products", "invalid_price", 1)]
+
+
+def test_marketplace_files_are_converted(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("title~url~ean~price_eur\n A ~u~1~€ 1,50\n", encoding="utf-8")
+    [r] = feeds.converted_marketplace(spark, str(tmp_path / "m.csv")).collect()
+    assert (r.title, r.price_eur, r.artist) == ("A", "€ 1,50", "")
+
+
+def test_lines_of_several_files(spark, tmp_path):
+    for name, n in (("a", 3), ("b", 5)):
+        (tmp_path / f"{name}.csv").write_text("x\n" + "\n".join(f"{name}{i}" for i in range(n)), encoding="utf-8")
+    found = {r.x: r.line_number for r in feeds.numbered_lines(spark, str(tmp_path)).collect()}
+    assert found == {f"{name}{i}": i + 2 for name, n in (("a", 3), ("b", 5)) for i in range(n)}
+
+
+def test_one_row_a_key(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), (" ", 3), (None, 4)], "k string, n int")
+    assert [(r.k, r.n) for r in feeds.keyed(rows, "k", [F.desc("n")]).collect()] == [("a", 2)]
+
+
+def test_change_capture_reads_one_row_a_key(spark, tmp_path):
+    """Ten batches: the history grows, the latest table has one row for each key, two versions at most."""
+    schema, got = "k int, ts timestamp, p double", []
+    for i in range(6):
+        price = 5.0 + i // 2
+        spark.createDataFrame([(1, price), (2, 1.0)], "k int, p double").selectExpr("k", f"timestamp'2024-01-01 {i:02}:00:00' as ts", "p").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        changes.capture_changes(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), str(tmp_path / "h"), str(tmp_path / "c"), ["k"], "ts", ["p"]).awaitTermination()
+    got = sorted((r.k, r.p) for r in spark.read.parquet(str(tmp_path / "h")).collect())
+    assert got == [(1, 5.0), (1, 6.0), (1, 7.0), (2, 1.0)]
+    assert len([x for x in (tmp_path / "h_latest").iterdir() if x.name.startswith("batch=")]) == 2
+    assert spark.read.parquet(str(tmp_path / "h_latest" / "batch=5")).count() == 2
