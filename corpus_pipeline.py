@@ -1,4 +1,10 @@
-"""A corpus pipeline: each stage works on all rows that the stage before it kept."""
+"""A corpus pipeline: each stage works on all rows that the stage before it kept.
+
+Defined cases, in every stage: a null or empty text is judged like others (the classifier scores it, the rules fail it;
+near-duplicates keep one of all texts without words; packing gives it length 0); a very long text is worked on whole;
+a null id stands behind all others where one of a group stays, and is packed; of equal texts (ties) the one with the
+smallest id stays, of rows that repeat an id too, any one; an empty table gives an empty result; columns of any name pass through
+all stages but packing, which gives its own."""
 
 from __future__ import annotations
 
