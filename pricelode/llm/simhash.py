@@ -59,15 +59,25 @@ MAX_RADIUS = 2
 ROUNDS = 60
 
 
+#: A byte's bits, each in a byte of its own: sums of up to 255 of these don't overflow.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0].copy()
+_SUMMED = 255
+
+
 def majority(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Per run ``first[i]:first[i + 1]`` of hashes, the bits set in over half of them."""
+    """Per run ``first[i]:first[i + 1]`` of hashes, the bits set in over half of them. Bits are counted
+    eight at a time, in pieces of _SUMMED hashes, and then over the pieces."""
     size = np.diff(first)
     out = np.zeros(len(size), np.uint64)
     some = np.flatnonzero(size)
     if not len(some):
         return out
-    ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.add.reduceat(ones, first[:-1][some], axis=0, dtype=np.int32)
+    pieces = -(-size[some] // _SUMMED)
+    begin = np.cumsum(pieces) - pieces
+    starts = np.repeat(first[:-1][some], pieces) + _SUMMED * (np.arange(pieces.sum()) - np.repeat(begin, pieces))
+    lanes = _SPREAD[hashes.astype("<u8").view(np.uint8).reshape(-1, 8)]
+    counts = np.add.reduceat(lanes, starts, axis=0).view(np.uint8)
+    sums = np.add.reduceat(counts, begin, axis=0, dtype=np.int64)
     set_bits = (2 * sums > size[some][:, None]).astype(np.uint8)
     out[some] = np.packbits(set_bits, axis=1, bitorder="little").view("<u8")[:, 0]
     return out
@@ -123,25 +133,95 @@ def sketch_bits(similarity: float = SIMILARITY) -> int:
     return int(64 * SKETCH_WORDS * np.arccos(similarity) / np.pi)
 
 
+_P1, _P2, _P3, _P4, _P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: Longer strings are hashed one by one.
+LONG_BYTES = 512
+#: Spans hashed at once, so that they stay in the processor's cache.
+AT_ONCE = 32_768
+
+
+def _rotated(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _stirred(lane: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _rotated(lane + word * _P2, 31) * _P1
+
+
+def hash_spans(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of raw[begin:end] for each span. Spans with the same number of whole 8-byte words are hashed
+    together, a word at a time; long ones by the library."""
+    out = np.empty(len(begin), np.uint64)
+    size = end - begin
+    long = np.flatnonzero(size > LONG_BYTES)
+    if len(long):
+        whole = raw.tobytes()
+        out[long] = [xxhash.xxh64_intdigest(whole[i:j], seed) for i, j in zip(begin[long].tolist(), end[long].tolist(), strict=True)]
+    words = np.where(size > LONG_BYTES, -1, size >> 3)
+    padded = np.zeros(len(raw) + 8, np.uint8)  # a span's last, partial word may reach behind the end
+    padded[: len(raw)] = raw
+    order = np.argsort(words, kind="stable")
+    cuts = np.searchsorted(words[order], np.arange(LONG_BYTES // 8 + 2))
+    with np.errstate(over="ignore"):
+        for n in range(LONG_BYTES // 8 + 1):
+            for at in range(cuts[n], cuts[n + 1], AT_ONCE):
+                rows = order[at : min(at + AT_ONCE, cuts[n + 1])]
+                out[rows] = _hash_alike(padded, begin[rows], size[rows], n, np.uint64(seed))
+    return out
+
+
+def _hash_alike(padded: np.ndarray, begin: np.ndarray, size: np.ndarray, n: int, seed: np.uint64) -> np.ndarray:
+    """XXH64 of spans that all have ``n`` whole words."""
+    word = np.lib.stride_tricks.sliding_window_view(padded, 8 * (n + 1))[begin].view("<u8")
+    if n >= 4:
+        lanes = [np.full(len(begin), x) for x in (seed + _P1 + _P2, seed + _P2, seed, seed - _P1)]
+        for k in range(0, n - n % 4, 4):
+            lanes = [_stirred(lane, word[:, k + i]) for i, lane in enumerate(lanes)]
+        h = _rotated(lanes[0], 1) + _rotated(lanes[1], 7) + _rotated(lanes[2], 12) + _rotated(lanes[3], 18)
+        for lane in lanes:
+            h = (h ^ _stirred(np.zeros_like(lane), lane)) * _P1 + _P4
+    else:
+        h = np.full(len(begin), seed + _P5)
+    h = h + size.astype(np.uint64)
+    for k in range(n - n % 4, n):
+        h = _rotated(h ^ _stirred(np.zeros_like(h), word[:, k]), 27) * _P1 + _P4
+    last, left = word[:, n], (size & 7).astype(np.int64)
+    four = left >= 4
+    h = np.where(four, _rotated(h ^ ((last & np.uint64(0xFFFFFFFF)) * _P1), 23) * _P2 + _P3, h)
+    last = np.where(four, last >> np.uint64(32), last)
+    for k in range(3):
+        byte = (last >> np.uint64(8 * k)) & np.uint64(0xFF)
+        h = np.where((left & 3) > k, _rotated(h ^ (byte * _P5), 11) * _P1, h)
+    h = (h ^ (h >> np.uint64(33))) * _P2
+    h = (h ^ (h >> np.uint64(29))) * _P3
+    return h ^ (h >> np.uint64(32))
+
+
 def shingle_hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """XXH64 of every shingle, and where each text's shingles begin."""
+    return shingle_hashes_of(texts, (shingle,))[0]
+
+
+def shingle_hashes_of(texts: pa.Array, shingles: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same for several lengths of shingles; the texts are cut into words once."""
     flat, first = word_array(texts, lower=True)
     at = np.frombuffer(flat.buffers()[1], np.int32)
     raw = np.frombuffer(flat.buffers()[2], np.uint8) if flat.buffers()[2] else np.zeros(0, np.uint8)
     n = len(at) - 1
     spaced = np.full(len(raw) + n, 0x20, np.uint8)  # each word with a blank behind it
     spaced[np.arange(len(raw)) + np.repeat(np.arange(n), np.diff(at))] = raw
-    begin = at[:-1] + np.arange(n)
-    end = at[1:] + np.arange(n)
+    begin = at[:-1].astype(np.int64) + np.arange(n)
+    end = at[1:].astype(np.int64) + np.arange(n)
     count = np.diff(first)
-    shingles = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
-    runs = np.zeros(len(count) + 1, np.int64)
-    np.cumsum(shingles, out=runs[1:])
-    lead = np.repeat(first[:-1] - runs[:-1], shingles) + np.arange(runs[-1])
-    last = np.minimum(lead + shingle - 1, np.repeat(first[1:] - 1, shingles))
-    joined, digest = spaced.tobytes(), xxhash.xxh64_intdigest
-    made = [digest(joined[a:b], SEED) for a, b in zip(begin[lead].tolist(), end[last].tolist(), strict=True)]
-    return np.array(made, np.uint64), runs
+    out = []
+    for shingle in shingles:
+        own = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
+        runs = np.zeros(len(count) + 1, np.int64)
+        np.cumsum(own, out=runs[1:])
+        lead = np.repeat(first[:-1] - runs[:-1], own) + np.arange(runs[-1])
+        last = np.minimum(lead + shingle - 1, np.repeat(first[1:] - 1, own))
+        out.append((hash_spans(spaced, begin[lead], end[last]), runs))
+    return out
 
 
 def fingerprint_table(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -554,9 +634,9 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         for batch in batches:
             for part in slices(batch, t):
                 texts = part.column(part.schema.get_field_index(t))
-                made, runs = shingle_hashes(texts, NEAR_SHINGLE)
+                (made, runs), probe = shingle_hashes_of(texts, (NEAR_SHINGLE, PROBE_SHINGLE))
                 sketch, bands = [x.tobytes() for x in _sketches(made, runs)], band_values(made, runs)
-                more = [pa.array(fingerprints(texts, PROBE_SHINGLE).view(np.int64)), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+                more = [pa.array(majority(*probe).view(np.int64)), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "_fp", "_sketch", "_bands"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields)

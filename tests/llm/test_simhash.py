@@ -100,3 +100,25 @@ def test_one_of_each_group_stays(spark, cases, no_docs):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 9]
     assert sorted(str(r.doc_id) for r in drop_near_copies(cases).collect()) == ["1", "10", "4", "5", "7", "8", "9", "None"]
     assert drop_near_copies(no_docs).count() == 0
+
+
+def test_hashes_equal_the_library():
+    from pricelode.llm.simhash import hash_spans
+
+    rng = np.random.default_rng(1)
+    raw = rng.integers(0, 256, 9000).astype(np.uint8)
+    size = np.r_[np.arange(600), rng.integers(0, 90, 2000), np.arange(40)]
+    begin = np.r_[rng.integers(0, 8000, 2600), 9000 - np.arange(40)]
+    end = np.minimum(begin + size, 9000)
+    want = [xxhash.xxh64_intdigest(raw[i:j].tobytes(), 42) for i, j in zip(begin, end, strict=True)]
+    assert hash_spans(raw, begin, end).tolist() == want
+    assert hash_spans(raw[:0], np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+
+
+def test_a_text_over_all_slices(spark):
+    """9 MB beside short texts, and a run of far more hashes than are summed at once."""
+    long = "some words of a long text and more " * 260_000
+    docs = spark.createDataFrame([(1, "short text"), (2, long), (3, None)], "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.fingerprint for r in simhash_components(docs).collect()}
+    assert got == {i: f"{brute_fingerprint(t):016x}" for i, t in ((1, "short text"), (2, long), (3, None))}
+    assert sorted(r.doc_id for r in drop_near_copies(docs).collect()) == [1, 2, 3]
