@@ -44,7 +44,7 @@ MOST_LEAVES = 4096
 CALIBRATION = 96
 TARGET = 0.97
 #: Points and queries of a unit of work, about, and queries that it scores at once.
-BLOCK = 8192
+BLOCK = 2048
 QUERY_BLOCK = 8192
 STEP = 256
 
