@@ -104,7 +104,8 @@ def test_a_vector_of_many_rows_answers_each(spark):
     assert same.sort_values("rank").vec_id.tolist() == [0, 6, 9, 12, 15]
 
 
-def test_shards_hold_about_a_block():
+def test_shards_hold_about_a_block(monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 8192)  # the sizes below are made for it
     sizes = np.array([5000, 5000, 100, 30_000, 0, 8000, 10])
     shard, blocks = ann.shards_of(sizes)
     assert shard.tolist() == sorted(shard.tolist()) and shard[0] != shard[1] == shard[2] != shard[3]
