@@ -91,14 +91,16 @@ class WordBpe:
     def merge(self, symbols: list[str]) -> list[str]:
         if len(symbols) >= LONG_WORD:
             return self._merge_long(symbols)
-        ranks, never = self.ranks, len(self.ranks)
-        while len(symbols) > 1:
-            found = [ranks.get(p, never) for p in zip(symbols, symbols[1:], strict=False)]
-            best = min(found)
-            if best == never:
-                break
+        get, never = self.ranks.get, len(self.ranks)
+        found = [get(p, never) for p in zip(symbols, symbols[1:], strict=False)]
+        while found and (best := min(found)) != never:
             i = found.index(best)
             symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del found[i]  # only the pairs beside it are new
+            if i:
+                found[i - 1] = get((symbols[i - 1], symbols[i]), never)
+            if i < len(found):
+                found[i] = get((symbols[i], symbols[i + 1]), never)
         return symbols
 
     def _merge_long(self, symbols: list[str]) -> list[str]:
@@ -124,7 +126,7 @@ class WordBpe:
 
     def encode_word(self, word: str) -> list[int]:
         """The ids of a piece that holds no special token."""
-        text = "".join(map(str.lower, unicodedata.normalize("NFC", word)))
+        text = word.lower() if word.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", word)))
         ids: list[int] = []
         for piece in self.pattern.findall(text):
             symbols = [self.alphabet[b] for b in piece.encode()]
