@@ -552,8 +552,7 @@ def _found(visited: DataFrame, limits: Limits) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node of its
-    component. Alternating large and small stars until the edges rest."""
-    state: tuple | None = None
+    component. Alternating large and small stars until all edges lie in stars that share no node."""
     edges = checkpointed(edges.select("a", "b").where(F.col("a") != F.col("b")))
     total = edges.count()
     for _ in range(ROUNDS):
@@ -572,10 +571,11 @@ def components(edges: DataFrame) -> DataFrame:
                 made = moved.where(F.col("b") != F.col("least")).select("b", "least").union(least.select("a", "least"))
             edges = made.toDF("x", "y").where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         edges = checkpointed(edges)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == state:
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("root"), F.lit(0).alias("leaf")).union(edges.select("b", F.lit(0), F.lit(1)))
+        seen = ends.groupBy("node").agg(F.max("root").alias("root"), F.sum("leaf").alias("leaf"))
+        total, tied = seen.agg(F.coalesce(F.sum("leaf"), F.lit(0)), F.count_if(F.col("root") + F.col("leaf") > 1)).first()
+        if not tied:
             break
-        state, total = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     pairs = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
