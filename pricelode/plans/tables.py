@@ -3,6 +3,9 @@ lineitem the price observations, orders and customer the queue."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def work_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``; in local mode (tests), where
+    that may be unset, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="pricelode-")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def as_of() -> Column:
     return F.lit(AS_OF).cast("timestamp_ntz")
 
