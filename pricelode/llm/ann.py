@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: a hierarchical k-means tree, searched best bin first.
 
-A tree of unit centroids is fitted to a bounded sample (``FIT_ROWS`` vectors with the smallest
-hash of their id); its leaves split all vectors. A query walks the tree with a priority
+A tree of unit centroids is fitted to a bounded sample (the ``FIT_ROWS`` vectors with the smallest
+hash of their id, or four for each leaf where there are over ``MOST_LEAVES``: 8 times the root of the number of vectors); its leaves split all vectors. A query walks the tree with a priority
 queue, nearest node first, and visits as many leaves as calibration asks for: for
 ``CALIBRATION`` queries the true neighbours are found over all vectors, and visits widen until
 ``TARGET`` of these lie in visited leaves.
@@ -24,6 +24,7 @@ fewer candidates gets them all; ties go to the smaller id; repeated ids are sepa
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,9 +39,10 @@ from pricelode.llm.common import smallest_hashes, spread_join, written
 NEIGHBOURS = 5
 FIT_ROWS = 20_000
 BRANCHES = 8
-#: Vectors of a leaf, about, and leaves of a tree at most.
+#: Vectors of a leaf, about, up to so many leaves; from there on leaves and their vectors both grow as the root of the table.
 LEAF_ROWS = 200
 MOST_LEAVES = 4096
+SAMPLED = 4
 CALIBRATION = 96
 TARGET = 0.97
 #: Points and queries of a unit of work, about, and queries that it scores at once.
@@ -107,11 +109,16 @@ def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return label
 
 
+def leaves_for(total: int) -> int:
+    """Leaves of a tree over so many vectors: the tree is small enough for one machine at any size of the table."""
+    return max(1, min(total // LEAF_ROWS, max(MOST_LEAVES, 2 * math.isqrt(total))))
+
+
 def fit_tree(sample: np.ndarray, total: int, seed: int = 7) -> Tree:
     """A tree over a sample of ``total`` unit vectors, with leaves of about LEAF_ROWS of them;
     a leaf keeps four or more of the sample's."""
-    leaves = min(MOST_LEAVES, max(1, total // LEAF_ROWS))
-    least = max(4, len(sample) // leaves)
+    leaves = leaves_for(total)
+    least = max(SAMPLED, len(sample) // leaves)
     rng = np.random.default_rng(seed)
     centroids, children, rows = [], [], [np.arange(len(sample))]
     at = 0
@@ -231,7 +238,7 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
     schema = "query_id long, rank int, vec_id long, score double, visited int, leaves int"
     if not total:
         return spark.createDataFrame([], schema)
-    tree = fit_tree(unit(_sample(points, FIT_ROWS, 1)), total)
+    tree = fit_tree(unit(_sample(points, max(FIT_ROWS, SAMPLED * leaves_for(total)), 1)), total)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,7 +249,7 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
     points = written(points.select("v", "ids", "least_id").mapInArrow(place, "leaf int, v array<double>, ids array<long>, least_id long"), "leaves")
     visits = min(tree.leaves, max(1, _needed_visits(points, tree, _sample(points, CALIBRATION, 2), k, target)))
 
-    # One row for each leaf; there are MOST_LEAVES at most, or as many as a bounded sample gives.
+    # One row for each leaf of the tree.
     counts = points.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()
     size, held = np.zeros(tree.leaves, np.int64), np.zeros(tree.leaves, np.int64)
     for r in counts:

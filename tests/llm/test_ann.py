@@ -111,3 +111,7 @@ def test_shards_hold_about_a_block(monkeypatch):
     assert shard.tolist() == sorted(shard.tolist()) and shard[0] != shard[1] == shard[2] != shard[3]
     total = np.bincount(shard, sizes)
     assert all(t <= ann.BLOCK * b for t, b in zip(total, blocks, strict=True))
+
+
+def test_leaves_grow_as_the_root_of_the_table():
+    assert [ann.leaves_for(n) for n in (0, 100, 51_282, 819_200, 4_000_000, 100_000_000, 10**10)] == [1, 1, 256, 4096, 4096, 20_000, 200_000]
