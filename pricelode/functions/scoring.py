@@ -17,6 +17,7 @@ def _sum(*terms: tuple[Column, int]) -> Column:
     return total
 
 
+# The weights of what a search text meets.
 def search_score(query: str, artist: Column, title: Column, gtin: Column, fresh_shops: Column, shops: Column, lowest: Column) -> Column:
     """How well a product answers a search text."""
     words = list(query.lower().split())
@@ -46,6 +47,7 @@ def _grade(*grades: tuple[Column, int, int]) -> Column:
     return found.otherwise(pair(9, 0))
 
 
+# Buckets and scores of suggestions and facets.
 def artist_grade(query: str, artist: Column) -> Column:
     q, a = " ".join(query.lower().split()), normalized(artist)
     return _grade((F.lit(q == ""), 9, 0), (a == q, 0, 3000), (a.startswith(q + " "), 1, 2600), (a.startswith(q), 1, 2400), (a.contains(" " + q), 2, 1600), (a.contains(q), 2, 1400))
