@@ -53,14 +53,13 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return numbered.sortWithinPartitions("source_file", "line_number")
 
 
-#: Columns of marketplace files that are separated by ~, and the canonical ones. Fixed values.
-RAW_MARKETPLACE = {"title": "title", "artist": "artist", "url": "url", "ean": "ean", "timestamp": "timestamp", "master_id": "master_id", "year": "year", "price_eur": "price_eur", "price_raw": "price_raw"}
+#: Canonical columns of marketplace files, whose own separator is ~. Fixed values.
+MARKETPLACE = ("timestamp", "master_id", "url", "artist", "title", "year", "price_raw", "price_eur", "ean")
 
 
 def converted_marketplace(spark: SparkSession, path: str) -> DataFrame:
-    """A ~-separated file in canonical columns; what the file lacks is ''."""
-    found = read_csv(spark, path, list(RAW_MARKETPLACE), delimiter="~")
-    return found.select(*(F.trim(F.col(raw)).alias(own) for raw, own in RAW_MARKETPLACE.items()))
+    """A ~-separated file in canonical columns, trimmed; what the file lacks is ''."""
+    return read_csv(spark, path, list(MARKETPLACE), delimiter="~").select(*(F.trim(c).alias(c) for c in MARKETPLACE))
 
 
 def missing_columns(df: DataFrame, required: list[str]) -> list[str]:
