@@ -166,3 +166,10 @@ def test_many_cues_in_a_long_text():
     text = "the licence of a copyright holder, says nobody. " * 3000 + "Released under the MIT License."
     found = scan(text)
     assert [(f.license, f.verdict) for _, _, f in found if f.verdict != "unconfirmed"] == [("MIT", "exact")]
+
+
+def test_a_text_over_all_slices(spark):
+    long = "harbour lamp of the quiet river " * 290_000
+    docs = spark.createDataFrame([(1, f"{long}\nReleased under the MIT License.\n{long}"), (2, None)], "doc_id long, text string").coalesce(1)
+    [r] = license_scan(docs).collect()
+    assert (r.doc_id, r.offset, r.license, r.verdict) == (1, len(long) + 1, "MIT", "exact")

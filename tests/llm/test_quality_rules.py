@@ -83,3 +83,11 @@ def test_many_rejected_hosts_take_no_texts_along(spark, cases, monkeypatch):
     monkeypatch.setattr(module, "BROADCAST_HOSTS", 0)
     kept = keep_good(docs)
     assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == want and len(want) == 300
+
+
+def test_a_text_over_all_slices(spark):
+    """9 MB: its counts follow from how it is made."""
+    line = "seven words # stand on this line"
+    docs = spark.createDataFrame([(1, "\n".join([line] * 280_000), "h"), (2, "x", "h")], "doc_id long, text string, source string").coalesce(1)
+    r = quality_rules(docs).where("doc_id = 1").first()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (1_960_000, 280_000 * 26, 280_000, 279_999, 1_960_000)
