@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pricelode.llm import block_names
+from pricelode.llm import block_names, queries
 
 
 def lowered(text):
@@ -86,3 +86,7 @@ def test_rows_that_stay_keep_their_columns(spark, cases, no_docs):
     assert block_names.drop_copies(no_docs).count() == 0
     docs = spark.createDataFrame([("b", "X"), ("c", "x"), ("a", "x"), (None, "X"), (None, "y")], "key string, body string")
     assert sorted(str(r.key) for r in block_names.drop_copies(docs, "key", "body").collect()) == ["None", "c"]
+
+
+def test_equals_sql(compare):
+    compare(queries.QUERIES["op13_block_naming"], queries.ORACLES["op13_block_naming"])
