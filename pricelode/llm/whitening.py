@@ -2,7 +2,7 @@
 
 Entries c become integers x = floor(1024 c) + 100000. One pass adds n and the sums S of each dimension, as integers. The
 covariance of the centred rows is never formed: each iteration multiplies it with a block of columns in one pass over
-the rows (every task sends one row for each dimension, whatever it has read). The block holds an orthonormal basis of the iterate, the
+the rows (every task sends one row for each cell of the product, whatever it has read). The block holds an orthonormal basis of the iterate, the
 preconditioned residuals and the previous directions; Rayleigh-Ritz on it gives the next iterate, with ``GUARD`` columns more than are
 asked for, so that near eigenvalues behind the last one don't slow it down. Since products always are fresh ones, the residual of an
 iterate is a certificate: iteration ends when the residuals of all components are at most ``TOLERANCE`` of the
@@ -98,7 +98,6 @@ def centred(x: np.ndarray, n: int, sums: list[int]) -> np.ndarray:
 
 def product(rows: DataFrame, n: int, sums: list[int], block: np.ndarray) -> np.ndarray:
     """The covariance times ``block``, by one pass over the rows."""
-    width = block.shape[1]
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(block.shape)
@@ -109,14 +108,12 @@ def product(rows: DataFrame, n: int, sums: list[int], block: np.ndarray) -> np.n
                 total += y.T @ (y @ block)
                 seen = True
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], ["dim", "part"])
-
-    parts = rows.select("x").mapInArrow(multiply, "dim int, part array<double>")
-    added = parts.groupBy("dim").agg(*[F.sum(F.col("part")[j]).alias(f"c{j}") for j in range(width)]).collect()
-    out = np.zeros(block.shape)
-    for r in added:
-        out[r["dim"]] = [r[f"c{j}"] for j in range(width)]
-    return out / n
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size, dtype=np.int32)), pa.array(total.reshape(-1))], ["cell", "part"])
+
+    added = rows.select("x").mapInArrow(multiply, "cell int, part double").groupBy("cell").agg(F.sum("part").alias("v")).toArrow()
+    out = np.zeros(block.size)
+    out[added.column("cell").to_numpy()] = added.column("v").to_numpy()
+    return out.reshape(block.shape) / n
 
 
 def variances(rows: DataFrame, n: int, sums: list[int]) -> np.ndarray:
