@@ -21,7 +21,7 @@ gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -36,27 +36,11 @@ BITS = 64
 SEED = 42
 SHINGLE = 4
 TAU = 4
-#: The pipeline's near-duplicates: candidates by fingerprints of word pairs, verified by a
-#: sketch of five-word shingles whose estimated cosine is SIMILARITY or more.
-NEAR_SHINGLE = 5
-SIMILARITY = 0.8
-PROBE_SHINGLE = 2
-PROBE_TAU = 10
-SKETCH_WORDS = 4
-#: More candidates: texts with all BAND_ROWS smallest hashes of a band equal. At a Jaccard similarity of 0.8,
-#: whatever the edits are, (1 - 0.8 ** 4) ** 20 = 0.003 % of the pairs share none of the bands.
-BANDS, BAND_ROWS = 20, 4
-FIRST_BAND = 1000
-#: A pair of a band whose sketches differ in more bits than SIMILARITY allows, but in DOUBT or fewer, is held
-#: against JACCARD by its shingles. At 0.8 about 39 of 256 bits differ, over 68 once in a million pairs.
-JACCARD = 0.8
-DOUBT = 68
 #: Fingerprints of a bucket that one block holds.
 BLOCK = 2048
 #: What a shuffled row costs, in comparisons of two fingerprints.
 ROW_COST = 400.0
 MAX_RADIUS = 2
-ROUNDS = 60
 
 
 #: A byte's bits, each in a byte of its own: sums of up to 255 of these don't overflow.
@@ -89,50 +73,6 @@ def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     return majority(made, runs)
 
 
-def sketches(texts: pa.Array, shingle: int = NEAR_SHINGLE) -> np.ndarray:
-    """A fingerprint of ``64 * SKETCH_WORDS`` bits for each text: (texts, SKETCH_WORDS) uint64.
-    The shingle hashes are remixed for each further 64 bits."""
-    return _sketches(*shingle_hashes(texts, shingle))
-
-
-def _sketches(made: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    out = np.empty((len(runs) - 1, SKETCH_WORDS), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(SKETCH_WORDS):
-            mixed = (made ^ (made >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            made = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB) + np.uint64(0x9E3779B97F4A7C15)
-            out[:, k] = majority(made, runs)
-    return out
-
-
-def band_values(made: np.ndarray, runs: np.ndarray) -> list[list[int]]:
-    """For each run of shingle hashes, a value of each band of smallest hashes; none for an empty run."""
-    some = np.flatnonzero(np.diff(runs))
-    out: list[list[int]] = [[] for _ in range(len(runs) - 1)]
-    if not len(some):
-        return out
-    rng, begin = np.random.default_rng(SEED), runs[:-1][some]
-    values, mixed = np.zeros((len(some), BANDS), np.uint64), np.empty_like(made)
-    with np.errstate(over="ignore"):
-        for k in range(BANDS * BAND_ROWS):
-            factor, offset = rng.integers(0, 1 << 64, 2, np.uint64)
-            np.multiply(made, factor | np.uint64(1), out=mixed)
-            np.add(mixed, offset, out=mixed)
-            least = np.minimum.reduceat(mixed, begin)
-            own = values[:, k // BAND_ROWS]
-            own ^= least
-            own *= np.uint64(0xBF58476D1CE4E5B9)
-            own ^= own >> np.uint64(31)
-    for i, v in zip(some.tolist(), values.view(np.int64).tolist(), strict=True):
-        out[i] = v
-    return out
-
-
-def sketch_bits(similarity: float = SIMILARITY) -> int:
-    """Differing bits of a sketch at a cosine of ``similarity``: an angle's share of pi."""
-    return int(64 * SKETCH_WORDS * np.arccos(similarity) / np.pi)
-
-
 _P1, _P2, _P3, _P4, _P5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
 #: Longer strings are hashed one by one.
 LONG_BYTES = 512
@@ -370,7 +310,6 @@ class Limits(NamedTuple):
 
     tau: int
     sketch: int
-    doubt: int = 0  # the same for pairs of a band that are held against their shingles
 
 
 class Nodes(NamedTuple):
@@ -448,60 +387,44 @@ def _links_of_sorted(group: np.ndarray, nodes: Nodes, limits: Limits) -> tuple[n
     return np.concatenate([*a, none]), np.concatenate([*b, none])
 
 
-def _doubts_of_sorted(group: np.ndarray, nodes: Nodes, limits: Limits) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs inside runs of equal ``group`` that aren't linked, but are within ``limits.doubt``;
-    in long runs, of those that no links of the run connect."""
-    starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
-    size = np.diff(np.r_[starts, len(group)])
-    end = np.repeat(starts + size, size)
-    a, b = [], []
-
-    def add(i: np.ndarray, j: np.ndarray) -> None:
-        bits = np.bitwise_count(nodes.sketch[i] ^ nodes.sketch[j]).sum(axis=1)
-        hit = (bits > limits.sketch) & (bits <= limits.doubt)
-        a.append(nodes.node[i[hit]])
-        b.append(nodes.node[j[hit]])
-
-    left, shift = np.flatnonzero(np.repeat((size > 1) & (size <= FEW), size)), 1
-    while len(left):
-        left = left[left + shift < end[left]]
-        add(left, left + shift)
-        shift += 1
-    for k in np.flatnonzero(size > FEW):
-        run = np.arange(starts[k], starts[k] + size[k])
-        root, member = spanning_forest(nodes.at(run), limits)
-        tree = nodes.node[run].copy()
-        if len(member):
-            order = np.argsort(member)
-            at = np.minimum(np.searchsorted(member[order], tree), len(member) - 1)
-            tree = np.where(member[order][at] == tree, root[order][at], tree)
-        for i in range(0, len(run), 32):
-            x, y = np.nonzero(tree[i : i + 32, None] != tree[None, :])
-            x += i
-            later = y > x
-            add(run[x[later]], run[y[later]])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([*a, none]), np.concatenate([*b, none])
-
-
 def links(nodes: DataFrame, limits: Limits, plan: Plan | None = None) -> DataFrame:
     """Edges (a, b), a < b, between nodes (columns node, fp, sketch; each node once) that
     connect everything within ``limits``. An empty or null sketch isn't compared."""
     return _found(visits(nodes, plan or plan_search(*bit_sums(nodes), limits.tau)), limits).select("a", "b").distinct()
 
 
-def banded(nodes: DataFrame) -> DataFrame:
-    """Rows like those of ``visits``: each node (with ``bands``) at those values of its bands that other
-    nodes have too; the sketches join them only then. Their fingerprints are 0, so that the sketches
-    decide alone."""
-    lean = nodes.select("node", F.posexplode("bands").alias("part", "value"))
-    shared = lean.groupBy("part", "value").count().where(F.col("count") > 1).drop("count")
-    rows = lean.join(shared, ["part", "value"], "left_semi").join(nodes.select("node", "sketch"), "node")
-    return rows.select((F.col("part") + FIRST_BAND).alias("part"), "value", "node", F.lit(0).cast("long").alias("fp"), "sketch", F.lit(True).alias("home"))
+def _found(visited: DataFrame, limits: Limits) -> DataFrame:
+    """Edges (a, b) of the visits."""
 
+    def edges(table: pa.Table) -> pa.RecordBatch:
+        node, fp, sketch, home = nodes_of(table, limits.sketch > 0)
+        x, y = _links_of_sorted(run_numbers(table), Nodes(node, fp, sketch, home), limits)
+        once = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(once[:, k])) for k in (0, 1)], ["a", "b"])
 
-def _found(visited: DataFrame, limits: Limits) -> DataFrame:
-    """Edges (a, b, sure) of the visits: links, and with ``sure`` false the pairs in doubt."""
+    return of_buckets(visited, edges, "a long, b long")
+
+
+def nodes_of(table: pa.Table, with_sketch: bool) -> Nodes:
+    """The rows of buckets as arrays; a sketch is a row of 64-bit words."""
+    node, fp, home = (table.column(k).to_numpy() for k in ("node", "fp", "home"))
+    wide = b"".join(table.column("sketch").to_pylist()) if with_sketch else b""
+    sketch = np.frombuffer(wide, np.uint64).reshape(len(node), -1) if wide else np.zeros((len(node), 0), np.uint64)
+    return Nodes(node, fp.view(np.uint64), sketch, home)
+
+
+def run_numbers(table: pa.Table) -> np.ndarray:
+    """For each row the number of its bucket; rows are in order of their buckets."""
+    change = np.zeros(max(len(table) - 1, 0), bool)
+    for k in ("cell", "part", "value"):
+        column = table.column(k).to_numpy()
+        change |= column[1:] != column[:-1]
+    return np.r_[0, np.cumsum(change)]
+
+
+def of_buckets(visited: DataFrame, find: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``find`` over the rows of whole buckets (part, value); buckets over BLOCK rows are dealt as pairs of blocks, each a
+    bucket of its own (cell)."""
     heavy = visited.groupBy("part", "value").count().where(F.col("count") > BLOCK)
     heavy = heavy.withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int")).drop("count")
     # One row for BLOCK visits at most; Spark broadcasts it where it is small enough.
@@ -512,42 +435,28 @@ def _found(visited: DataFrame, limits: Limits) -> DataFrame:
     dealt = dealt.withColumn("cell", F.explode(pairs)).select(F.xxhash64("part", "value", "cell").alias("cell"), "part", "value", "node", "fp", "sketch", "home")
     dealt = dealt.repartition("cell").sortWithinPartitions("cell", "part", "value")
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-            table = pa.Table.from_batches(rows).combine_chunks()
-            cell, part, value, node, fp, home = (table.column(k).to_numpy() for k in (0, 1, 2, 3, 4, 6))
-            wide = b"".join(table.column(5).to_pylist()) if limits.sketch else b""
-            sketch = np.frombuffer(wide, np.uint64).reshape(len(node), -1) if wide else np.zeros((len(node), 0), np.uint64)
-            change = (cell[1:] != cell[:-1]) | (part[1:] != part[:-1]) | (value[1:] != value[:-1])
-            x, y = _links_of_sorted(np.r_[0, np.cumsum(change)], Nodes(node, fp.view(np.uint64), sketch, home), limits)
-            sure = np.ones(len(x), np.int64)
-            if limits.doubt and len(some := np.flatnonzero(part >= FIRST_BAND)):
-                of_bands = Nodes(node, fp.view(np.uint64), sketch, home).at(some)
-                v, w = _doubts_of_sorted(np.r_[0, np.cumsum(change)][some], of_bands, limits)
-                x, y, sure = np.r_[x, v], np.r_[y, w], np.r_[sure, np.zeros(len(v), np.int64)]
-            once = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), sure], axis=1), axis=0)
-            return pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(once[:, k])) for k in (0, 1)), pa.array(once[:, 2] > 0)], ["a", "b", "sure"])
-
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []  # the rows of a bucket that may go on in the next batch
         key: tuple | None = None
+        whole = lambda rows: find(pa.Table.from_batches(rows).combine_chunks())
         for batch in batches:
             if not batch.num_rows:
                 continue
             cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
             cut = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1]))
             if held and key != tuple(c[0] for c in cols):
-                yield edges(held)
+                yield whole(held)
                 held = []
             last = int(cut[-1]) + 1 if len(cut) else 0
             if last:
-                yield edges([*held, batch.slice(0, last)])
+                yield whole([*held, batch.slice(0, last)])
                 held = []
             held.append(batch.slice(last))
             key = tuple(c[-1] for c in cols)
         if held:
-            yield edges(held)
+            yield whole(held)
 
-    return dealt.mapInArrow(find, "a long, b long, sure boolean")
+    return dealt.mapInArrow(scan, schema)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -555,7 +464,7 @@ def components(edges: DataFrame) -> DataFrame:
     component. Alternating large and small stars until all edges lie in stars that share no node."""
     edges = checkpointed(edges.select("a", "b").where(F.col("a") != F.col("b")))
     total = edges.count()
-    for _ in range(ROUNDS):
+    while True:
         for large in (True, False):
             both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
             if not large:
@@ -576,8 +485,6 @@ def components(edges: DataFrame) -> DataFrame:
         total, tied = seen.agg(F.coalesce(F.sum("leaf"), F.lit(0)), F.count_if(F.col("root") + F.col("leaf") > 1)).first()
         if not tied:
             break
-    else:
-        raise RuntimeError(f"components did not settle in {ROUNDS} rounds")
     pairs = edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
     return pairs.groupBy("node").agg(F.min("root").alias("root")).union(edges.select(F.col("a"), F.col("a")).distinct())
 
@@ -593,71 +500,3 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     linked = spread_join(roots, checkpointed(named), "root").select(F.col("node").alias("fp"), "component_id")
     whole = written(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id")), "whole")
     return spread_join(table, whole, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def alike(table: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Edges (a, b) between the roots of those ``pairs`` (a, b, root_a, root_b) of nodes whose texts
-    (``table``: _row, text) have a Jaccard similarity of five-word shingles of JACCARD or more."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    # Written, so that its size is known: only if it is large the texts are shuffled.
-    wanted = written(nodes.join(wanted, "node").select("node", F.col("who.row").alias("_row")), "wanted")
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                made, runs = shingle_hashes(part.column(1), NEAR_SHINGLE)
-                sets = [np.unique(made[i:j]).view(np.int64) for i, j in zip(runs[:-1], runs[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
-
-    sets = written(table.join(wanted, "_row").select("node", "text").mapInArrow(make, "node long, shingles array<long>"), "shingles")
-    both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    both = both.withColumn("shared", shared).where(F.col("shared") >= F.lit(JACCARD) * (F.size("x") + F.size("y") - F.col("shared")))
-    return both.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct()
-
-
-def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the one with the smallest id
-    (a null id is the largest; of equal ids, any one row).
-
-    Candidates are texts whose 64-bit fingerprints of word pairs differ in at most
-    PROBE_TAU bits, or which share a band of smallest hashes of five-word shingles. They link
-    if their sketches of five-word shingles have an estimated cosine of ``similarity`` or more;
-    candidates of a band that no such links connect also if the Jaccard similarity of their
-    five-word shingles is JACCARD or more. A text without words links to others like it."""
-    small_batches(docs.sparkSession)
-    own = [f"_own_{i}" for i in range(len(docs.columns))]
-    inner = docs.toDF(*own).withColumn("_row", F.monotonically_increasing_id())
-    t, key = (own[docs.columns.index(x)] for x in (text, doc_id))
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, t):
-                texts = part.column(part.schema.get_field_index(t))
-                (made, runs), probe = shingle_hashes_of(texts, (NEAR_SHINGLE, PROBE_SHINGLE))
-                sketch, bands = [x.tobytes() for x in _sketches(made, runs)], band_values(made, runs)
-                more = [pa.array(majority(*probe).view(np.int64)), pa.array(sketch, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], [*part.schema.names, "_fp", "_sketch", "_bands"])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in inner.schema.fields)
-    table = written(inner.mapInArrow(make, f"{fields}, _fp long, _sketch binary, _bands array<long>"), "near")
-    lean = table.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_row").alias("row")).alias("who"), "_fp", "_sketch", "_bands")
-    # Numbers, not hashes, name the nodes: different texts never share one. They are fixed once written.
-    same = lean.groupBy(F.col("_fp").alias("fp"), F.col("_sketch").alias("sketch")).agg(F.min("who").alias("who"), F.first("_bands").alias("bands"))
-    nodes = written(same.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    limits = Limits(PROBE_TAU, sketch_bits(similarity), DOUBT)
-    visited = visits(nodes, plan_search(*bit_sums(nodes), PROBE_TAU)).union(banded(nodes))
-    edges = written(_found(visited, limits).distinct(), "edges")
-    roots = checkpointed(components(edges.where("sure").select("a", "b")))
-    doubts = edges.where(~F.col("sure")).select("a", "b")
-    for end in ("a", "b"):
-        doubts = written(spread_join(doubts, roots.toDF(end, f"root_{end}"), end).withColumn(f"root_{end}", F.coalesce(f"root_{end}", end)), f"doubts-{end}")
-    doubts = doubts.where(F.col("root_a") != F.col("root_b"))
-    if not doubts.isEmpty():
-        more = checkpointed(components(alike(table.select("_row", F.col(t).alias("text")), nodes, doubts)))
-        ends = doubts.select(F.col("root_a").alias("node")).union(doubts.select("root_b")).distinct()
-        every = written(roots.union(ends.join(roots, "node", "left_anti").select("node", F.col("node").alias("root"))), "roots")
-        roots = spread_join(every, more.toDF("root", "top"), "root").select("node", F.coalesce("top", "root").alias("root"))
-    first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("who").alias("who"))
-    stay = first.select(F.col("who.row").alias("_row"))
-    return table.join(stay, "_row", "left_semi").select(*own).toDF(*docs.columns)

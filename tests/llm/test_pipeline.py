@@ -1,8 +1,44 @@
+import random
+import re
+from collections import Counter
+
+import pytest
+
 import corpus_pipeline
 
 DIR = "/root/testdata/sf0.001"
 
 
+def shingle_sets(texts):
+    out = []
+    for t in texts:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        out.append({" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or ({" ".join(words)} if words else set()))
+    return out
+
+
+def groups(texts, similarity=0.8):
+    """For each text the first one that links of exact Jaccard similarity connect it to, over all pairs that share a shingle."""
+    sets, place, shared = shingle_sets(texts), {}, Counter()
+    for k, own in enumerate(sets):
+        for s in own or {None}:  # texts without words share that
+            place.setdefault(s, []).append(k)
+    for own in place.values():
+        shared.update((a, b) for i, a in enumerate(own) for b in own[i + 1 :])
+    root = list(range(len(texts)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for (a, b), n in shared.items():
+        if n >= similarity * (len(sets[a]) + len(sets[b]) - n):
+            a, b = sorted((top(a), top(b)))
+            root[b] = a
+    return [top(k) for k in range(len(texts))]
+
+
 def test_stages_narrow_the_corpus(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     columns, before = docs.columns, docs.count()
@@ -32,9 +68,8 @@ def test_stages_equal_brute_force(spark):
     pairs, packing by the budget of every batch; the classifier by the labels it keeps."""
     import duckdb
     import numpy as np
-    import pyarrow as pa
 
-    from pricelode.llm import queries, simhash
+    from pricelode.llm import queries
 
     inputs, outputs = {}, {}
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
@@ -53,16 +88,7 @@ def test_stages_equal_brute_force(spark):
     assert set(outputs["quality rules"].doc_id) == want
 
     rows = inputs["near-duplicates"].sort_values("doc_id")
-    texts = pa.array(rows.text.tolist())
-    fp, sketch = simhash.fingerprints(texts, simhash.PROBE_SHINGLE), simhash.sketches(texts)
-    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= simhash.PROBE_TAU
-    near &= np.bitwise_count(sketch[:, None, :] ^ sketch[None, :, :]).sum(axis=2) <= simhash.sketch_bits()
-    root = np.arange(len(rows))
-    while True:
-        least = np.where(near, root[None, :], len(rows)).min(axis=1)
-        if (least == root).all():
-            break
-        root = least
+    root = np.array(groups(rows.text))
     assert set(outputs["near-duplicates"].doc_id) == set(rows.doc_id.to_numpy()[root == np.arange(len(rows))])
 
     packed = outputs["packing"]
@@ -75,7 +101,7 @@ def test_one_contiguous_edit_is_found(spark):
     """Pairs with a Jaccard similarity of 0.8 and more by one appended or replaced block."""
     import numpy as np
 
-    from pricelode.llm import simhash
+    from pricelode.llm import near_copies
 
     rng, rows, want = np.random.default_rng(7), [], set()
     shingles = lambda words: {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
@@ -91,59 +117,64 @@ def test_one_contiguous_edit_is_found(spark):
         rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
         want.add(2 * k)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    assert {r.doc_id for r in simhash.drop_near_copies(docs).collect()} == want
+    assert {r.doc_id for r in near_copies.drop_near_copies(docs).collect()} == want
 
 
 def test_near_duplicates_against_exact_shingles(spark):
-    """All pairs of the stage's input, by their exact sets of five-word shingles: of two texts with a Jaccard
-    similarity of 0.8 or more one goes at least, and a text goes only if it is near a text that stays, in steps."""
-    import re
+    """The first text of each group of all pairs stays, and no other."""
+    from pricelode.llm import near_copies
 
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.toPandas().sort_values("doc_id")
+    want = [d for k, (d, r) in enumerate(zip(rows.doc_id, groups(rows.text), strict=True)) if k == r]
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == want and len(want) < len(rows) - 50
+
+
+@pytest.mark.parametrize("chunk", [3, 512])
+def test_pairs_around_the_limit(spark, monkeypatch, chunk):
+    """Clusters of texts with similarities around 0.8, chains of them, repeated lines and short texts: whether parents and clusters are dealt out or not."""
+    from pricelode.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    rng, texts = random.Random(2), []
+    for c in range(12):
+        base = [f"c{c}w{i}" for i in range(rng.choice([5, 7, 9, 14, 40, 120, 300]))]
+        for _ in range(25):
+            words = base.copy()
+            for _ in range(rng.randint(1, max(1, len(base) // 40))):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randint(0, 3)] = [f"x{rng.randrange(4)}" for _ in range(rng.randint(0, 2))]
+            texts.append(" ".join(words) + (" " + " ".join(base[:20])) * rng.choice([0, 0, 0, 40]))
+    texts += ["", " \n", "one", "one", "One two", "one two three"]
+    rng.shuffle(texts)
+    root = groups(texts)
+    assert 20 < len(set(root)) < len(texts) - 60
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect())
+    assert found == sorted(set(root))
+
+
+def test_a_bucket_of_doubts_gives_few_rows():
+    """500 sketches that all may be near each other: a forest has 499 edges, not 124,750 pairs."""
     import numpy as np
-    import pyarrow as pa
 
-    from pricelode.llm import simhash
+    from pricelode.llm import near_copies
+    from pricelode.llm.simhash import Nodes
 
-    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas().sort_values("doc_id")
-    texts = [t or "" for t in rows.text]
-    kept = {r.doc_id for r in simhash.drop_near_copies(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()}
-    sets, place = [], {}
-    for t in texts:
-        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
-        some = {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} or {" ".join(words)}
-        sets.append(some)
-        for s in some:
-            place.setdefault(s, []).append(len(sets) - 1)
-    shared = {}
-    for own in place.values():
-        for i, a in enumerate(own):
-            for b in own[i + 1 :]:
-                shared[a, b] = shared.get((a, b), 0) + 1
-    near = {(a, b) for (a, b), n in shared.items() if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n)}
-    assert len(near) > 50
-    sketch = simhash.sketches(pa.array(texts))
-    linked = np.bitwise_count(sketch[:, None, :] ^ sketch[None, :, :]).sum(axis=2) <= simhash.sketch_bits()
-    for a, b in near:
-        linked[a, b] = linked[b, a] = True
-    root = np.arange(len(rows))
-    while True:
-        least = np.where(linked, root[None, :], len(rows)).min(axis=1)
-        if (least == root).all():
-            break
-        root = least
-    ids = rows.doc_id.to_numpy()
-    stays = np.array([d in kept for d in ids])
-    assert not [(int(ids[a]), int(ids[b])) for a, b in near if stays[a] and stays[b]]
-    assert all(stays[root == r].any() for r in set(root.tolist()))
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2, 256)
+    bits = (base ^ (rng.random((500, 256)) < 0.12)).astype(np.uint8)
+    words = np.c_[np.packbits(bits, axis=1).view(np.uint64), np.full(500, 300, np.uint64)]
+    nodes = Nodes(np.arange(500), np.zeros(500, np.uint64), words, np.ones(500, bool))
+    edges = list(near_copies.forest(np.zeros(500, np.int64), nodes, 0.8))
+    assert len(edges) == 499 and len({c for _, c in edges}) == 499
 
 
 def test_hubs_and_hot_texts(spark):
     """100,000 equal rows and a hub of 3,000 near ones leave one each."""
-    import random
-
     from pyspark.sql import functions as F
 
-    from pricelode.llm import simhash
+    from pricelode.llm import near_copies, simhash
 
     rng = random.Random(1)
     base = [f"b{i}" for i in range(400)]
@@ -154,6 +185,6 @@ def test_hubs_and_hot_texts(spark):
         near.append((200_000 + i, " ".join(words)))
     same = spark.range(100_000).select(F.col("id").alias("doc_id"), F.lit(" ".join(f"c{i}" for i in range(40))).alias("text"))
     docs = same.union(spark.createDataFrame(near, "doc_id long, text string")).repartition(4)
-    assert sorted(r.doc_id for r in simhash.drop_near_copies(docs).collect()) == [0, 200_000]
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs).collect()) == [0, 200_000]
     found = simhash.simhash_components(docs)
     assert found.count() == 103_000 and found.where("doc_id < 100000").select("component_id").distinct().collect()[0].component_id == 0

@@ -6,7 +6,8 @@ import pyarrow as pa
 import pytest
 import xxhash
 
-from pricelode.llm.simhash import BITS, Limits, drop_near_copies, fingerprints, links, plan_search, simhash_components
+from pricelode.llm.near_copies import drop_near_copies
+from pricelode.llm.simhash import BITS, Limits, fingerprints, links, plan_search, simhash_components
 
 
 def brute_fingerprint(text):
