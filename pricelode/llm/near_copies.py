@@ -10,7 +10,7 @@ Equal sets are one node. No bucket gives all its pairs:
 
 1. Each bucket proposes a spanning forest of its candidates, parent and child. Children's sets go to their parent's
    (a parent of very many has copies, one for ``CHUNK`` children) and are compared; proposals that hold are links, and give components.
-2. Where a proposal failed, a node may be near another one of its bucket. The nodes of such clusters go through their buckets again,
+2. Where a proposal failed, a node may be near another one of its bucket. The components that hold an end of such a proposal go through their buckets again,
    and only candidates of different components count. What these connect is a cluster of doubts; each set goes to its cluster
    once (clusters over ``CHUNK`` are dealt as pairs of blocks), and all its candidates of different components are compared until they are connected.
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.llm.common import checkpointed, slices, small_batches, spread_join, written
-from pricelode.llm.simhash import SEED, Nodes, bit_sums, components, majority, nodes_of, of_buckets, plan_search, run_numbers, shingle_hashes_of, visits
+from pricelode.llm.simhash import SEED, Nodes, Plan, bit_sums, components, majority, nodes_of, of_buckets, plan_search, run_numbers, shingle_hashes_of, visits
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -243,23 +243,24 @@ def near_children(edges: DataFrame, sets: DataFrame, similarity: float) -> DataF
 
 
 def near_in_clusters(members: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between members (cluster, node, sketch, items; written) of a cluster that connect all its candidates that are near."""
+    """Links (a, b) between the roots of members (cluster, node, root, sketch, items; written) of a cluster that connect all its candidates that are near."""
     counts = members.groupBy("cluster").count().where(F.col("count") > CHUNK).select("cluster", F.ceil(F.col("count") / CHUNK).cast("int").alias("blocks"))
     dealt = members.join(counts, "cluster", "left").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.least(o, F.col("mine")) * F.col("blocks") + F.greatest(o, F.col("mine")))
     )
-    met = dealt.withColumn("cell", F.explode(pairs)).select("cluster", "cell", "node", "sketch", "items").repartition("cluster", "cell").sortWithinPartitions("cluster", "cell", "node")
+    met = dealt.withColumn("cell", F.explode(pairs)).select("cluster", "cell", "root", "node", "sketch", "items").repartition("cluster", "cell").sortWithinPartitions("cluster", "cell", "root", "node")
 
     def linked(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        """rows: (root, node, sketch, items)"""
         n = len(rows)
-        words = np.frombuffer(b"".join(r[1] for r in rows), np.uint64).reshape(n, -1)
-        nodes, joined = Nodes(np.array([r[0] for r in rows]), np.zeros(n, np.uint64), words, np.ones(n, bool)), Union()
+        words = np.frombuffer(b"".join(r[2] for r in rows), np.uint64).reshape(n, -1)
+        nodes, joined = Nodes(np.array([r[1] for r in rows]), np.zeros(n, np.uint64), words, np.ones(n, bool)), Union()
         for i in range(n - 1):
             later = np.arange(i + 1, n)
             for j in later[_candidates(nodes, np.full(len(later), i), later, similarity)].tolist():
-                if joined.top(i) != joined.top(j) and near(rows[i][2], rows[j][2], similarity):
-                    joined.join(i, j)
+                if joined.top(rows[i][0]) != joined.top(rows[j][0]) and near(rows[i][3], rows[j][3], similarity):
+                    joined.join(rows[i][0], rows[j][0])
                     yield rows[i][0], rows[j][0]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,12 +272,12 @@ def near_in_clusters(members: DataFrame, similarity: float) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in range(4)]
-            for cluster, cell, node, sketch, items in zip(*columns, _sets(batch.column(4)), strict=True):
+            columns = [batch.column(k).to_pylist() for k in range(5)]
+            for cluster, cell, root, node, sketch, items in zip(*columns, _sets(batch.column(5)), strict=True):
                 if (cluster, cell) != last:
                     yield links(held)
                     held, last = [], (cluster, cell)
-                held.append((node, sketch, items.copy()))
+                held.append((root, node, sketch, items.copy()))
         yield links(held)
 
     return met.mapInArrow(compare, "a long, b long")
@@ -319,26 +320,34 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     sets = written(sets_of(table.select("_row", F.col(t).alias("text")), wanted), "shingles")
     links = written(near_children(edges, sets, similarity), "links")
     roots = checkpointed(components(links))
-    failed = edges.count() - links.count()
-    if failed:
-        links = links.union(_second_step(nodes, plan, edges, roots, sets, similarity))
-        roots = checkpointed(components(links))
+    if edges.count() > links.count():
+        more = _second_step(nodes, plan, edges, roots, sets, similarity)
+        if not more.isEmpty():
+            tops = written(components(more), "tops")
+            every = roots.union(tops.select("root", "root")).union(tops.select("node", "node")).groupBy("node").agg(F.min("root").alias("root"))
+            roots = spread_join(written(every, "roots"), tops.toDF("root", "top"), "root").select("node", F.coalesce("top", "root").alias("root"))
     first = nodes.join(roots, "node", "left").groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("who").alias("who"))
     stay = first.select(F.col("who.row").alias("_row"))
     return table.join(stay, "_row", "left_semi").select(*own).toDF(*docs.columns)
 
 
-def _second_step(nodes: DataFrame, plan, edges: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links between candidates of different components, in the clusters that proposals made."""
-    clusters = checkpointed(components(edges)).withColumnRenamed("root", "cluster")
-    placed = clusters.join(roots, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root"))
-    mixed = placed.groupBy("cluster").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("cluster")
-    placed = written(placed, "placed")
-    mixed = written(mixed, "mixed")
-    doubtful = spread_join(placed, mixed.withColumn("open", F.lit(True)), "cluster").where("open").select("node", "root")
+def _second_step(nodes: DataFrame, plan: Plan, edges: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between components (by their roots), from candidates of different components. Two such candidates of a bucket are joined by proposals, one of
+    which leaves the component of either: so both components hold an end of a proposal that failed."""
+    rooted = edges
+    for end in ("a", "b"):
+        rooted = written(spread_join(rooted, roots.toDF(end, f"root_{end}"), end).withColumn(f"root_{end}", F.coalesce(f"root_{end}", end)), f"rooted-{end}")
+    failed = rooted.where("root_a <> root_b")
+    if failed.isEmpty():
+        return failed.select("a", "b")
+    unsettled = written(failed.select(F.col("root_a").alias("root")).union(failed.select("root_b")).distinct().withColumn("open", F.lit(True)), "unsettled")
+    ends = rooted.select(F.col("a").alias("node"), F.col("root_a").alias("root")).union(rooted.select("b", "root_b")).distinct()
+    doubtful = spread_join(written(ends, "ends"), unsettled, "root").where("open").select("node", "root")
     component = F.unhex(F.lpad(F.hex("root"), 16, "0"))  # one more word of the sketch; only equality counts
-    again = written(nodes.join(doubtful, "node").withColumn("sketch", F.concat("sketch", component)).select("node", "fp", "sketch", "bands"), "doubtful")
+    again = written(nodes.join(doubtful, "node").withColumn("sketch", F.concat("sketch", component)).select("node", "fp", "sketch", "bands", "root"), "doubtful")
     doubts = written(proposals(visits(again, plan).union(banded(again)), similarity), "doubts")
-    members = checkpointed(components(doubts)).withColumnRenamed("root", "cluster")
-    members = written(members.join(again.select("node", "sketch"), "node").join(sets, "node").select("cluster", "node", "sketch", "items"), "members")
-    return written(near_in_clusters(members, similarity), "more-links")
+    if doubts.isEmpty():
+        return doubts
+    clusters = checkpointed(components(doubts)).withColumnRenamed("root", "cluster")
+    members = clusters.join(again.select("node", "sketch", "root"), "node").join(sets, "node").select("cluster", "node", "root", "sketch", "items")
+    return written(near_in_clusters(written(members, "members"), similarity), "more-links")

@@ -459,17 +459,27 @@ def of_buckets(visited: DataFrame, find: Callable[[pa.Table], pa.RecordBatch], s
     return dealt.mapInArrow(scan, schema)
 
 
+#: Rows of a task in the rounds of components; small graphs have few tasks and files.
+TASK_ROWS = 50_000
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (of about so many rows) in tasks of TASK_ROWS or more."""
+    return df.coalesce(max(1, -(-rows // TASK_ROWS)))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node of its
     component. Alternating large and small stars until all edges lie in stars that share no node."""
     edges = checkpointed(edges.select("a", "b").where(F.col("a") != F.col("b")))
     total = edges.count()
+    edges = few_tasks(edges, total)
     while True:
         for large in (True, False):
             both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
             if not large:
                 both = both.where(F.col("b") < F.col("a"))
-            least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("least"), F.count("*").alias("n")))
+            least = checkpointed(few_tasks(both.groupBy("a").agg(F.least(F.min("b"), F.min("a")).alias("least"), F.count("*").alias("n")), total))
             hub = F.col("n") > hot_limit(2 * total)
             hubs = F.broadcast(least.where(hub).drop("n"))  # HOT_SHARE rows at most, whatever the size
             rest = both.join(hubs, "a", "left_anti").join(least.where(~hub).drop("n"), "a")
@@ -479,7 +489,7 @@ def components(edges: DataFrame) -> DataFrame:
             else:
                 made = moved.where(F.col("b") != F.col("least")).select("b", "least").union(least.select("a", "least"))
             edges = made.toDF("x", "y").where(F.col("x") != F.col("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        edges = checkpointed(edges)
+        edges = checkpointed(few_tasks(edges, total))
         ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("root"), F.lit(0).alias("leaf")).union(edges.select("b", F.lit(0), F.lit(1)))
         seen = ends.groupBy("node").agg(F.max("root").alias("root"), F.sum("leaf").alias("leaf"))
         total, tied = seen.agg(F.coalesce(F.sum("leaf"), F.lit(0)), F.count_if(F.col("root") + F.col("leaf") > 1)).first()
