@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
@@ -187,57 +186,3 @@ def page_product(page: str) -> dict | None:
 def jsonld_product(page: pd.Series) -> pd.DataFrame:
     found = [page_product(p or "") or {} for p in page]
     return pd.DataFrame({f.name: [x.get(f.name) for x in found] for f in _PRODUCT.fields}, dtype=object)
-
-
-class _Blocks(HTMLParser):
-    """The open elements around each link, with their texts, links and prices."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[dict] = []
-        self.found: list[tuple[str, dict, int, dict]] = []  # link, its element, steps up, ancestor
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        own = dict(attrs)
-        block = {"tag": tag, "text": [], "links": [], "prices": 0}
-        if tag not in _VOID:
-            self.open.append(block)
-        if tag == "a" and own.get("href"):
-            for steps, x in enumerate(reversed(self.open)):
-                x["links"].append(own["href"])
-                self.found.append((own["href"], block, steps, x))
-        if "price" in (own.get("class") or "").lower():
-            for x in self.open:
-                x["prices"] += 1
-
-    def handle_endtag(self, tag: str) -> None:
-        if any(x["tag"] == tag for x in self.open):
-            while self.open.pop()["tag"] != tag:
-                pass
-
-    def handle_data(self, data: str) -> None:
-        for x in self.open:
-            x["text"].append(data)
-
-
-def _card_blocks(page: str, base: str | None) -> list[dict]:
-    parser = _Blocks()
-    parser.feed(page)
-    text = lambda x: " ".join("".join(x["text"]).split())
-    return [
-        {"target": _resolve(base, link), "title": text(own), "steps": steps, "text": text(x), "links": [u for u in (_resolve(base, v) for v in x["links"]) if u], "prices": x["prices"]}
-        for link, own, steps, x in parser.found
-    ]
-
-
-_BLOCK = ArrayType(StructType([
-    StructField("target", StringType()), StructField("title", StringType()), StructField("steps", IntegerType()), StructField("text", StringType()),
-    StructField("links", ArrayType(StringType())), StructField("prices", IntegerType()),
-]))
-
-
-@F.pandas_udf(_BLOCK)
-def card_blocks(page: pd.Series, base: pd.Series) -> pd.Series:
-    """Every element around every link of a page (and the link itself, 0 steps up): candidates for the
-    link's product card."""
-    return pd.Series([_card_blocks(p or "", b) for p, b in zip(page, base, strict=True)])

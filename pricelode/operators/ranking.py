@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pricelode.functions import scoring
 from pricelode.functions.classify import is_hidden_format
+from pricelode.functions.page_walk import CARD_CHARS, CARD_SCORES
 from pricelode.functions.text import normalized
 
 
@@ -75,16 +76,12 @@ def decide(candidates: DataFrame, key: str, score: str, order: list[Column]) ->
     return ranked.withColumn("decision", scoring.match_decision(F.col(score), F.col("second_score")))
 
 
-#: What counts for a card: only its product's link, the product's title in its text, one price. Fixed values.
-CARD_SCORES = {"alone": 12, "among": 2, "titled": 2, "one_price": 3, "two_prices": 1, "more_prices": -3}
-CARD_CHARS = 900
-
-
 def pick_cards(blocks: DataFrame, keys: list[str], most_chars: int = CARD_CHARS) -> DataFrame:
     """Per key (a link of a page) the block that shows its product best, of those with the link, a price and
     at most ``most_chars`` characters: highest score, then fewest links, least text, most links to the product, nearest,
     last by text and prices, so that every choice is one.
-    ``blocks`` has target, title, steps, text, links (an array) and prices (a count)."""
+    ``blocks`` has target, title, steps, text, links (an array) and prices (a count), and may have
+    information (is there a card-information element in it?). ``page_walk.cards`` chooses the same from a page itself."""
     unique = F.array_distinct("links")
     same = F.size(F.filter("links", lambda x: x == F.col("target")))
     fit = blocks.where((F.length("text") > 0) & (F.length("text") <= most_chars) & (F.col("prices") > 0) & (same > 0))
@@ -93,6 +90,8 @@ def pick_cards(blocks: DataFrame, keys: list[str], most_chars: int = CARD_CHARS)
         F.when(F.size(unique) == 1, w["alone"]).otherwise(w["among"]) + F.when((F.col("title") != "") & F.contains("text", "title"), w["titled"]).otherwise(0)
         + F.when(F.col("prices") == 1, w["one_price"]).when(F.col("prices") == 2, w["two_prices"]).otherwise(w["more_prices"])
     )
+    if "information" in blocks.columns:
+        score = score + F.when(F.col("information"), w["informed"]).otherwise(0)
     rank = F.struct(score.alias("score"), (-F.size(unique)).alias("links"), (-F.length("text")).alias("chars"), same.alias("same"), (-F.col("steps")).alias("near"), "text", "prices")
     best = F.max_by(F.struct(score.alias("score"), F.size(unique).alias("n_links"), "prices", "steps", "text"), rank)
     return fit.groupBy(*keys).agg(best.alias("_b")).select(*keys, "_b.*")

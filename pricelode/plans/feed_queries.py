@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelode.functions import classify, dates, html, ids, prices, text
+from pricelode.functions import classify, dates, html, ids, page_walk, prices, text
 from pricelode.operators import merge, queueing, ranking, validation
 from pricelode.plans.catalogue import query
 from pricelode.plans.tables import AS_OF, as_of, table
@@ -285,6 +285,23 @@ def card_pick(spark: SparkSession, d: str) -> DataFrame:
     return ranking.pick_cards(blocks, ["page", "target"])
 
 
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+', 0) AS root, unnest(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>')) AS item, generate_subscripts(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>'), 1) AS position FROM pages)
+SELECT page_id, CAST(position AS INT) AS position, trim(regexp_extract(item, '">([^<]*)</a>', 1)) AS text, root || regexp_extract(item, 'href="([^"]*)"', 1) AS link FROM p""")
+def page_items(spark: SparkSession, d: str) -> DataFrame:
+    """The items of all lists of saved pages, with their places and links."""
+    found = table(spark, d, "pages").select("page_id", F.explode(page_walk.cells(F.col("html"), F.col("url"))).alias("c")).where("c.tag = 'li'")
+    return found.select("page_id", "c.position", "c.text", "c.link")
+
+
+@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/]+', 0) AS root, unnest(regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>')) AS item FROM pages),
+l AS (SELECT page_id, root || regexp_extract(item, 'href="([^"]*)"', 1) AS target, trim(regexp_extract(item, '">([^<]*)</a>', 1)) AS text FROM p)
+SELECT DISTINCT page_id, target, text AS title, 14 AS score, 1 AS n_links, 0 AS prices, 0 AS steps, text FROM l WHERE text <> '' """)
+def page_cards(spark: SparkSession, d: str) -> DataFrame:
+    """The block that shows each link of a saved page best. These pages have no prices, so none is asked for."""
+    found = table(spark, d, "pages").select("page_id", F.explode(page_walk.cards(F.col("html"), F.col("url"), priced=False)).alias("c"))
+    return found.select("page_id", "c.*")
+
+
 @query("SELECT p_partkey AS product, p_brand AS artist, p_name AS title FROM part WHERE lower(trim(p_brand)) = 'brand#12'")
 def artist_filter(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_partkey").alias("product"), F.col("p_brand").alias("artist"), F.col("p_name").alias("title"))

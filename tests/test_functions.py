@@ -153,21 +153,6 @@ def test_product_of_a_page(value):
     assert value(html.jsonld_product, "<p>none</p>").name is None and value(html.jsonld_product, F.lit(None).cast("string")).name is None
 
 
-def test_cards_of_a_page(spark):
-    from pricelode.operators.ranking import pick_cards
-
-    page = (
-        '<div class="list"><div class="card"><a href="/p/1"><b>First</b></a><img src="x"><span class="price">€ 1</span></div>'
-        '<div class="card"><div><a href="/p/2">Second</a></div><span class="price">€ 2</span><span class="old-price">€ 3</span></div><br></div>'
-    )
-    rows = spark.createDataFrame([(1, page), (2, None)], "page int, html string")
-    blocks = rows.select("page", F.explode(html.card_blocks(F.col("html"), F.lit("http://s.example/list"))).alias("b")).select("page", "b.*")
-    found = {r.target: r for r in pick_cards(blocks, ["page", "target"]).collect()}
-    assert {t: (r.text, r.score, r.n_links, r.prices) for t, r in found.items()} == {
-        "http://s.example/p/1": ("First€ 1", 17, 1, 1), "http://s.example/p/2": ("Second€ 2€ 3", 15, 1, 2)
-    }
-
-
 def test_images_of_known_pages(spark):
     page = (
         '<meta property="og:image" content="/a.jpg"><link rel="image_src" href="//c.example/b.jpg"><script type="application/ld+json">{"image": ["/a.jpg", {"url": "/d.jpg#f"}]}</script>'
