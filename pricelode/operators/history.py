@@ -22,6 +22,31 @@ def daily_history(observed: DataFrame, keys: list[str], ts: str, price: str, sho
     )
 
 
+def daily_shop_bitmaps(observed: DataFrame, keys: list[str], ts: str, price: str, number: str, in_stock: Column, zone: str = SHOP_ZONE) -> DataFrame:
+    """The daily history in a form that adds up: per key, local day and ``bucket`` of shop numbers the shops in stock and all shops as
+    bitmaps, the lowest price in stock, and the last time. ``number`` is a shop's whole number, 0 or more; a bitmap has 32,768 of them, so dense
+    numbers make one bucket. Rows without a number count for prices and times only."""
+    bit = F.bitmap_bit_position(number)
+    return observed.groupBy(*keys, local_day(F.col(ts), zone).alias("day"), F.coalesce(F.bitmap_bucket_number(number), F.lit(1)).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.when(in_stock, bit)).alias("in_stock"), F.bitmap_construct_agg(bit).alias("shops"), F.min(F.when(in_stock, F.col(price))).alias("lowest_price"), F.max(ts).alias("last_seen")
+    )
+
+
+def rolled_up(daily: DataFrame, keys: list[Column]) -> DataFrame:
+    """Daily bitmaps brought together to ``keys`` (of its columns, such as the key alone or its month): lowest price, shops in stock, all shops, last time; exact,
+    without the observations. Shops are counted bucket by bucket, so no row is expanded for distinct counts."""
+    named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    parts = daily.select(*named, "bucket", "in_stock", "shops", "lowest_price", "last_seen").groupBy(*names, "bucket").agg(
+        F.bitmap_count(F.bitmap_or_agg("in_stock")).alias("n_in_stock"), F.bitmap_count(F.bitmap_or_agg("shops")).alias("n_shops"), F.min("lowest_price").alias("lowest_price"), F.max("last_seen").alias("last_seen")
+    )
+    whole = parts.groupBy(*names).agg(
+        F.min("lowest_price").alias("lowest_price"), F.sum("n_in_stock").alias("shops_in_stock"), F.sum("n_shops").alias("all_shops"), F.max("last_seen").alias("last_seen")
+    )
+    columns = daily.select(*keys).columns
+    return whole.select(*(F.col(n).alias(c) for n, c in zip(names, columns, strict=True)), "lowest_price", "shops_in_stock", "all_shops", "last_seen")
+
+
 def best_prices(offers: DataFrame, product: str, shop: str, price: str, last_seen: str, in_stock: Column, as_of: Column, hours: int = 48) -> DataFrame:
     """Per product: the lowest price that is fresh and in stock, the shops that have such an
     offer, all shops, and when the cheapest such offer was last seen."""

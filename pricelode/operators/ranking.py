@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pricelode.functions import scoring
 from pricelode.functions.classify import is_hidden_format
 from pricelode.functions.page_walk import CARD_CHARS, CARD_SCORES
 from pricelode.functions.text import normalized
+from pricelode.operators import postings
 
 
 def top_then_filter(df: DataFrame, order: list[Column], first: int, keep: Column, most: int) -> DataFrame:
@@ -37,6 +38,17 @@ def matching(products: DataFrame, query: str) -> DataFrame:
     return products.where(~is_hidden_format(F.col("format")) & (gtin | words.contains(q) | normalized(F.col("artist")).contains(q) | normalized(F.col("title")).contains(q)))
 
 
+def search_fields() -> list[Column]:
+    """The texts of a product that ``matching`` looks into, for ``postings.build``."""
+    return [F.lower(F.concat_ws(" ", "artist", "title")), normalized(F.col("artist")), normalized(F.col("title"))]
+
+
+def indexed_matching(spark: SparkSession, index: str, query: str) -> DataFrame:
+    """``matching`` over the rows of an index that can hold the query: products aren't scanned. A query that could be a GTIN has no postings
+    to be found by, so such products are for the caller."""
+    return matching(postings.candidates(spark, index, "product", " ".join(query.lower().split())), query)
+
+
 def search(products: DataFrame, best: DataFrame, query: str, most: int = 24) -> DataFrame:
     """product, artist, title, score, lowest price and shops of the best answers. ``products``
     has product, artist, title, gtin, format; ``best`` has product and the best-price columns."""

@@ -9,7 +9,7 @@ from pricelode.operators import validation
 from pricelode.plans.catalogue import query
 from pricelode.plans.tables import table, work_folder
 from pricelode.sources import feeds, sinks
-from pricelode.streaming import changes
+from pricelode.streaming import changes, state
 
 
 @query("SELECT p_name AS title, p_brand AS artist, CAST(p_partkey AS VARCHAR) AS ean, '' AS missing FROM part")
@@ -70,3 +70,21 @@ def stream_changes(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d).select("user_id", "ts", "event_type", "value")
     changes.capture_changes(stream, f"{out}/history", f"{out}/checkpoint", ["user_id"], "ts", ["value", "event_type"]).awaitTermination()
     return spark.read.parquet(f"{out}/history").drop("batch")
+
+
+@query("""WITH e AS (SELECT DISTINCT user_id, ts, event_type, value FROM events), l AS (SELECT *, lag(ts) OVER w AS old_ts, lag(event_type) OVER w AS old_type, lag(value) OVER w AS old_value FROM e WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_type NULLS FIRST, value NULLS FIRST))
+SELECT user_id, ts, event_type, value FROM l WHERE old_ts IS NULL OR CAST(ts AS DATE) <> CAST(old_ts AS DATE) OR event_type IS DISTINCT FROM old_type OR value IS DISTINCT FROM old_value""")
+def stream_new_observations(spark: SparkSession, d: str) -> DataFrame:
+    """What all events say that is new, captured in three micro-batches by three runs: the last observation of each user is in the state store between them.
+    The second run repeats all rows of the first."""
+    out = work_folder(spark, "state")
+    events = table(spark, d, "events").select("user_id", "ts", "event_type", "value")
+    low, high = events.agg(F.min("ts").alias("low"), F.max("ts").alias("high")).first()
+    step = (high - low) / 3
+    spans = [(low, low + step), (low, low + 2 * step), (low + 2 * step, None)]
+    for start, stop in spans:
+        some = events.where(F.col("ts") >= F.lit(start))
+        (some if stop is None else some.where(F.col("ts") < F.lit(stop))).write.mode("append").parquet(f"{out}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{out}/in")
+        state.append_changes(stream, f"{out}/history", f"{out}/checkpoint", ["user_id"], "ts", ["event_type", "value"]).awaitTermination()
+    return spark.read.parquet(f"{out}/history")

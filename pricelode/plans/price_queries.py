@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricelode.functions import dates, ids, text
 from pricelode.operators import history, joins, merge
 from pricelode.plans.catalogue import query
-from pricelode.plans.tables import AS_OF, LATEST_SQL, OBS, as_of, latest_order, observations, table
+from pricelode.plans.tables import AS_OF, LATEST_SQL, OBS, as_of, latest_order, observations, table, work_folder
 
 
 def latest(spark: SparkSession, d: str, of: DataFrame | None = None) -> DataFrame:
@@ -46,6 +46,24 @@ def best_price_summary(spark: SparkSession, d: str) -> DataFrame:
     return history.best_prices(latest(spark, d), "product", "shop", "price", "seen", F.col("in_stock"), as_of(), hours=720)
 
 
+def _daily_bitmaps(spark: SparkSession, d: str) -> DataFrame:
+    path = work_folder(spark, "bitmaps")
+    history.daily_shop_bitmaps(observations(spark, d), ["product"], "seen", "price", "shop", F.col("in_stock")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(f"""WITH {OBS} SELECT product, min(price) FILTER (in_stock) AS lowest_price, count(DISTINCT shop) FILTER (in_stock) AS shops_in_stock, count(DISTINCT shop) AS all_shops, max(seen) AS last_seen FROM obs GROUP BY 1""")
+def bitmap_product_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Exact distinct shops of each product from daily bitmaps; observations are read once, for the days."""
+    return history.rolled_up(_daily_bitmaps(spark, d), [F.col("product")])
+
+
+@query(f"""WITH {OBS}, p AS (SELECT *, CAST((seen AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Amsterdam' AS DATE) AS day FROM obs)
+SELECT product, CAST(date_trunc('month', day) AS DATE) AS month, min(price) FILTER (in_stock) AS lowest_price, count(DISTINCT shop) FILTER (in_stock) AS shops_in_stock, count(DISTINCT shop) AS all_shops, max(seen) AS last_seen FROM p GROUP BY 1, 2""")
+def bitmap_monthly_history(spark: SparkSession, d: str) -> DataFrame:
+    return history.rolled_up(_daily_bitmaps(spark, d), [F.col("product"), F.trunc("day", "month").alias("month")])
+
+
 @query(f"""WITH {OBS}, l AS (SELECT *, lag(price) OVER w AS old_price, row_number() OVER w AS rn FROM obs WINDOW w AS (PARTITION BY product, shop ORDER BY seen, price, in_stock))
 SELECT product, shop, price, in_stock, seen, old_price FROM l WHERE rn > 1 AND price IS DISTINCT FROM old_price""")
 def price_changes(spark: SparkSession, d: str) -> DataFrame:

@@ -6,10 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pricelode.operators import history, queueing, ranking
-from pricelode.plans.catalogue import query
+from pricelode.operators import history, postings, queueing, ranking
+from pricelode.plans.catalogue import ORACLES, query
 from pricelode.plans.price_queries import latest
-from pricelode.plans.tables import AS_OF, LATEST_SQL, OBS, as_of, observations, table
+from pricelode.plans.tables import AS_OF, LATEST_SQL, OBS, as_of, observations, table, work_folder
 
 QUERY = "brand#1"
 
@@ -58,6 +58,32 @@ def suggest_rank(spark: SparkSession, d: str) -> DataFrame:
     return ranking.suggestions(_products(spark, d), "brand#2", 3)
 
 
+def _index(spark: SparkSession, d: str) -> str:
+    path = work_folder(spark, "postings")
+    postings.build(_products(spark, d), path, "product", ranking.search_fields())
+    return path
+
+
+@query(ORACLES["search_rank"])
+def indexed_search(spark: SparkSession, d: str) -> DataFrame:
+    """The search by postings of grams."""
+    found = ranking.indexed_matching(spark, _index(spark, d), QUERY)
+    return ranking.search(found, _best(spark, d, found), QUERY)
+
+
+@query(ORACLES["suggest_rank"])
+def indexed_suggestions(spark: SparkSession, d: str) -> DataFrame:
+    return ranking.suggestions(ranking.indexed_matching(spark, _index(spark, d), "brand#2"), "brand#2", 3)
+
+
+@query("SELECT p_partkey AS product, p_brand AS artist, p_name AS title FROM part WHERE p_size % 10 <> 0 AND contains(lower(p_brand || ' ' || p_name), '5 ')")
+def indexed_short_search(spark: SparkSession, d: str) -> DataFrame:
+    """A query of two characters over the border of two fields."""
+    path = _index(spark, d)
+    rows = postings.candidates(spark, path, "product", "5 ").where((F.col("format") != "CD") & F.lower(F.concat_ws(" ", "artist", "title")).contains("5 "))
+    return rows.select("product", "artist", "title")
+
+
 @query("SELECT lower(trim(p_brand)) AS key, min(p_brand) AS artist, count(*) AS n, max(CASE WHEN lower(p_brand) = 'brand#12' THEN 1000 WHEN starts_with(lower(p_brand), 'brand#12') THEN 800 ELSE 0 END) AS score FROM part GROUP BY 1")
 def artist_facets(spark: SparkSession, d: str) -> DataFrame:
     return ranking.artist_facets(_products(spark, d), "brand#12")
