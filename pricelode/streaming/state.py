@@ -32,15 +32,13 @@ def _plain(value: Any) -> Any:
 
 class NewObservations(StatefulProcessor):
     """Of each key's observations in time order (equal times: by ``values``) those that say something new: the first, and such as differ
-    from the one before in their day or a value (null is a value). Rows that are not behind the last one seen are late or repeated, and say nothing.
+    from the one before in their day or a value (null is a value). Rows that are not behind the last one seen are late or repeated, and say nothing."""
 
-    ``days_to_live``: a key without a row for so long is forgotten, and its next row is its first."""
-
-    def __init__(self, columns: list[str], ts: str, values: list[str], days_to_live: int | None) -> None:
-        self.columns, self.ts, self.values, self.days = columns, ts, values, days_to_live
+    def __init__(self, columns: list[str], ts: str, values: list[str]) -> None:
+        self.columns, self.ts, self.values = columns, ts, values
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "micros long, told string", self.days * 86_400_000 if self.days else None)
+        self.last = handle.getValueState("last", "micros long, told string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         some = pd.concat(list(rows), ignore_index=True)
@@ -67,16 +65,16 @@ class NewObservations(StatefulProcessor):
         pass
 
 
-def new_observations(observed: DataFrame, keys: list[str], ts: str, values: list[str], days_to_live: int | None = None) -> DataFrame:
+def new_observations(observed: DataFrame, keys: list[str], ts: str, values: list[str]) -> DataFrame:
     """The stream of observations that say something new (see NewObservations). ``ts`` is a timestamp without time zone; rows without one go."""
     spark = observed.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     declared = ", ".join(f"`{c}` {kind}" for c, kind in observed.dtypes)
-    processor = NewObservations(observed.columns, ts, values, days_to_live)
-    return observed.groupBy(*keys).transformWithStateInPandas(processor, declared, "Append", "ProcessingTime" if days_to_live else "None")
+    processor = NewObservations(observed.columns, ts, values)
+    return observed.groupBy(*keys).transformWithStateInPandas(processor, declared, "Append", "None")
 
 
-def append_changes(observed: DataFrame, path: str, checkpoint: str, keys: list[str], ts: str, values: list[str], days_to_live: int | None = None) -> StreamingQuery:
+def append_changes(observed: DataFrame, path: str, checkpoint: str, keys: list[str], ts: str, values: list[str]) -> StreamingQuery:
     """New observations appended to a Parquet table, each once: the sink's log says which files count. Runs until the input at hand is read."""
-    found = new_observations(observed, keys, ts, values, days_to_live)
+    found = new_observations(observed, keys, ts, values)
     return found.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -15,11 +15,11 @@ def at(hours):
     return DAY + dt.timedelta(hours=hours)
 
 
-def runs(spark, path, parts, **more):
+def runs(spark, path, parts):
     for part in parts:
         spark.createDataFrame(part, SCHEMA).repartition(2).write.mode("append").parquet(f"{path}/in")
         stream = spark.readStream.schema(SCHEMA).parquet(f"{path}/in")
-        state.append_changes(stream, f"{path}/out", f"{path}/checkpoint", ["k"], "ts", ["price", "note"], **more).awaitTermination()
+        state.append_changes(stream, f"{path}/out", f"{path}/checkpoint", ["k"], "ts", ["price", "note"]).awaitTermination()
     return sorted((tuple(r) for r in spark.read.parquet(f"{path}/out").collect()), key=str)
 
 
@@ -35,10 +35,6 @@ def test_runs_go_on_from_the_state(spark, tmp_path):
     assert got == sorted(want, key=str)
 
 
-def test_a_time_to_live_may_be_set(spark, tmp_path):
-    assert len(runs(spark, str(tmp_path), [[("a", at(1), 5.0, None), ("a", at(2), 5.0, None)]], days_to_live=30)) == 1
-
-
 def test_bitmaps_add_up(spark):
     """Shops of several buckets, days and products, null shops; totals from days equal distinct counts."""
     rows = [(i % 3, at(i % 70), float(i % 7), None if i % 11 == 0 else (i * 37) % 90_000, i % 4 != 0) for i in range(3000)]
