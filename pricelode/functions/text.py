@@ -227,3 +227,8 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         return SequenceMatcher(None, x, y).ratio() if x and y else 0.0
 
     return pd.Series([ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def dutch(c: Column) -> Column:
+    """A text for ordering and comparing by Dutch rules at base strength: accents and case don't count."""
+    return F.collate(c, "nl_CI_AI")

@@ -11,20 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from pricelode.operators.history import first_by
-
-DELIMITERS = (",", ";", "\t", "|", "~")
-
+from pricelode.sources.feed_files import best_delimiter
 
 def text_schema(columns: list[str]) -> StructType:
     return StructType([StructField(c, StringType()) for c in columns])
 
 
 def sniff_delimiter(spark: SparkSession, path: str, lines: int = 5) -> str:
-    """The delimiter that the first lines have most often, and each equally often if possible."""
+    """The delimiter that the first lines have most often, and each equally often if possible (of a folder in one dialect; ``feed_files`` sniffs each file)."""
     head = [r.value for r in spark.read.text(path).limit(lines).collect() if r.value]
-    counts = {d: [line.count(d) for line in head] for d in DELIMITERS}
-    best = max(DELIMITERS, key=lambda d: (bool(head) and min(counts[d]) > 0 and len(set(counts[d])) == 1, sum(counts[d])))
-    return best if sum(counts[best]) else ","
+    return best_delimiter(head)
 
 
 def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, delimiter: str | None = ",") -> DataFrame:

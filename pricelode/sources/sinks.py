@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -63,3 +63,12 @@ def write_upload(pairs: dict[str, tuple[DataFrame, DataFrame]], report: DataFram
         for side, rows in zip(("validated", "rejected"), sides, strict=True):
             rows.write.mode("overwrite").option("header", True).csv(f"{path}/{name}_{side}")
     report.coalesce(1).write.mode("overwrite").json(f"{path}/preflight_report")
+
+
+def write_counted(df: DataFrame, path: str, counters: dict[str, Column], keep: Column | None = None, mode: str = "append") -> dict[str, object]:
+    """Write the rows that ``keep`` takes (null: not) as Parquet, and give aggregates over all rows, which come out of the
+    same job: the input is read once. What a task counted twice because it ran twice counts once."""
+    seen = Observation()
+    counted = df.observe(seen, *(c.alias(name) for name, c in counters.items()))
+    (counted if keep is None else counted.where(keep)).write.mode(mode).parquet(path)
+    return seen.get
