@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricelode.functions import scoring
 from pricelode.functions.classify import is_hidden_format
 from pricelode.functions.page_walk import CARD_CHARS, CARD_SCORES
-from pricelode.functions.text import normalized
+from pricelode.functions.text import dutch, normalized
 from pricelode.operators import postings
 
 
@@ -71,7 +71,7 @@ def suggestions(products: DataFrame, query: str, most: int = 3) -> DataFrame:
     by_album = shown.withColumn("key", F.concat_ws("::", normalized(F.col("artist")), normalized(F.col("title")))).withColumn("g", scoring.album_grade(query, F.col("artist"), F.col("title"))).where("g.bucket <= 2")
     best = F.min(F.struct(F.col("g.bucket"), (-F.col("g.score")).alias("minus"), "title", "artist"))
     albums = by_album.groupBy("key").agg(best.alias("b")).select(F.lit("album").alias("kind"), F.col("b.title").alias("label"), F.col("b.artist").alias("sublabel"), F.col("b.bucket"), (-F.col("b.minus")).alias("score"))
-    return artists.union(albums).orderBy("bucket", F.desc("score"), F.desc("kind"), F.lower("label"), "label", "sublabel").limit(most)
+    return artists.union(albums).orderBy("bucket", F.desc("score"), F.desc("kind"), dutch(F.col("label")), "label", "sublabel").limit(most)
 
 
 def artist_facets(results: DataFrame, query: str) -> DataFrame:

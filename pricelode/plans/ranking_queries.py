@@ -53,7 +53,7 @@ ga AS (SELECT 'artist' AS kind, min(artist) AS label, '' AS sublabel, min(bucket
 al AS (SELECT a, t, artist, title, CASE WHEN t = q OR b = q THEN 0 WHEN starts_with(t, q) OR starts_with(b, q) THEN 1 WHEN contains(b, q) THEN 2 ELSE 9 END AS bucket,
   CASE WHEN t = q THEN 3200 WHEN b = q THEN 3100 WHEN starts_with(t, q) THEN 2700 WHEN starts_with(b, q) THEN 2550 WHEN contains(t, q) THEN 1750 WHEN contains(b, q) THEN 1600 ELSE 0 END AS score FROM q),
 gb AS (SELECT 'album' AS kind, min(title) AS label, min(artist) AS sublabel, min(bucket) AS bucket, max(score) AS score FROM al WHERE bucket <= 2 GROUP BY a, t)
-SELECT * FROM (SELECT * FROM ga UNION ALL SELECT * FROM gb) ORDER BY bucket, score DESC, kind DESC, lower(label), label, sublabel LIMIT 3""")
+SELECT * FROM (SELECT * FROM ga UNION ALL SELECT * FROM gb) ORDER BY bucket, score DESC, kind DESC, strip_accents(lower(label)) COLLATE nl, label, sublabel LIMIT 3""")
 def suggest_rank(spark: SparkSession, d: str) -> DataFrame:
     return ranking.suggestions(_products(spark, d), "brand#2", 3)
 
