@@ -2,7 +2,7 @@
 
 A tree of unit centroids is fitted to a bounded sample (the ``FIT_ROWS`` vectors with the smallest
 hash of their id, or four for each leaf where there are over ``MOST_LEAVES``: 8 times the root of the number of vectors); its leaves split all vectors. A query walks the tree with a priority
-queue, nearest node first, and visits as many leaves as calibration asks for: for
+queue, nearest node first (a node is compared with the query when its parent is taken), and visits as many leaves as calibration asks for: for
 ``CALIBRATION`` queries the true neighbours are found over all vectors, and visits widen until
 ``TARGET`` of these lie in visited leaves.
 
@@ -79,18 +79,25 @@ class Tree(NamedTuple):
     def visits(self, query: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
         """The first ``most`` leaves, best bin first (the queue holds every branch not taken), and more
         while these hold fewer than ``least`` ids (``held``: of each leaf)."""
-        near = self.centroids @ query
-        queue, found, ids = [(-float(near[0]), 0)], [], 0
+        return self.walk(query, most, held, least)[0]
+
+    def walk(self, query: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> tuple[list[int], int]:
+        """These leaves, and the nodes that were compared with the query: the children of nodes that were taken, no others."""
+        queue, found, ids, scored = [(0.0, 0)], [], 0, 0
         while queue and (len(found) < most or ids < least):
             _, node = heapq.heappop(queue)
             while self.children[node]:
-                kids = sorted(self.children[node], key=lambda k: -near[k])
-                for k in kids[1:]:
-                    heapq.heappush(queue, (-float(near[k]), k))
-                node = kids[0]
+                kids = self.children[node]
+                near = self.centroids[kids] @ query
+                scored += len(kids)
+                first = int(near.argmax())
+                for k, kid in enumerate(kids):
+                    if k != first:
+                        heapq.heappush(queue, (-float(near[k]), kid))
+                node = kids[first]
             found.append(int(self.leaf[node]))
             ids += int(held[found[-1]]) if held is not None else least
-        return found
+        return found, scored
 
 
 def _kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -226,7 +233,7 @@ def _needed_visits(points: DataFrame, tree: Tree, queries: np.ndarray, k: int, t
 
 def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedding: str = "embedding", k: int = NEIGHBOURS, target: float = TARGET) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each row where ``is_query``
-    (an expression of ``vec_id``) holds; and how many leaves it visited, of how many."""
+    (an expression of ``vec_id``) holds; and how many leaves it visited, of how many, and how many nodes it was compared with."""
     spark = vectors.sparkSession
     rows = usable(vectors, vec_id, embedding)
     # A point keeps the k + 1 smallest ids of its vector: one may be the query's own.
@@ -235,7 +242,7 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
     points = ids.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("least_id", F.col("ids")[0])
     points = written(points, "points")
     total = points.count()
-    schema = "query_id long, rank int, vec_id long, score double, visited int, leaves int"
+    schema = "query_id long, rank int, vec_id long, score double, visited int, leaves int, compared int"
     if not total:
         return spark.createDataFrame([], schema)
     tree = fit_tree(unit(_sample(points, max(FIT_ROWS, SAMPLED * leaves_for(total)), 1)), total)
@@ -261,21 +268,23 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, shard, lists, visited = [], [], [], []
+            rows, shard, lists, visited, compared = [], [], [], [], []
             for i, x in enumerate(unit(_matrix(batch.column(0))) if batch.num_rows else []):
-                leaves = np.sort(tree.visits(x, visits, held, k + 1))
+                taken, scored = tree.walk(x, visits, held, k + 1)
+                leaves = np.sort(taken)
                 own = shard_of[leaves]
                 for s in np.unique(own):
                     rows.append(i)
                     shard.append(s)
                     lists.append(leaves[own == s])
                     visited.append(len(leaves))
+                    compared.append(scored)
             if rows:
                 at = pa.array(rows)
-                columns = [pa.array(shard, pa.int32()), batch.column(1).take(at), batch.column(0).take(at), pa.array(lists, pa.list_(pa.int32())), pa.array(visited, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["shard", "query", "v", "leaves", "visited"])
+                columns = [pa.array(shard, pa.int32()), batch.column(1).take(at), batch.column(0).take(at), pa.array(lists, pa.list_(pa.int32())), pa.array(visited, pa.int32()), pa.array(compared, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["shard", "query", "v", "leaves", "visited", "compared"])
 
-    walks = written(distinct.select("v", "query").mapInArrow(walk, "shard int, query long, v array<double>, leaves array<int>, visited int"), "walks")
+    walks = written(distinct.select("v", "query").mapInArrow(walk, "shard int, query long, v array<double>, leaves array<int>, visited int, compared int"), "walks")
     waiting = {r["shard"]: r["n"] for r in walks.groupBy("shard").agg(F.count("*").alias("n")).collect()}  # no more rows than leaves
     plan = [(leaf, int(s), int(blocks[s]), -(-waiting[int(s)] // QUERY_BLOCK)) for leaf, s in enumerate(shard_of) if int(s) in waiting]
     plan = spark.createDataFrame(plan, "leaf int, shard int, blocks int, shares int")
@@ -287,7 +296,7 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
 
     def meet(key: tuple, queries: pa.Table, block: pa.Table) -> pa.Table:
         if not queries.num_rows or not block.num_rows:
-            return pa.table({"query": pa.array([], pa.int64()), "found": pa.array([], best), "visited": pa.array([], pa.int32())})
+            return pa.table({"query": pa.array([], pa.int64()), "found": pa.array([], best), "visited": pa.array([], pa.int32()), "compared": pa.array([], pa.int32())})
         block = block.sort_by("least_id")
         x, y = (unit(_matrix(t.column("v").combine_chunks())) for t in (queries, block))
         leaf, ids = block.column("leaf").to_numpy(), block.column("ids").to_pylist()
@@ -301,16 +310,16 @@ def nearest(vectors: DataFrame, is_query: Column, vec_id: str = "vec_id", embedd
             for i, near, score in best_of(x[some], y[here], k + 1):
                 found[some[i]] += [(-s, v) for p, s in zip(near.tolist(), score.tolist(), strict=True) for v in ids[here[p]]]
         top = [[{"minus": m, "vec_id": v} for m, v in sorted(f)[: k + 1]] for f in found]
-        return pa.table({"query": queries.column("query"), "found": pa.array(top, best), "visited": queries.column("visited")})
+        return pa.table({"query": queries.column("query"), "found": pa.array(top, best), "visited": queries.column("visited"), "compared": queries.column("compared")})
 
     keys = ["shard", "block", "share"]
-    met = left.select(*keys, "query", "v", "leaves", "visited").groupBy(*keys).cogroup(right.select(*keys, "v", "ids", "least_id", "leaf").groupBy(*keys))
-    met = met.applyInArrow(meet, "query long, found array<struct<minus: double, vec_id: long>>, visited int")
-    lists = met.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"), F.first("visited").alias("visited"))
-    named = written(lists.join(distinct, "query").select("v", "found", "visited"), "found")
+    met = left.select(*keys, "query", "v", "leaves", "visited", "compared").groupBy(*keys).cogroup(right.select(*keys, "v", "ids", "least_id", "leaf").groupBy(*keys))
+    met = met.applyInArrow(meet, "query long, found array<struct<minus: double, vec_id: long>>, visited int, compared int")
+    lists = met.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k + 1).alias("found"), F.max("visited").alias("visited"), F.max("compared").alias("compared"))
+    named = written(lists.join(distinct, "query").select("v", "found", "visited", "compared"), "found")
     # every asking row gets its vector's list without itself
-    each = spread_join(asked, named, "v").select("vec_id", "visited", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("found"))
-    flat = each.select(F.col("vec_id").cast("long").alias("query_id"), "visited", F.posexplode("found").alias("at", "x"))
+    each = spread_join(asked, named, "v").select("vec_id", "visited", "compared", F.slice(F.filter("found", lambda x: x["vec_id"] != F.col("vec_id")), 1, k).alias("found"))
+    flat = each.select(F.col("vec_id").cast("long").alias("query_id"), "visited", "compared", F.posexplode("found").alias("at", "x"))
     return flat.select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.minus")).alias("score"), "visited", F.lit(tree.leaves).cast("int").alias("leaves")
+        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.minus")).alias("score"), "visited", F.lit(tree.leaves).cast("int").alias("leaves"), "compared"
     )
