@@ -24,4 +24,4 @@ def query(sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from pricelode.plans import feed_queries, io_queries, matching_queries, price_queries, ranking_queries, scalar_queries, store_queries  # noqa: F401
+    from pricelode.plans import feed_queries, io_queries, matching_queries, price_queries, ranking_queries, rule_queries, scalar_queries, store_queries  # noqa: F401
