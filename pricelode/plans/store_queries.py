@@ -12,7 +12,7 @@ from pricelode.functions.urls import part
 from pricelode.operators import merge, prefix_rules
 from pricelode.plans.catalogue import query
 from pricelode.plans.tables import AS_OF, table, work_folder
-from pricelode.sources import feed_files, sinks, versions
+from pricelode.sources import feed_files, feeds, sinks, versions
 
 
 @query("""SELECT p_partkey % 4 AS dialect, CAST(p_partkey AS VARCHAR) AS ean, p_name || CASE WHEN p_size > 25 THEN ';,~"' ELSE '' END AS title, CASE WHEN p_partkey % 4 < 2 THEN CAST(p_size AS VARCHAR) ELSE '' END AS size,
@@ -112,3 +112,68 @@ def dutch_label_order(spark: SparkSession, d: str) -> DataFrame:
     label = F.when(k == 0, F.replace(name, F.lit("e"), F.lit("é"))).when(k == 1, F.upper(name)).when(k == 2, F.replace(name, F.lit("i"), F.lit("ï"))).otherwise(name)
     labels = table(spark, d, "part").select(F.col("p_brand").alias("brand"), label.alias("label")).distinct()
     return labels.withColumn("place", F.rank().over(Window.partitionBy("brand").orderBy(text.dutch(F.col("label")))))
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, p_name AS title, p_brand AS vendor, CAST(round(p_retailprice * 100) AS BIGINT) AS cents, p_size AS n FROM part),
+v AS (SELECT k, title, vendor, unnest(range(0, n % 3)) AS i, cents, n FROM p WHERE k % 10 > 0)
+SELECT k, title, vendor, k * 10 + i AS variant_id, 'V' || i AS variant_title, (cents + i) / 100 AS price, CASE WHEN i = 1 THEN (cents + 500) / 100 END AS list_price, n > 25 AS available FROM v""")
+def json_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Product JSON made of the parts, with up to two variants; one text in ten can't be read."""
+    k, cents = F.col("p_partkey"), F.round(F.col("p_retailprice") * 100).cast("long")
+    variant = lambda i: F.struct(
+        (k * 10 + i).alias("id"), F.concat(F.lit("V"), i.cast("string")).alias("title"), (cents + i).alias("price"), F.when(i == 1, cents + 500).alias("compare_at_price"), (F.col("p_size") > 25).alias("available")
+    )
+    variants = F.slice(F.transform(F.array(F.lit(0), F.lit(1)), variant), F.lit(1), F.col("p_size") % 3)
+    whole = F.to_json(F.struct(k.alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("vendor"), variants.alias("variants")))
+    payloads = table(spark, d, "part").select(k.alias("k"), F.when(k % 10 == 0, F.left(whole, F.lit(30))).otherwise(whole).alias("payload"))
+    return feeds.product_variants(payloads, "payload").select("k", "title", "vendor", "variant_id", "variant_title", "price", "list_price", "available")
+
+
+@query("""WITH l AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS part, l_suppkey AS shop FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, part, shop) - 1 AS position FROM l)
+SELECT k, CAST(position AS INT) AS position, 'r' || part AS release_id, 'A' || part || ' & B' || shop AS artist FROM r WHERE position < 3""")
+def json_releases(spark: SparkSession, d: str) -> DataFrame:
+    """Search results made of the lines of each order: their first three releases, with the artists' names joined."""
+    credit = F.array(
+        F.struct(F.concat(F.lit("A"), F.col("l_partkey").cast("string")).alias("name"), F.lit(" & ").alias("joinphrase"), F.lit(None).cast("struct<name: string>").alias("artist")),
+        F.struct(F.lit("").alias("name"), F.lit(None).cast("string").alias("joinphrase"), F.struct(F.concat(F.lit("B"), F.col("l_suppkey").cast("string")).alias("name")).alias("artist")),
+    )
+    release = F.struct(F.concat(F.lit("r"), F.col("l_partkey").cast("string")).alias("id"), credit.alias("artist-credit"))
+    line = F.struct(F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("shop"), release.alias("release"))
+    results = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    payloads = results.select("k", F.to_json(F.struct(F.transform("lines", lambda x: x["release"]).alias("releases"))).alias("payload"))
+    return feeds.releases(payloads, "payload", most=3).select("k", "position", "release_id", "artist")
+
+
+@query("""WITH c AS (SELECT c_custkey AS k, c_mktsegment AS segment, c_acctbal AS balance FROM customer)
+SELECT CAST(max(k) AS VARCHAR) AS last, segment, CAST(max_by(balance, k) AS DOUBLE) AS balance, true AS stamped FROM c GROUP BY segment""")
+def newest_feed(spark: SparkSession, d: str) -> DataFrame:
+    """The newest of two exports, whose rows take the time of their file: the last row of each segment."""
+    path = work_folder(spark, "exports")
+    rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").cast("string").alias("balance"))
+    for name, some in (("old", rows.limit(0)), ("new", rows)):
+        sinks.export_view(some.withColumn("hidden", F.lit("x")), f"{path}/{name}", ["k", "segment", "balance"])
+    folder = feeds.newest_file(spark, f"{path}/new", r"\.csv$").rsplit("/", 1)[0]
+    found = feeds.with_captured_at(feeds.validated(feeds.read_csv(spark, folder), ["k", "segment"]))
+    last = feeds.keyed(found, "segment", [F.desc(F.col("k").cast("long"))])
+    return last.select(F.col("k").alias("last"), "segment", F.col("balance").cast("double").alias("balance"), (F.col("captured_at") > F.lit("2000-01-01").cast("timestamp")).alias("stamped"))
+
+
+@query("SELECT DISTINCT unnest(string_split(p_name, ' ')) AS token FROM part")
+def token_file(spark: SparkSession, d: str) -> DataFrame:
+    """The distinct words of text files that hold the names of parts, split by blanks, commas and semicolons."""
+    path = work_folder(spark, "tokens")
+    k = F.col("p_partkey") % 3
+    table(spark, d, "part").select(F.replace("p_name", F.lit(" "), F.when(k == 0, F.lit(" , ")).when(k == 1, F.lit(";")).otherwise(F.lit(" "))).alias("value")).write.text(path)
+    return feeds.token_list(spark, path).select("token")
+
+
+@query("SELECT s_suppkey AS run, CAST(s_suppkey % 4 AS INT) AS shops FROM supplier WHERE s_suppkey % 4 = 2")
+def bundle_manifests(spark: SparkSession, d: str) -> DataFrame:
+    """Manifests of one export for each supplier: those that cover exactly two given shops, in whatever order they name them."""
+    path = work_folder(spark, "manifests")
+    named = F.array(F.lit("b"), F.lit("a"), F.lit("c"))
+    shops = F.slice(F.when(F.col("s_suppkey") % 8 < 4, named).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("c"))), F.lit(1), (F.col("s_suppkey") % 4).cast("int"))
+    rows = table(spark, d, "supplier").select(shops.alias("selected_shops"), F.col("s_suppkey").cast("string").alias("bundle_dir"), F.create_map(F.lit("n"), F.col("s_name")).alias("outputs"))
+    rows.write.json(path)
+    found = feeds.bundles_of(spark.read.schema("selected_shops array<string>, bundle_dir string, outputs map<string, string>").json(path), ["a", "b"])
+    return found.select(F.col("bundle_dir").cast("long").alias("run"), F.size("selected_shops").alias("shops"))
