@@ -25,8 +25,8 @@ def register(spark: SparkSession) -> list[str]:
 
 def register_claims(spark: SparkSession, queue: str, name: str = "claim_next") -> None:
     """A table function ``name(most)``: the next ``most`` jobs of a view with job, priority, requested_at, state and next_attempt_at as of a time,
-    in the order of ``queueing.claim_order``: the highest priority (null last), then the longest wait, then job. A limit per window keeps
-    ``most`` rows of each task before they meet."""
+    in the order of ``queueing.claim_order``: the highest priority (null last), then the longest wait, then job. A literal
+    ``most`` becomes a top list below the window, so each task passes on no more rows than that."""
     spark.sql(f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(most INT, as_of TIMESTAMP_NTZ) RETURNS TABLE (place INT, job BIGINT, priority INT, requested_at TIMESTAMP_NTZ)
         RETURN SELECT place, job, priority, requested_at FROM (
             SELECT job, priority, requested_at, row_number() OVER (ORDER BY priority DESC NULLS LAST, requested_at ASC NULLS FIRST, job) AS place

@@ -53,18 +53,6 @@ def finish(queue: DataFrame, results: DataFrame, job: str, as_of: Column, most_a
 RANGE_ROWS = 100_000
 
 
-def numbered(df: DataFrame, key: str, ranges: int | None = None) -> DataFrame:
-    """``df`` with ``position``, from 0 in the order of a unique number ``key``. Ranges between approximate
-    quantiles, as many as the rows need, are numbered on their own and shifted by the counts before them."""
-    ranges = ranges or max(1, df.count() // RANGE_ROWS)
-    cuts = sorted(set(df.approxQuantile(key, [i / ranges for i in range(1, ranges)], 0.1 / ranges))) if ranges > 1 else []
-    placed = df.withColumn("_cell", _range_of(key, cuts))
-    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    counts = placed.groupBy("_cell").count().withColumn("_base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")  # ``ranges`` rows
-    inside = F.row_number().over(Window.partitionBy("_cell").orderBy(key)) - 1
-    return placed.withColumn("_inside", inside).join(F.broadcast(counts), "_cell").withColumn("position", F.col("_base") + F.col("_inside")).drop("_cell", "_base", "_inside")
-
-
 def _range_of(key: str, cuts: list[float]) -> Column:
     return F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(key))) if cuts else F.lit(0)
 

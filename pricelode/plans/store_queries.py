@@ -147,12 +147,11 @@ def json_releases(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH c AS (SELECT c_custkey AS k, c_mktsegment AS segment, c_acctbal AS balance FROM customer)
 SELECT CAST(max(k) AS VARCHAR) AS last, segment, CAST(max_by(balance, k) AS DOUBLE) AS balance, true AS stamped FROM c GROUP BY segment""")
 def newest_feed(spark: SparkSession, d: str) -> DataFrame:
-    """The newest of two exports, whose rows take the time of their file: the last row of each segment."""
+    """An export, found by its newest file; its rows take the time of their file, and each segment keeps its last."""
     path = work_folder(spark, "exports")
     rows = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("k"), F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").cast("string").alias("balance"))
-    for name, some in (("old", rows.limit(0)), ("new", rows)):
-        sinks.export_view(some.withColumn("hidden", F.lit("x")), f"{path}/{name}", ["k", "segment", "balance"])
-    folder = feeds.newest_file(spark, f"{path}/new", r"\.csv$").rsplit("/", 1)[0]
+    sinks.export_view(rows.withColumn("hidden", F.lit("x")), path, ["k", "segment", "balance"])
+    folder = feeds.newest_file(spark, path, r"\.csv$").rsplit("/", 1)[0]
     found = feeds.with_captured_at(feeds.validated(feeds.read_csv(spark, folder), ["k", "segment"]))
     last = feeds.keyed(found, "segment", [F.desc(F.col("k").cast("long"))])
     return last.select(F.col("k").alias("last"), "segment", F.col("balance").cast("double").alias("balance"), (F.col("captured_at") > F.lit("2000-01-01").cast("timestamp")).alias("stamped"))

@@ -31,16 +31,20 @@ def append_log(rows: DataFrame, path: str) -> None:
 def write_current(df: DataFrame, path: str, partition: str | None = None) -> None:
     """A table in place of the old one, which ``df`` may read; with ``partition``, only the partitions that ``df`` has
     (Spark's committer puts those in place at the end). The whole table is written beside its place and moved there
-    when all is written: a job that fails leaves the old one."""
+    when all is written: a job that fails leaves the old one. Between the two renames there is no table; ``versions`` keeps
+    tables that are read all the time."""
     if partition:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
         return
     draft, old = (f"{path.rstrip('/')}.{uuid.uuid4().hex}.{x}" for x in ("new", "old"))
     df.write.parquet(draft)
     files, (at, new, gone) = _store(df, path, draft, old)
-    if files.exists(at):
+    there = files.exists(at)
+    if there:
         files.rename(at, gone)
     if not files.rename(new, at):
+        if there:
+            files.rename(gone, at)
         raise OSError(f"{draft} could not be moved to {path}")
     files.delete(gone, True)
 
