@@ -77,6 +77,11 @@ def plain_search_text(*parts: Column) -> Column:
     return blank_to_null(F.trim(F.concat_ws(" ", *parts)))
 
 
+def staged_search_text(*parts: Column) -> Column:
+    """The parts in lower case, blanks inside kept; '' where there are none."""
+    return F.lower(F.trim(F.concat_ws(" ", *parts)))
+
+
 #: What stands for a name that no column tells. Fixed values.
 UNKNOWN_ARTIST, UNKNOWN_TITLE = "Unknown Artist", "Unknown Title"
 

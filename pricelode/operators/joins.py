@@ -66,3 +66,11 @@ def resolve_ids(rows: DataFrame, lookup: DataFrame, key: str, target: str) -> tu
     """Rows with the id that the lookup gives them, and the rows that it can't resolve."""
     joined = rows.join(lookup.select(key, target), key, "left")
     return joined.where(F.col(target).isNotNull()), joined.where(F.col(target).isNull()).drop(target)
+
+
+def resolve_all(rows: DataFrame, lookup: DataFrame, key: str, target: str) -> DataFrame:
+    """Rows with the id that the lookup gives them. A row that it can't resolve fails the job, which names its key:
+    the check is part of the join's own pass, whether or not a reader wants the id."""
+    joined = rows.join(lookup.select(key, target), key, "left")
+    missing = F.raise_error(F.concat(F.lit(f"no {target} for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+    return joined.where(F.col(target).isNotNull() | missing.cast("boolean"))

@@ -41,15 +41,16 @@ def backfill_clean(spark: SparkSession, d: str) -> DataFrame:
     return kinds.groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_ROWS}, o AS (SELECT 'shop' || s AS shop, 'https://x.nl/p' || i AS url, i % 80 + CASE WHEN i % 5 = 0 THEN s ELSE 0 END AS product, CASE i % 4 WHEN 0 THEN CAST(4000000000000 + i AS VARCHAR) WHEN 1 THEN '4000000000999' ELSE '' END AS ean FROM range(60) a(i), range(3) b(s)),
+@query(f"""WITH {_ROWS}, o AS (SELECT 'shop' || s AS shop, 'https://x.nl/p' || i AS url, i + CASE WHEN i % 5 = 0 THEN s ELSE 0 END AS product, CASE i % 4 WHEN 0 THEN CAST(4000000000000 + i AS VARCHAR) WHEN 1 THEN '4000000000999' ELSE '' END AS ean FROM (SELECT p_partkey AS i FROM part WHERE p_partkey % 7 <> 6) a, range(3) b(s)),
 x AS (SELECT shop, url, count(DISTINCT product) AS n, min(product) AS p FROM o GROUP BY 1, 2), c AS (SELECT product, max(nullif(ean, '')) AS old FROM o GROUP BY 1)
 SELECT row, g.ean, coalesce(n, 0) AS n_matches, CASE WHEN n IS NULL THEN 'unmatched' WHEN n > 1 THEN 'ambiguous' WHEN old IS NULL THEN 'update' WHEN lpad(old, 14, '0') = lpad(g.ean, 14, '0') THEN 'already_set' ELSE 'conflict' END AS action
 FROM g LEFT JOIN x ON x.shop = g.shop AND x.url = g.url LEFT JOIN c ON c.product = x.p AND n = 1 WHERE rn = 1 AND NOT clash""")
 def backfill_plan(spark: SparkSession, d: str) -> DataFrame:
+    """The plan of codes against the offers of three shops for most parts."""
     i, s, t = F.col("i"), F.col("s"), lambda x: x.cast("string")
-    grid = spark.range(60).select(F.col("id").alias("i"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("s"))
+    grid = table(spark, d, "part").where("p_partkey % 7 <> 6").select(F.col("p_partkey").alias("i"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("s"))
     code = F.when(i % 4 == 0, t(F.lit(4000000000000) + i)).when(i % 4 == 1, "4000000000999").otherwise("")
-    offers = grid.select(F.concat(F.lit("Shop"), t(s)).alias("shop"), F.concat(F.lit("https://x.nl/p"), t(i)).alias("url"), (i % 80 + F.when(i % 5 == 0, s).otherwise(0)).alias("product"), code.alias("ean"))
+    offers = grid.select(F.concat(F.lit("Shop"), t(s)).alias("shop"), F.concat(F.lit("https://x.nl/p"), t(i)).alias("url"), (i + F.when(i % 5 == 0, s).otherwise(0)).alias("product"), code.alias("ean"))
     return matching.plan_backfill(_backfill(spark, d)[0], offers).select("row", "ean", "n_matches", "action")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pricelode.functions import classify, dates, ids, text
+from pricelode.operators import joins
 from pricelode.plans.catalogue import query
 from pricelode.plans.tables import AS_OF, table
 
@@ -91,3 +92,21 @@ def enrichment_rules(spark: SparkSession, d: str) -> DataFrame:
         k.alias("k"), classify.needs_enrichment(code, status).alias("needs"), valid.alias("valid"), used.alias("second_hand"), classify.enrichment_state(valid, n > 45, code, used).alias("state"),
         classify.lacks_details(price, title).alias("lacks"), classify.confidence(4 * n).alias("confidence"), classify.rank_confidence(3 * n - 20).alias("percent"), classify.run_status(exit_code, n % 3, n % 4).alias("run"),
     )
+
+
+@query("""WITH p AS (SELECT p_partkey AS k, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ' ' || p_brand || '  No 1' ELSE p_brand END AS artist, CASE p_partkey % 3 WHEN 0 THEN '' ELSE upper(p_name) END AS title, CASE WHEN p_partkey % 5 > 0 THEN CAST(4000000000000 + p_partkey AS VARCHAR) END AS ean FROM part)
+SELECT k, lower(trim(regexp_replace(concat_ws(' ', nullif(trim(artist), ''), nullif(title, ''), ean), '\\s+', ' ', 'g'))) AS imported, nullif(trim(concat_ws(' ', artist, title, ean)), '') AS synced, lower(trim(concat_ws(' ', artist, title, ean))) AS staged FROM p""".replace("\\\\", "\\"))
+def search_texts(spark: SparkSession, d: str) -> DataFrame:
+    """What three ways into the catalogue make of the same names for their search: collapsed, as they are, in lower case."""
+    k, brand = F.col("p_partkey"), F.col("p_brand")
+    artist = by_rest(k, 4, {0: F.lit(None).cast("string"), 1: F.concat(F.lit(" "), brand, F.lit("  No 1"))}, brand)
+    parts = [artist, by_rest(k, 3, {0: ""}, F.upper("p_name")), F.when(k % 5 > 0, (F.lit(4000000000000) + k).cast("string"))]
+    return table(spark, d, "part").select(k.alias("k"), text.search_text(*parts).alias("imported"), text.plain_search_text(*parts).alias("synced"), text.staged_search_text(*parts).alias("staged"))
+
+
+@query("SELECT CAST(4000000000000 + l_partkey AS VARCHAR) AS ean, p_partkey AS product, count(*) AS n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1, 2")
+def resolved_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Offers by code, all of which must belong to a product; the codes are counted before they are looked up."""
+    code = lambda c: (F.lit(4000000000000) + F.col(c)).cast("string").alias("ean")
+    offers = table(spark, d, "lineitem").groupBy(code("l_partkey")).agg(F.count("*").alias("n"))
+    return joins.resolve_all(offers, table(spark, d, "part").select(code("p_partkey"), F.col("p_partkey").alias("product")), "ean", "product").select("ean", "product", "n")

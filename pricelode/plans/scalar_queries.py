@@ -11,13 +11,29 @@ from pricelode.plans.catalogue import query
 from pricelode.plans.tables import AS_OF, OBS, as_of, observations, table
 
 
-def quoted(values: list[str | None]) -> str:
-    return ", ".join("(" + ("NULL" if v is None else "'" + v.replace("'", "''") + "'") + ")" for v in values)
+def listed(values: list[str | None]) -> str:
+    return "[" + ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values) + "]"
 
 
-def rows_of(spark: SparkSession, values: list[str | None]) -> DataFrame:
-    """A literal one-column table, as a plan without files or Python."""
-    return spark.range(1).select(F.explode(F.array(*(F.lit(v).cast("string") for v in values))).alias("raw"))
+#: An order's own six digits, and the first digit of its price, as SQL.
+_DIGITS, _LEAD = "lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0')", "left(CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR), 1)"
+
+
+def forms(spark: SparkSession, d: str, values: list[str | None]) -> DataFrame:
+    """The orders as raw cells: each has one of the forms by its key, with its own digits in the place of #."""
+    k = F.col("o_orderkey")
+    form = F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (k % len(values) + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", F.replace(form, F.lit("#"), F.lpad((k % 1000000).cast("string"), 6, "0")).alias("raw"))
+
+
+def picked(values: list[str | None]) -> str:
+    """The form of an order by its key, as SQL."""
+    return f"({listed(values)})[1 + o_orderkey % {len(values)}]"
+
+
+def forms_sql(values: list[str | None]) -> str:
+    """``forms`` as a CTE."""
+    return f"v AS (SELECT o_orderkey, replace({picked(values)}, '#', {_DIGITS}) AS raw FROM orders)"
 
 
 _CODE = "CAST(k * 7919 + 20000000000 AS VARCHAR)"
@@ -47,18 +63,18 @@ def gtin_check_digit(spark: SparkSession, d: str) -> DataFrame:
     return a.select("p_partkey", "body", ids.check_digit(F.col("body")).cast("int").alias("check_digit"), ids.is_valid_gtin(whole).alias("is_valid"))
 
 
-EANS = ["602577427664.0", "60257742766", "123", None, "0602577427664", "4006381333931", "4006381333930", "6.02E+11", '="0602577427664"', "abc", " 0-602577 427664 ", "", "12345678", "nan"]
+EANS = ["602577#.0", "60257#", "123", None, "0602577#", "4006381333931", "4006381#", "6.02E+11", '="0602577#"', "abc", " 0-602577 # ", "", "12#", "nan"]
 
 
-@query(f"""WITH v(raw) AS (VALUES {quoted(EANS)}), d AS (SELECT raw, coalesce(raw, '') AS r, regexp_replace(coalesce(raw, ''), '[^0-9]', '', 'g') AS x FROM v),
+@query(f"""WITH {forms_sql(EANS)}, d AS (SELECT o_orderkey, raw, coalesce(raw, '') AS r, regexp_replace(coalesce(raw, ''), '[^0-9]', '', 'g') AS x FROM v),
 b AS (SELECT *, trim(r) AS t, CASE WHEN trim(r) = '' THEN 'missing_ean' WHEN regexp_matches(lower(r), 'e[+-]') THEN 'scientific_notation' WHEN x = '' THEN 'non_numeric_ean' ELSE '' END AS reason FROM d)
-SELECT raw, CASE WHEN length(x) = 12 THEN '0' || x WHEN length(x) = 13 THEN x ELSE '' END AS bulk, CASE WHEN length(x) IN (12, 13) THEN x ELSE '' END AS sync,
+SELECT o_orderkey, raw, CASE WHEN length(x) = 12 THEN '0' || x WHEN length(x) = 13 THEN x ELSE '' END AS bulk, CASE WHEN length(x) IN (12, 13) THEN x ELSE '' END AS sync,
   CASE WHEN length(x) IN (8, 12, 13, 14) THEN lpad(x, 14, '0') END AS search, CASE WHEN reason = '' THEN x ELSE '' END AS backfill, reason FROM b""")
 def ean_variants(spark: SparkSession, d: str) -> DataFrame:
     raw = F.col("raw")
     b = ids.backfill_ean(raw)
-    return rows_of(spark, EANS).select(
-        "raw", ids.ean_bulk(raw).alias("bulk"), ids.ean_sync(raw).alias("sync"), ids.search_gtin(raw).alias("search"), b["ean"].alias("backfill"), b["reason"].alias("reason")
+    return forms(spark, d, EANS).select(
+        "o_orderkey", "raw", ids.ean_bulk(raw).alias("bulk"), ids.ean_sync(raw).alias("sync"), ids.search_gtin(raw).alias("search"), b["ean"].alias("backfill"), b["reason"].alias("reason")
     )
 
 
@@ -69,13 +85,13 @@ def longest_digit_run(spark: SparkSession, d: str) -> DataFrame:
     return found.where(F.col("code").isNotNull())
 
 
-LABELLED = ["EAN: 0602577427664 en meer", "Barcode 4006381333931", "gtin=12345678, EAN-code: 87654321", "barcode 11112222 ean 33334444", "geen code 123", None, "EAN 123456789012345"]
+LABELLED = ["EAN: 0602577# en meer", "Barcode 4006381#", "gtin=12#, EAN-code: 87#", "barcode 11112222 ean 33#", "geen code 123", None, "EAN 123456789#"]
 
 
-@query(f"""WITH v(raw) AS (VALUES {quoted(LABELLED)}) SELECT raw, coalesce(nullif(regexp_extract(raw, '(?i)\\bean(?:[- ]?code)?\\b[^0-9]{{0,20}}([0-9]{{8,14}})(?:[^0-9]|$)', 1), ''),
+@query(f"""WITH {forms_sql(LABELLED)} SELECT o_orderkey, raw, coalesce(nullif(regexp_extract(raw, '(?i)\\bean(?:[- ]?code)?\\b[^0-9]{{0,20}}([0-9]{{8,14}})(?:[^0-9]|$)', 1), ''),
   nullif(regexp_extract(raw, '(?i)\\bbar ?code\\b[^0-9]{{0,20}}([0-9]{{8,14}})(?:[^0-9]|$)', 1), ''), nullif(regexp_extract(raw, '(?i)\\bgtin\\b[^0-9]{{0,20}}([0-9]{{8,14}})(?:[^0-9]|$)', 1), '')) AS code FROM v""")
 def ean_extract(spark: SparkSession, d: str) -> DataFrame:
-    return rows_of(spark, LABELLED).select("raw", ids.labelled_ean(F.col("raw")).alias("code"))
+    return forms(spark, d, LABELLED).select("o_orderkey", "raw", ids.labelled_ean(F.col("raw")).alias("code"))
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-') AS slug, lower(trim(source)) || '::' || lower(trim(lang)) AS sync_key, regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g') AS open_slug FROM documents""")
@@ -92,37 +108,40 @@ def url_normalize(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", urls.normalize_url(u).alias("url"), urls.domain(u).alias("domain"), urls.query_param(u, "page").alias("page"))
 
 
-PRICES = ["€ 1.234,56", "12,5", "1.234", "", "-5", "2.345", "1,234.56", "EUR 9,99", "abc", "€ 7,50 van € 9,99", "0", "12.", None, "1.234.567,8", "nan"]
+#: Raw prices; # is a digit. "2.345" stays as it is, since its rounding is that of its binary value.
+PRICES = ["€ #.234,56", "#2,5", "#.234", "", "-#", "2.345", "#,234.56", "EUR #,99", "abc", "€ #,50 van € 9,99", "0", "#2.", None, "#.234.567,8", "nan"]
 #: What each parser makes of PRICES: worked out from the rules, not by a run.
 _EXPECTED = {
-    "p1": [1234.56, 12.5, 1.234, None, -5.0, 2.345, 1.23456, 9.99, None, None, 0.0, 12.0, None, 1234567.8, None],
-    "p2": ["1.23", "12.50", "1.23", None, None, "2.35", "1.23", "9.99", None, "7.50", "0.00", "12.00", None, "1.23", None],
-    "p3": ["1.23", "12.50", "1.23", "", "", "2.34", "1.23", "9.99", "", "7.51", "", "12.00", "", "1.23", ""],
-    "p4": ["1,234,56", "12,5", "1,234", "", "-5", "2,345", "1,234,56", "9,99", "abc", "7,50van9,99", "0", "12,", "", "1,234,567,8", "nan"],
-    "p5": ["€1.234,56", "€12,5", "€1.234", "", "-5", "€2.345", "€1,234.56", "€9,99", "abc", "€7,50", "€0", "€12.", "", "€1.234.567,8", "nan"],
-    "p6": [None, None, 0.01, None, -0.05, 0.02, None, None, None, None, 0.0, 0.12, None, None, None],
-    "p7": [None, 12.5, 1.23, None, 5.0, 2.35, None, 9.99, None, None, 0.0, 12.0, None, None, None],
-    "p8": [1234.56, 12.5, 1234.0, None, -5.0, 2345.0, 1.23456, None, None, None, 0.0, 12.0, None, 1234567.8, None],
-    "p9": ["1234.56", "12.50", "1.23", None, "-5.00", "2.35", None, None, None, None, "0.00", "12.00", None, "1234567.80", None],
-    "p10": ["1234.56", "12.50", "1.23", "", "5.00", "2.35", "", "9.99", "", "", "0.00", "12.00", "", "1234567.80", ""],
-    "p11": ["1.23", "12.50", "1.23", "", "5.00", "2.34", "1.23", "9.99", "", "7.50", "0.00", "12.00", "", "1.23", ""],
-    "p12": ["1234.56", "12.50", "1.23", "", "-5.00", "2.35", "1.23", "9.99", "", "", "0.00", "12.00", "", "1234567.80", ""],
-    "p13": ["€1,23", "", "", "", "", "", "", "", "", "€9,99", "", "", "", "", ""],
+    "p1": ["#234.56", "#2.5", "#.234", None, "-#", "2.345", "#.23456", "#.99", None, None, "0", "#2", None, "#234567.8", None],
+    "p2": ["#.23", "#2.50", "#.23", None, None, "2.35", "#.23", "#.99", None, "#.50", "0.00", "#2.00", None, "#.23", None],
+    "p3": ["#.23", "#2.50", "#.23", "", "", "2.34", "#.23", "#.99", "", "#.51", "", "#2.00", "", "#.23", ""],
+    "p4": ["#,234,56", "#2,5", "#,234", "", "-#", "2,345", "#,234,56", "#,99", "abc", "#,50van9,99", "0", "#2,", "", "#,234,567,8", "nan"],
+    "p5": ["€#.234,56", "€#2,5", "€#.234", "", "-#", "€2.345", "€#,234.56", "€#,99", "abc", "€#,50", "€0", "€#2.", "", "€#.234.567,8", "nan"],
+    "p6": [None, None, "0.0#", None, "-0.0#", "0.02", None, None, None, None, "0", "0.#2", None, None, None],
+    "p7": [None, "#2.5", "#.23", None, "#", "2.35", None, "#.99", None, None, "0", "#2", None, None, None],
+    "p8": ["#234.56", "#2.5", "#234", None, "-#", "2345", "#.23456", None, None, None, "0", "#2", None, "#234567.8", None],
+    "p9": ["#234.56", "#2.50", "#.23", None, "-#.00", "2.35", None, None, None, None, "0.00", "#2.00", None, "#234567.80", None],
+    "p10": ["#234.56", "#2.50", "#.23", "", "#.00", "2.35", "", "#.99", "", "", "0.00", "#2.00", "", "#234567.80", ""],
+    "p11": ["#.23", "#2.50", "#.23", "", "#.00", "2.34", "#.23", "#.99", "", "#.50", "0.00", "#2.00", "", "#.23", ""],
+    "p12": ["#234.56", "#2.50", "#.23", "", "-#.00", "2.35", "#.23", "#.99", "", "", "0.00", "#2.00", "", "#234567.80", ""],
+    "p13": ["€#,23", "", "", "", "", "", "", "", "", "€9,99", "", "", "", "", ""],
 }
+_NUMBERS = ("p1", "p6", "p7", "p8")
 
 
 def _add_price_query(name: str) -> None:
-    """A query of one parser; its SQL lists the expected values."""
-    number = any(isinstance(v, float) for v in _EXPECTED[name])
-    kind = "double" if number else "string"
+    """A query of one parser over the orders, each a raw price by its key with the first digit of its own price; its SQL lists the expected values."""
+    kind = "double" if name in _NUMBERS else "string"
 
     def parse(spark: SparkSession, d: str) -> DataFrame:
-        return rows_of(spark, PRICES).select("raw", prices.PARSERS[name](F.col("raw")).cast(kind).alias("price"))
+        k, lead = F.col("o_orderkey"), F.left(F.floor("o_totalprice").cast("string"), F.lit(1))
+        form = F.element_at(F.array(*(F.lit(v).cast("string") for v in PRICES)), (k % len(PRICES) + 1).cast("int"))
+        rows = table(spark, d, "orders").select("o_orderkey", F.replace(form, F.lit("#"), lead).alias("raw"))
+        return rows.select("o_orderkey", "raw", prices.PARSERS[name](F.col("raw")).cast(kind).alias("price"))
 
-    sql_text = lambda v: "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
-    pairs = ", ".join(f"({sql_text(r)}, {sql_text(v)})" for r, v in zip(PRICES, _EXPECTED[name], strict=True))
     parse.__name__ = f"price_parse_{name}"
-    query(f"SELECT raw, CAST(price AS {'DOUBLE' if number else 'VARCHAR'}) AS price FROM (VALUES {pairs}) v(raw, price)")(parse)
+    own = lambda values: f"replace({picked(values)}, '#', {_LEAD})"
+    query(f"SELECT o_orderkey, {own(PRICES)} AS raw, CAST({own(_EXPECTED[name])} AS {'DOUBLE' if name in _NUMBERS else 'VARCHAR'}) AS price FROM orders")(parse)
 
 
 for _name in prices.PARSERS:
@@ -134,17 +153,17 @@ def iso_week(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", dates.iso_week(F.col("o_orderdate")).alias("week"))
 
 
-WORDS = ["In stock", "sold-out", "Uitverkocht", "pre-order", "coming soon", "", None, "iets", "Niet op voorraad", "op voorraad", "Verwacht in mei", "true", "nee"]
+WORDS = ["In stock", "sold-out", "Uitverkocht", "pre-order", "coming soon", "", None, "iets", "Niet op voorraad", "op voorraad", "Verwacht in mei", "true", "nee", "Nog # op voorraad", "Verwacht in week #", "Uitverkocht sinds #"]
 
 
-@query(f"""WITH v(raw) AS (VALUES {quoted(WORDS)}), n AS (SELECT raw, lower(coalesce(raw, '')) AS w, replace(replace(lower(coalesce(raw, '')), '-', '_'), ' ', '_') AS u FROM v)
-SELECT raw, CASE WHEN u IN ('out_of_stock', 'sold_out', 'uitverkocht') THEN 'out_of_stock' WHEN u IN ('preorder', 'pre_order', 'coming_soon') THEN 'preorder' ELSE 'in_stock' END AS by_word,
+@query(f"""WITH {forms_sql(WORDS)}, n AS (SELECT o_orderkey, raw, lower(coalesce(raw, '')) AS w, replace(replace(lower(coalesce(raw, '')), '-', '_'), ' ', '_') AS u FROM v)
+SELECT o_orderkey, raw, CASE WHEN u IN ('out_of_stock', 'sold_out', 'uitverkocht') THEN 'out_of_stock' WHEN u IN ('preorder', 'pre_order', 'coming_soon') THEN 'preorder' ELSE 'in_stock' END AS by_word,
   CASE WHEN w = '' THEN 'unknown' WHEN w LIKE '%niet op voorraad%' OR w LIKE '%uitverkocht%' THEN 'out_of_stock' WHEN regexp_matches(w, 'pre-?order|verwacht|coming soon') THEN 'preorder'
     WHEN w LIKE '%op voorraad%' OR w LIKE '%in stock%' THEN 'in_stock' ELSE 'unknown' END AS by_text,
   CASE WHEN w IN ('true', 'ja') THEN 'in_stock' WHEN w IN ('false', 'nee') THEN 'out_of_stock' ELSE 'unknown' END AS by_flag FROM n""")
 def availability_norm(spark: SparkSession, d: str) -> DataFrame:
     raw = F.col("raw")
-    return rows_of(spark, WORDS).select("raw", classify.availability(raw).alias("by_word"), classify.availability_of_text(raw).alias("by_text"), classify.availability_of_flag(raw).alias("by_flag"))
+    return forms(spark, d, WORDS).select("o_orderkey", "raw", classify.availability(raw).alias("by_word"), classify.availability_of_text(raw).alias("by_text"), classify.availability_of_flag(raw).alias("by_flag"))
 
 
 @query("SELECT o_orderkey, CAST(least(1440, 10 * pow(2, greatest(o_orderkey % 12 - 1, 0))) AS INT) AS minutes FROM orders")
@@ -152,16 +171,16 @@ def backoff(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", dates.backoff_minutes(F.col("o_orderkey") % 12).alias("minutes"))
 
 
-TITLES = ["Night Ferry- Harbour", "A - B – C", "Solo", None, "Een — Twee", "X–Y", " - ", "Artist  -  Title (2LP)", "De Band - Album (Limited Edition)"]
+TITLES = ["Night Ferry #- Harbour", "A - B # – C", "Solo #", None, "Een # — Twee", "X–Y #", " - ", "Artist  -  Title # (2LP)", "De Band - Album (Limited Edition)"]
 
 
-@query(f"""WITH v(raw) AS (VALUES {quoted(TITLES)}), t AS (SELECT raw, trim(regexp_replace(coalesce(raw, ''), '\\s+', ' ', 'g')) AS t FROM v),
+@query(f"""WITH {forms_sql(TITLES)}, t AS (SELECT o_orderkey, raw, trim(regexp_replace(coalesce(raw, ''), '\\s+', ' ', 'g')) AS t FROM v),
 s AS (SELECT *, CASE WHEN t LIKE '%_ – _%' THEN ' – ' WHEN t LIKE '%_ - _%' THEN ' - ' WHEN t LIKE '%_ — _%' THEN ' — ' WHEN t LIKE '%_–_%' THEN '–' WHEN t LIKE '%_—_%' THEN '—' END AS sep FROM t)
-SELECT raw, CASE WHEN sep IS NOT NULL THEN trim(substr(t, 1, instr(t, sep) - 1)) ELSE trim(regexp_extract(t, '^(.+?)-\\s+(.+)$', 1)) END AS artist,
+SELECT o_orderkey, raw, CASE WHEN sep IS NOT NULL THEN trim(substr(t, 1, instr(t, sep) - 1)) ELSE trim(regexp_extract(t, '^(.+?)-\\s+(.+)$', 1)) END AS artist,
   CASE WHEN sep IS NOT NULL THEN trim(substr(t, instr(t, sep) + length(sep))) WHEN regexp_matches(t, '^(.+?)-\\s+(.+)$') THEN trim(regexp_extract(t, '^(.+?)-\\s+(.+)$', 2)) ELSE t END AS title FROM s""")
 def artist_title(spark: SparkSession, d: str) -> DataFrame:
     pair = text.infer_artist_title(F.lit(None).cast("string"), F.col("raw"))
-    return rows_of(spark, TITLES).select("raw", pair["artist"].alias("artist"), pair["title"].alias("title"))
+    return forms(spark, d, TITLES).select("o_orderkey", "raw", pair["artist"].alias("artist"), pair["title"].alias("title"))
 
 
 def _rules(price: Column, day: Column, flag: Column, qty: Column) -> list[tuple[str, Column]]:
@@ -231,12 +250,12 @@ def import_stats(spark: SparkSession, d: str) -> DataFrame:
     return validation.import_stats(rows, "reason", F.col("l_orderkey") % 4 == 0, F.col("l_linenumber") % 3 == 0)
 
 
-LABELS = ["cd", " CD ", "CD | Album", "Vinyl", None, "", "Poster", "bluray", "LP"]
+LABELS = ["cd", " CD ", "CD | Album", "CD #", "Vinyl", None, "", "Poster", "bluray", "LP"]
 
 
-@query(f"WITH v(raw) AS (VALUES {quoted(LABELS)}) SELECT raw, upper(trim(coalesce(raw, ''))) IN ('CD', 'POSTER', 'ACCESSORIES', 'PHOTOBOOK', 'BLUERAY', 'BLURAY') AS hidden FROM v")
+@query(f"WITH {forms_sql(LABELS)} SELECT o_orderkey, raw, upper(trim(coalesce(raw, ''))) IN ('CD', 'POSTER', 'ACCESSORIES', 'PHOTOBOOK', 'BLUERAY', 'BLURAY') AS hidden FROM v")
 def format_blacklist(spark: SparkSession, d: str) -> DataFrame:
-    return rows_of(spark, LABELS).select("raw", classify.is_hidden_format(F.col("raw")).alias("hidden"))
+    return forms(spark, d, LABELS).select("o_orderkey", "raw", classify.is_hidden_format(F.col("raw")).alias("hidden"))
 
 
 @query(f"WITH {OBS} SELECT product, shop, price, seen FROM obs QUALIFY row_number() OVER (PARTITION BY product ORDER BY price, seen DESC, shop) = 1")

@@ -23,12 +23,13 @@ def sniff_delimiter(spark: SparkSession, path: str, lines: int = 5) -> str:
     return best_delimiter(head)
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, delimiter: str | None = ",") -> DataFrame:
-    """A CSV with a header, as text; a byte order mark in the header is dropped. With
+def read_csv(spark: SparkSession, path: str, columns: list[str] | None = None, delimiter: str | None = ",", breaks_in_cells: bool = True) -> DataFrame:
+    """A CSV with a header, as text; a byte order mark in the header is dropped. Where no cell holds a line
+    break, ``breaks_in_cells=False`` lets many tasks share a large file. With
     ``columns``, exactly these in this order: missing ones are '' and others go. A missing
     file is an empty table if ``columns`` are given."""
     try:
-        found = spark.read.options(header=True, sep=delimiter or sniff_delimiter(spark, path), multiLine=True, escape='"', encoding="UTF-8").csv(path)
+        found = spark.read.options(header=True, sep=delimiter or sniff_delimiter(spark, path), multiLine=breaks_in_cells, escape='"', encoding="UTF-8").csv(path)
     except AnalysisException as e:
         if columns is None or "PATH_NOT_FOUND" not in str(e):
             raise

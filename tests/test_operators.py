@@ -3,6 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from pricelode.functions import text
 from pricelode.operators import history, joins, merge, queueing, ranking, validation
 
 T = datetime.datetime
@@ -97,3 +98,20 @@ def test_filters_reach_the_scan(spark):
 
     plan = retention(spark, str(DATA / "sf0.001"))._jdf.queryExecution().executedPlan().toString()
     assert "GreaterThanOrEqual(l_shipdate" in plan and "l_comment" not in plan
+
+
+def test_unresolved_codes_fail_the_job(spark):
+    lookup = spark.createDataFrame([("a", 1), ("c", 2)], "ean string, product int")
+    rows = lambda *codes: spark.createDataFrame([(c,) for c in codes], "ean string")
+    assert sorted(r.product for r in joins.resolve_all(rows("a", "a", "c"), lookup, "ean", "product").collect()) == [1, 1, 2]
+    assert joins.resolve_all(rows("a").limit(0), lookup, "ean", "product").count() == 0
+    for codes, said in ((("a", "b"), "no product for ean b"), (("a", None), "no product for ean null")):
+        with pytest.raises(Exception, match=said):
+            joins.resolve_all(rows(*codes), lookup, "ean", "product").count()
+
+
+def test_a_third_text_for_search(spark):
+    some = spark.createDataFrame([("A  B", None, "1"), (None, None, None), ("", " ", "")], "artist string, title string, ean string")
+    cols = [F.col(c) for c in some.columns]
+    got = some.select(text.search_text(*cols).alias("a"), text.plain_search_text(*cols).alias("b"), text.staged_search_text(*cols).alias("c")).collect()
+    assert [tuple(r) for r in got] == [("a b 1", "A  B 1", "a  b 1"), ("", None, ""), ("", None, "")]
