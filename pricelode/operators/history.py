@@ -51,11 +51,12 @@ def best_prices(offers: DataFrame, product: str, shop: str, price: str, last_see
     """Per product: the lowest price that is fresh and in stock, the shops that have such an
     offer, all shops, and when the cheapest such offer was last seen."""
     fresh = in_stock & (F.col(last_seen) >= as_of - F.make_interval(hours=F.lit(hours)))
-    best = F.min(F.when(fresh, F.struct(F.col(price), (-F.unix_micros(F.col(last_seen).cast("timestamp"))).alias("late"), F.col(last_seen).alias("seen"))))
-    found = offers.groupBy(product).agg(
-        F.min(F.when(fresh, F.col(price))).alias("lowest_fresh_price"), F.count_distinct(F.when(fresh, F.col(shop))).alias("fresh_instock_shop_count"),
-        F.count_distinct(shop).alias("total_active_shop_count"), best.alias("_best"),
-    )
+    best = F.min(F.when(fresh, F.struct(F.col(price).alias("price"), (-F.unix_micros(F.col(last_seen).cast("timestamp"))).alias("late"), F.col(last_seen).alias("seen"))))
+    # A row for each shop first, so that shops are counted without a copy of the rows for each count.
+    shops = offers.groupBy(product, F.col(shop).alias("_shop")).agg(F.min(F.when(fresh, F.col(price))).alias("_price"), F.max(fresh).alias("_fresh"), best.alias("_best"))
+    found = shops.groupBy(product).agg(
+        F.min("_price").alias("lowest_fresh_price"), F.count(F.when(F.col("_fresh"), F.col("_shop"))).alias("fresh_instock_shop_count"), F.count("_shop").alias("total_active_shop_count"), F.min("_best").alias("_best")
+    )
     return found.withColumn("best_price_last_seen_at", F.col("_best.seen")).drop("_best")
 
 

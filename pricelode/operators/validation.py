@@ -37,8 +37,10 @@ def reject_duplicates(df: DataFrame, gtin: str, product_key: str, price: str, ne
     """``df`` with ``reject_reason``: of benign duplicates all but the newest, of conflicting ones
     all. Groups are judged by their aggregates, which meet the rows in a join that Spark can
     split where one code is hot; only rows of benign duplicates are put in order."""
-    judged = duplicate_classes(df.select(F.coalesce(gtin, F.lit("")).alias("_g"), F.col(product_key).alias("_k"), F.col(price).alias("_p")), "_g", "_k", "_p").select("_g", F.col("kind").alias("_kind"))
-    joined = df.withColumn("_g", F.coalesce(gtin, F.lit(""))).join(judged, "_g")
+    code, same = F.coalesce(gtin, F.lit("")).alias("_g"), lambda c: F.min(c) == F.max(c)
+    kind = F.when(F.count("*") == 1, "unique").when(same(product_key) & same(price), "benign").otherwise("conflict")  # duplicate_classes without its counts
+    judged = df.groupBy(code).agg(kind.alias("_kind"))
+    joined = df.withColumn("_g", code).join(judged, "_g")
     reason = F.when(F.col("_kind") == "conflict", F.lit("conflicting_duplicate_ean"))
     benign = joined.where(F.col("_kind") == "benign")
     place = F.row_number().over(Window.partitionBy("_g").orderBy(*newest))

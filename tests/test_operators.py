@@ -115,3 +115,22 @@ def test_a_third_text_for_search(spark):
     cols = [F.col(c) for c in some.columns]
     got = some.select(text.search_text(*cols).alias("a"), text.plain_search_text(*cols).alias("b"), text.staged_search_text(*cols).alias("c")).collect()
     assert [tuple(r) for r in got] == [("a b 1", "A  B 1", "a  b 1"), ("", None, ""), ("", None, "")]
+
+
+def test_shops_are_counted_without_copies_of_rows(spark):
+    offers = spark.createDataFrame(
+        [(1, 7, 5.0, T(2024, 1, 9), True), (1, 7, 4.0, T(2024, 1, 1), True), (1, 8, 5.0, T(2024, 1, 10), True), (1, None, 3.0, T(2024, 1, 9), True), (1, 9, 1.0, T(2024, 1, 9), False), (2, 7, None, None, None)],
+        "product int, shop int, price double, seen timestamp_ntz, in_stock boolean",
+    )
+    found = history.best_prices(offers, "product", "shop", "price", "seen", F.col("in_stock"), F.lit("2024-01-10").cast("timestamp_ntz"))
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect())) == [(1, 3.0, 2, 3, T(2024, 1, 9)), (2, None, 0, 1, None)]
+
+
+def test_duplicates_with_nulls(spark):
+    df = spark.createDataFrame([("a", 1, 2.0, 1), ("a", 1, 2.0, 2), ("b", 1, 2.0, 1), ("b", 1, 3.0, 2), ("c", 1, None, 1), ("c", 1, None, 2), (None, 1, 1.0, 1), ("d", 1, 2.0, 1), ("d", None, 2.0, 2)], "g string, k int, p double, at int")
+    found = validation.reject_duplicates(df, "g", "k", "p", [F.desc("at")])
+    old = "duplicate_same_product_same_price"
+    got = {(r.g, r.at): r.reject_reason for r in found.collect()}
+    clash = "conflicting_duplicate_ean"
+    assert got == {("a", 1): old, ("a", 2): None, ("b", 1): clash, ("b", 2): clash, ("c", 1): clash, ("c", 2): clash, (None, 1): None, ("d", 1): old, ("d", 2): None}
