@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 
 
@@ -33,6 +35,13 @@ def open_file(path: str) -> bytes:
         return source.read()
 
 
+def read_tables(folder: str, columns: list[str]) -> list[pa.Table]:
+    """The Parquet files of a folder; none if it isn't there."""
+    store, place = _at(folder)
+    found = store.get_file_info(fs.FileSelector(place, allow_not_found=True))
+    return [pq.read_table(f.path, columns=columns, filesystem=store, partitioning=None) for f in found if f.base_name.endswith(".parquet")]
+
+
 def read_range(path: str, offset: int, length: int) -> bytes:
     store, place = _at(path)
     with store.open_input_file(place) as source:

@@ -28,11 +28,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pricelode.llm.common import files_dealt, shared_dir, slices, small_batches, spread_join, written
-from pricelode.llm.files import open_file, write_file
+from pricelode.llm.files import open_file, read_tables, write_file
 
 ARCHIVE_BYTES = 32 << 20
 #: Rows of repeated payloads up to which they are broadcast (some 60 bytes each).
 BROADCAST_REPEATS = 200_000
+#: Bits of Spark's row numbers below the number of their part.
+PART_BITS = 33
 #: Captures of a range, about.
 RANGE_ROWS = 100_000
 #: The time of page 0 where pages have no time of their own; each id is a second later.
@@ -124,21 +126,31 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
     digests = written(own.select("page_id", F.sha1(F.col("payload").cast("binary")).alias("sha1")), "digests")
     repeats = written(digests.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where((F.col("n") > 1) & F.col("first_id").isNotNull()).drop("n"), "repeats")
     known = own.withColumn("sha1", F.sha1(F.col("payload").cast("binary")))
+    other = F.coalesce(F.col("page_id") != F.col("first_id"), F.col("first_id").isNotNull())
+    beside: str | None = None
     if repeats.count() <= BROADCAST_REPEATS:
-        known = known.join(F.broadcast(repeats), "sha1", "left")
-    else:  # rows meet by digest without payloads, and payloads by their rows' numbers
+        known = known.join(F.broadcast(repeats), "sha1", "left").withColumn("_row", F.lit(None).cast("long"))
+    else:  # rows meet by digest without payloads; what they refer to is read by the task that has them, so payloads stay where they are
         known = written(known.withColumn("_row", F.monotonically_increasing_id()), "pages")
-        refers = spread_join(known.select("_row", "sha1"), repeats, "sha1").where(F.col("first_id").isNotNull()).select("_row", "first_id")
-        known = known.join(refers, "_row", "left")
-    other = F.coalesce(F.col("page_id") != F.col("first_id"), F.col("first_id").isNotNull())
+        refers = spread_join(known.select("_row", "page_id", "sha1"), repeats, "sha1").where(other)
+        beside = shared_dir(spark, "refers")
+        refers.select("_row", "first_id", F.shiftright("_row", PART_BITS).alias("part")).repartition("part").write.partitionBy("part").parquet(beside)
+        known = known.withColumn("first_id", F.lit(None).cast(repeats.schema["first_id"].dataType))
     # 1970 to 9999: what a WARC date can hold
     second = F.least(F.greatest(F.coalesce(F.col("second"), F.lit(0)), F.lit(0)), F.lit(253_402_300_799)).cast("long")
-    rows = known.select("page_id", "url", "payload", second.alias("second"), F.when(other, F.col("first_id")).alias("refers_to"), url_key(F.col("url")).alias("key"))
+    rows = known.select("page_id", "url", "payload", second.alias("second"), F.when(other, F.col("first_id")).alias("refers_to"), url_key(F.col("url")).alias("key"), "_row")
     rows = rows.sortWithinPartitions("key", "second", "page_id")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
         size = 0
+        parts: dict[int, dict] = {}  # by part of the written table, what its rows refer to
+
+        def referred(numbers: list[int]) -> list:
+            for n in {x >> PART_BITS for x in numbers} - parts.keys():
+                some = read_tables(f"{beside}/part={n}", ["_row", "first_id"])
+                parts[n] = {k: v for t in some for k, v in zip(t["_row"].to_pylist(), t["first_id"].to_pylist(), strict=True)}
+            return [parts[x >> PART_BITS].get(x) for x in numbers]
 
         def flush() -> pa.RecordBatch:
             nonlocal size
@@ -151,7 +163,10 @@ def write_archives(pages: DataFrame, page_id: str = "page_id", url: str = "url",
 
         for batch in batches:
             for part in slices(batch, "payload"):
-                for p, u, x, s, r, k in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                *columns, numbers = (c.to_pylist() for c in part.columns)
+                if beside:
+                    columns[4] = referred(numbers)
+                for p, u, x, s, r, k in zip(*columns, strict=True):
                     made = record(p, u, s, x.encode(), r, r is not None, k)
                     if held and size + len(made) > ARCHIVE_BYTES:
                         yield flush()

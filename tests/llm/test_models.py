@@ -187,3 +187,15 @@ def test_accuracy_at_the_figure_of_the_readme(spark):
     for name, column, bar in (("op9_quality_gam", "quality", 0.99), ("op10_toxicity", "toxic", 0.98)):
         accuracy, n = held_out_accuracy(queries.QUERIES[name](spark, d).collect(), labels, column)
         assert n > 400 and accuracy >= bar
+
+
+def test_a_text_over_all_slices_is_scored_whole(spark, documents, labels):
+    """Good prose with six million characters of junk behind it scores as the whole text does, not as its beginning."""
+    good = documents.where("doc_id < 40").select("text").first().text
+    texts = [good + " #$%& 0000 |<>|" * 400_000, good, "#$%& 0000 |<>| " * 400_000]
+    docs = spark.createDataFrame(list(enumerate(texts, 10_000)), "doc_id long, text string").coalesce(1)
+    model = gam.train(documents, labels)
+    got = [r._score for r in gam.scored(docs, model).orderBy("doc_id").collect()]
+    assert got == pytest.approx([model.scores(gam.features(pa.array([t])))[0] for t in texts])
+    whole, begin = gam.features(pa.array(texts[:1]))[0], gam.features(pa.array(texts[1:2]))[0]
+    assert (whole != begin).sum() > 5

@@ -21,7 +21,7 @@ def test_bounds_are_optimal(seed):
         assert bounds.padding == best and len(bounds.upper) <= k and bounds.upper[-1] == lengths[-1]
 
 
-def test_a_coarse_grid_still_bounds_all():
+def test_twenty_thousand_lengths_fill_all_buckets():
     lengths = np.arange(0, 20_000)
     bounds = choose_bounds(lengths, np.ones(20_000, int), 8)
     assert bounds.upper[-1] == 19_999 and len(bounds.upper) == 8
@@ -80,3 +80,11 @@ def test_repeated_and_null_ids_share_no_cell(spark, monkeypatch):
     rows = pack_documents(docs, budget=30).toPandas()
     assert len(rows) == 6000 and not rows.duplicated(["batch_id", "position"]).any()
     assert rows.groupby("batch_id").size().tolist() == [10] * 600
+
+
+def test_a_text_over_all_slices(spark):
+    """Its words are counted to the last one, and it has a batch of its own."""
+    docs = spark.createDataFrame([(1, "harbour lamp\t" * 450_000 + "end"), (2, "two words"), (3, None)], "doc_id long, text string").coalesce(1)
+    rows = {r.doc_id: r for r in pack_documents(docs, buckets=2).collect()}
+    assert (rows[1].n_tokens, rows[2].n_tokens, rows[3].n_tokens) == (900_001, 2, 0)
+    assert rows[1].batch_id not in (rows[2].batch_id, rows[3].batch_id)

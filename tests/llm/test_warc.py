@@ -73,10 +73,28 @@ def test_query_equals_sql(compare):
     compare(queries.QUERIES["op4_warc"], queries.ORACLES["op4_warc"])
 
 
-def test_many_repeats_give_the_same(pages, monkeypatch):
-    want = sorted(str(r) for r in warc.archive_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_many_repeats_give_the_same(pages, monkeypatch, kind):
+    some = pages.withColumn("page_id", pages.page_id.cast(kind))
+    rows = lambda: sorted(str(r) for r in warc.archive_pages(some).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect())
+    want = rows()
     monkeypatch.setattr(warc, "BROADCAST_REPEATS", 0)
-    assert sorted(str(r) for r in warc.archive_pages(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()) == want
+    assert rows() == want
+
+
+def test_many_repeats_leave_payloads_in_place(spark, monkeypatch):
+    """A third of all rows has one payload, a third comes in pairs; the plan of the writer has no exchange."""
+    monkeypatch.setattr(warc, "BROADCAST_REPEATS", 10)
+    texts = ["hot", *(f"pair {k}" for k in range(300)), *(f"own {k}" for k in range(600))]
+    rows = [(i, f"http://h{i % 7}.example/{i}", texts[0] if i % 3 == 0 else texts[1 + i // 3 % 300] if i % 3 == 1 else texts[301 + i // 3]) for i in range(1800)]
+    plans, plain = [], warc.written
+    monkeypatch.setattr(warc, "written", lambda df, label: (plans.append((label, df._jdf.queryExecution().executedPlan().toString())), plain(df, label))[1])
+    found = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    first = {}
+    for i, _, text in rows:
+        first.setdefault(text, i)
+    assert {r.page_id: (r.record_type, r.refers_to) for r in found} == {i: ("response", None) if first[t] == i else ("revisit", first[t]) for i, _, t in rows}
+    assert "Exchange" not in dict(plans)["archives"]
 
 
 def test_ids_of_any_text(spark):
