@@ -2,20 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pricelode.operators.history import first_by
 
 
 def or_join(left: DataFrame, right: DataFrame, pairs: list[tuple[Column, Column]], left_id: str, right_id: str) -> DataFrame:
-    """Pairs of ids where any of the equalities holds: one hash join for each, then distinct,
-    in place of a nested loop over all pairs."""
-    found = None
-    for a, b in pairs:
-        some = left.withColumn("_k", a).join(right.withColumn("_k", b), "_k").select(left[left_id], right[right_id])
-        found = some if found is None else found.union(some)
-    return found.distinct()
+    """Pairs of ids where any of the equalities holds, each once: one hash join for each, in place of a nested loop over all pairs.
+    A join leaves out what an earlier one finds, so pairs of ids that one row has need no search for repeats, which would hold and shuffle the
+    result; only pairs with an id of several rows go through ``distinct``."""
+
+    def keyed(rows: DataFrame, name: str, side: int) -> DataFrame:
+        marks = "lr"[side]
+        own = rows.select(F.col(name).alias(f"_{marks}"), *(p[side].alias(f"_{marks}{i}") for i, p in enumerate(pairs)))
+        return own.withColumn(f"_{marks}_many", F.count("*").over(Window.partitionBy(f"_{marks}")) > 1)
+
+    def joined(a: DataFrame, b: DataFrame) -> DataFrame:
+        found = None
+        for i in range(len(pairs)):
+            some = a.join(b, F.col(f"_l{i}") == F.col(f"_r{i}"))
+            for j in range(i):
+                some = some.where(~F.coalesce(F.col(f"_l{j}") == F.col(f"_r{j}"), F.lit(False)))
+            some = some.select("_l", "_r")
+            found = some if found is None else found.union(some)
+        return found
+
+    a, b = keyed(left, left_id, 0), keyed(right, right_id, 1)
+    once = joined(a.where("NOT _l_many"), b.where("NOT _r_many"))
+    repeated = joined(a.where("_l_many"), b).union(joined(a.where("NOT _l_many"), b.where("_r_many"))).distinct()
+    return once.union(repeated).toDF(left_id, right_id)
 
 
 def or_anti(left: DataFrame, right: DataFrame, pairs: list[tuple[Column, Column]]) -> DataFrame:
