@@ -18,6 +18,8 @@ BLOCK = 65_536
 GRAM = 3
 #: Folders of postings. Each holds the grams of one hash value.
 FOLDERS = 64
+#: Grams are cut from so many pieces of a block on their own.
+PIECES = 16
 #: Up to so many blocks of rows are named in the filter of the scan; beyond that they are joined.
 NAMED = 1000
 
@@ -43,17 +45,22 @@ def _folder(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(FOLDERS)).cast("int")
 
 
+def _pairs(rows: DataFrame, product: str, fields: list[Column], block: int) -> DataFrame:
+    """(product, block, gram) of all rows. A file of a few MB, one task, may hold millions of them, so pieces of blocks are dealt out before grams are cut."""
+    every = F.array_distinct(F.concat(*(_grams(F.coalesce(f, F.lit(""))) for f in fields)))
+    dealt = rows.repartition("block", F.floor(F.col(product) / max(1, block // PIECES)))
+    return dealt.select(F.col(product).cast("long").alias("product"), "block", F.explode(every).alias("gram"))
+
+
 def build(products: DataFrame, path: str, product: str, fields: list[Column], block: int = BLOCK) -> None:
     """Write the index of ``fields`` (texts) of the products."""
     number = F.floor(F.col(product) / block).cast("long")
     rows = products.withColumn("block", number)
     rows.repartition("block").write.partitionBy("block").parquet(f"{path}/rows")
-    every = F.array_distinct(F.concat(*(_grams(F.coalesce(f, F.lit(""))) for f in fields)))
-    pairs = rows.select(F.col(product).cast("long").alias("product"), "block", F.explode(every).alias("gram"))
-    lists = pairs.groupBy("gram", "block").agg(F.array_sort(F.collect_list("product")).alias("products"))
+    lists = _pairs(rows, product, fields, block).groupBy("gram", "block").agg(F.array_sort(F.collect_list("product")).alias("products"))
     # A task has whole folders; the grams of a file are in order, so that its statistics leave most of it out.
-    dealt = lists.withColumn("folder", _folder(F.col("gram"))).repartition("folder").sortWithinPartitions("folder", "gram", "block")
-    dealt.write.partitionBy("folder").parquet(f"{path}/postings")
+    ordered = lists.withColumn("folder", _folder(F.col("gram"))).repartition("folder").sortWithinPartitions("folder", "gram", "block")
+    ordered.write.partitionBy("folder").parquet(f"{path}/postings")
 
 
 def postings(spark: SparkSession, path: str, query: str) -> DataFrame:
