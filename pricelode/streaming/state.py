@@ -5,17 +5,18 @@ checkpoint, so a query that is started again goes on where it ended."""
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Microseconds of a day of UTC.
 DAY = 86_400_000_000
+EPOCH, MICROSECOND = dt.datetime(1970, 1, 1), dt.timedelta(microseconds=1)
 
 
 def _place(told: tuple) -> tuple:
@@ -25,41 +26,35 @@ def _place(told: tuple) -> tuple:
 
 def _plain(value: Any) -> Any:
     """A value as JSON keeps it."""
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or (isinstance(value, float) and value != value):
         return None
-    return value.item() if hasattr(value, "item") else value if isinstance(value, (str, int, float, bool)) else str(value)
+    return value if isinstance(value, (str, int, float, bool)) else str(value)
 
 
 class NewObservations(StatefulProcessor):
     """Of each key's observations in time order (equal times: by ``values``) those that say something new: the first, and such as differ
     from the one before in their day or a value (null is a value). Rows that are not behind the last one seen are late or repeated, and say nothing."""
 
-    def __init__(self, columns: list[str], ts: str, values: list[str]) -> None:
-        self.columns, self.ts, self.values = columns, ts, values
+    def __init__(self, ts: str, values: list[str]) -> None:
+        self.ts, self.values = ts, values
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "micros long, told string")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        some = pd.concat(list(rows), ignore_index=True)
-        some = some[some[self.ts].notna()].reset_index(drop=True)
-        micros = some[self.ts].astype("datetime64[us]").astype("int64").tolist()
-        told = list(zip(micros, *([_plain(v) for v in some[c].tolist()] for c in self.values), strict=True))
-        before: tuple | None = None
-        if self.last.exists():
-            at, text = self.last.get()
-            before = (at, *json.loads(text))
-        seen, new = before, []
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:  # noqa: N802, N803
+        some = [row for row in rows if row[self.ts] is not None]
+        told = [((row[self.ts] - EPOCH) // MICROSECOND, *(_plain(row[v]) for v in self.values)) for row in some]
+        last = self.last.get()
+        before: tuple | None = (last[0], *json.loads(last[1])) if last is not None else None
+        seen = before
         for i in sorted(range(len(told)), key=lambda i: _place(told[i])):
             row = told[i]
             if before is None or _place(row) > _place(before):
                 if before is None or row[0] // DAY != before[0] // DAY or row[1:] != before[1:]:
-                    new.append(i)
+                    yield some[i]
                 before = row
         if before != seen:
             self.last.update((before[0], json.dumps(before[1:])))
-        if new:
-            yield some.iloc[new][self.columns]
 
     def close(self) -> None:
         pass
@@ -70,8 +65,9 @@ def new_observations(observed: DataFrame, keys: list[str], ts: str, values: list
     spark = observed.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     declared = ", ".join(f"`{c}` {kind}" for c, kind in observed.dtypes)
-    processor = NewObservations(observed.columns, ts, values)
-    return observed.groupBy(*keys).transformWithStateInPandas(processor, declared, "Append", "None")
+    # rows and not pandas frames: most keys have a few rows in a batch, and a frame for each would cost more than they do
+    processor = NewObservations(ts, values)
+    return observed.groupBy(*keys).transformWithState(processor, declared, "Append", "None")
 
 
 def append_changes(observed: DataFrame, path: str, checkpoint: str, keys: list[str], ts: str, values: list[str]) -> StreamingQuery:
