@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pricelode.functions import classify, dates, html, ids, page_walk, prices, text
 from pricelode.operators import merge, queueing, ranking, validation
 from pricelode.plans.catalogue import query
-from pricelode.plans.tables import AS_OF, as_of, table
+from pricelode.plans.tables import AS_OF, as_of, pages, table
 
 
 def word_of(words: list[str], number: Column) -> Column:
@@ -289,7 +289,7 @@ def card_pick(spark: SparkSession, d: str) -> DataFrame:
 SELECT page_id, CAST(position AS INT) AS position, trim(regexp_extract(item, '">([^<]*)</a>', 1)) AS text, root || regexp_extract(item, 'href="([^"]*)"', 1) AS link FROM p""")
 def page_items(spark: SparkSession, d: str) -> DataFrame:
     """The items of all lists of saved pages, with their places and links."""
-    found = table(spark, d, "pages").select("page_id", F.explode(page_walk.cells(F.col("html"), F.col("url"))).alias("c")).where("c.tag = 'li'")
+    found = pages(spark, d).select("page_id", F.explode(page_walk.cells(F.col("html"), F.col("url"))).alias("c")).where("c.tag = 'li'")
     return found.select("page_id", "c.position", "c.text", "c.link")
 
 
@@ -298,7 +298,7 @@ l AS (SELECT page_id, root || regexp_extract(item, 'href="([^"]*)"', 1) AS targe
 SELECT DISTINCT page_id, target, text AS title, 14 AS score, 1 AS n_links, 0 AS prices, 0 AS steps, text FROM l WHERE text <> '' """)
 def page_cards(spark: SparkSession, d: str) -> DataFrame:
     """The block that shows each link of a saved page best. These pages have no prices, so none is asked for."""
-    found = table(spark, d, "pages").select("page_id", F.explode(page_walk.cards(F.col("html"), F.col("url"), priced=False)).alias("c"))
+    found = pages(spark, d).select("page_id", F.explode(page_walk.cards(F.col("html"), F.col("url"), priced=False)).alias("c"))
     return found.select("page_id", "c.*")
 
 
@@ -328,5 +328,5 @@ def page_products(spark: SparkSession, d: str) -> DataFrame:
     product = F.struct(F.lit("Product").alias("@type"), html.title(h).alias("name"), F.array(offer).alias("offers"))
     block = F.to_json(F.when(F.col("page_id") % 3 != 0, F.struct(F.array(F.struct(F.lit("WebPage").alias("@type"), F.struct(product.alias("item")).alias("mainEntity"))).alias("@graph"))))
     page = F.concat(h, F.lit('<script type="application/ld+json">'), F.coalesce(F.replace(block, F.lit("</"), F.lit("<\\/")), F.lit("{}")), F.lit("</script>"))
-    found = table(spark, d, "pages").select("page_id", html.jsonld_product(page).alias("p"))
+    found = pages(spark, d).select("page_id", html.jsonld_product(page).alias("p"))
     return found.where(F.col("p.name").isNotNull()).select("page_id", "p.name", "p.price", "p.currency")

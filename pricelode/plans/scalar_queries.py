@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pricelode.functions import classify, dates, html, ids, prices, scoring, text, urls
 from pricelode.operators import history, validation
 from pricelode.plans.catalogue import query
-from pricelode.plans.tables import AS_OF, OBS, as_of, observations, table
+from pricelode.plans.tables import AS_OF, OBS, as_of, observations, pages, table
 
 
 def listed(values: list[str | None]) -> str:
@@ -304,7 +304,7 @@ SELECT page_id, host || '/img/' || page_id || '.jpg' AS url, 'og' AS source, 0 A
 UNION ALL SELECT page_id, CASE WHEN folder = host THEN host || '/' ELSE folder END || 'cover/1.jpg', 'img_tag', 1 FROM h""")
 def image_candidates(spark: SparkSession, d: str) -> DataFrame:
     """Image candidates of pages; the test pages have none of their own, so each gets markup before its html."""
-    p = table(spark, d, "pages")
+    p = pages(spark, d)
     marked = F.concat(
         F.lit('<meta property="og:image" content="/img/'), F.col("page_id").cast("string"), F.lit('.jpg"><img src="//cdn.example.com/logo.png"><img class="cover" src="cover/1.jpg" width="600" height="600">'), "html"
     )
@@ -316,7 +316,7 @@ def image_candidates(spark: SparkSession, d: str) -> DataFrame:
 def jsonld_images(spark: SparkSession, d: str) -> DataFrame:
     """Images of JSON-LD blocks, found at any depth; a block stands behind each page's own html, which has none."""
     block = F.concat("html", F.lit('<script type="application/ld+json">{"@graph": [{"@type": "Product", "image": ["/a/'), F.col("page_id").cast("string"), F.lit('.jpg", {"url": "https://x.example/b.jpg#f"}]}]}</script>'))
-    found = table(spark, d, "pages").select("page_id", F.explode(html.jsonld_images(block, F.col("url"))).alias("image"))
+    found = pages(spark, d).select("page_id", F.explode(html.jsonld_images(block, F.col("url"))).alias("image"))
     return found
 
 

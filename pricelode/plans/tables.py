@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages, for Python: whole pages travel there, so rows and bytes of an Arrow batch are bounded for the session (Spark reads these limits when a plan
+    runs). Else a batch has 10,000 pages, however long they are."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return table(spark, sf_dir, "pages")
+
+
 def work_folder(spark: SparkSession, label: str) -> str:
     """A new folder that driver and executors share, below ``spark.checkpoint.dir``; in local mode (tests), where
     that may be unset, a temporary one."""
