@@ -25,22 +25,27 @@ def daily_history(observed: DataFrame, keys: list[str], ts: str, price: str, sho
 def daily_shop_bitmaps(observed: DataFrame, keys: list[str], ts: str, price: str, number: str, in_stock: Column, zone: str = SHOP_ZONE) -> DataFrame:
     """The daily history in a form that adds up: per key, local day, ``bucket`` (of 32,768 shop numbers) and ``word`` (of 64 numbers in it, those that have a shop) the shops
     in stock and all shops as bits of a long, the lowest price in stock, and the last time: never more rows than observations, each of a few bytes, however few
-    shops a day has. ``number`` is a shop's whole number, 0 or more. Rows without a number count for prices and times only."""
+    shops a day has. ``number`` is a shop's whole number, 0 or more. Rows without a number count for prices and times only. Rows are dealt out before they are
+    aggregated: a product's day has few of them, so that a scan's task would fill and spill a table of nearly all its rows, to send as many."""
     place = F.bitmap_bit_position(number)
     bit = F.expr("shiftleft(1L, CAST(_place % 64 AS INT))")
-    placed = observed.withColumn("_place", place)
-    return placed.groupBy(*keys, local_day(F.col(ts), zone).alias("day"), F.coalesce(F.bitmap_bucket_number(number), F.lit(1)).alias("bucket"), F.coalesce(F.floor(F.col("_place") / 64), F.lit(0)).cast("int").alias("word")).agg(
-        F.coalesce(F.bit_or(F.when(in_stock, bit)), F.lit(0)).cast("long").alias("in_stock"), F.coalesce(F.bit_or(bit), F.lit(0)).cast("long").alias("shops"),
-        F.min(F.when(in_stock, F.col(price))).alias("lowest_price"), F.max(ts).alias("last_seen"),
+    cells = [*keys, "day", "bucket", "word"]
+    placed = observed.withColumn("_place", place).select(
+        *keys, local_day(F.col(ts), zone).alias("day"), F.coalesce(F.bitmap_bucket_number(number), F.lit(1)).alias("bucket"), F.coalesce(F.floor(F.col("_place") / 64), F.lit(0)).cast("int").alias("word"), "_place", in_stock.alias("_in_stock"), F.col(price).alias("_price"), F.col(ts).alias("_ts")
+    )
+    return placed.repartition(*cells).groupBy(*cells).agg(
+        F.coalesce(F.bit_or(F.when(F.col("_in_stock"), bit)), F.lit(0)).cast("long").alias("in_stock"), F.coalesce(F.bit_or(bit), F.lit(0)).cast("long").alias("shops"),
+        F.min(F.when(F.col("_in_stock"), F.col("_price"))).alias("lowest_price"), F.max("_ts").alias("last_seen"),
     )
 
 
 def rolled_up(daily: DataFrame, keys: list[Column]) -> DataFrame:
     """Daily bitmaps brought together to ``keys`` (of its columns, such as the key alone or its month): lowest price, shops in stock, all shops, last time; exact,
-    without the observations. Shops are counted word by word, so no row is expanded for distinct counts."""
+    without the observations. Shops are counted word by word, so no row is expanded for distinct counts. One exchange by ``keys`` serves both steps; a task keeps a key's words
+    (a 64th of its shops), not its days."""
     named = [k.alias(f"_k{i}") for i, k in enumerate(keys)]
     names = [f"_k{i}" for i in range(len(keys))]
-    parts = daily.select(*named, "bucket", "word", "in_stock", "shops", "lowest_price", "last_seen").groupBy(*names, "bucket", "word").agg(
+    parts = daily.select(*named, "bucket", "word", "in_stock", "shops", "lowest_price", "last_seen").repartition(*names).groupBy(*names, "bucket", "word").agg(
         F.bit_count(F.bit_or("in_stock")).alias("n_in_stock"), F.bit_count(F.bit_or("shops")).alias("n_shops"), F.min("lowest_price").alias("lowest_price"), F.max("last_seen").alias("last_seen")
     )
     whole = parts.groupBy(*names).agg(
