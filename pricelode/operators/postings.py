@@ -11,6 +11,8 @@ fields in the form in which they are verified); an empty table gives no candidat
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,10 +48,16 @@ def _folder(gram: Column) -> Column:
 
 
 def _pairs(rows: DataFrame, product: str, fields: list[Column], block: int) -> DataFrame:
-    """(product, block, gram) of all rows. A file of a few MB, one task, may hold millions of them, so pieces of blocks are dealt out before grams are cut."""
-    every = F.array_distinct(F.concat(*(_grams(F.coalesce(f, F.lit(""))) for f in fields)))
+    """(product, block, gram) of all rows. A file of a few MB, one task, may hold millions of them, so pieces of blocks are dealt out before grams are cut. Texts are
+    columns of their own first, else each gram would make them again; a text within one before it has no grams of its own."""
     dealt = rows.repartition("block", F.floor(F.col(product) / max(1, block // PIECES)))
-    return dealt.select(F.col(product).cast("long").alias("product"), "block", F.explode(every).alias("gram"))
+    names = [f"_text{i}" for i in range(len(fields))]
+    texts = dealt.select(F.col(product).cast("long").alias("product"), "block", *(F.coalesce(f, F.lit("")).alias(n) for f, n in zip(fields, names, strict=True)))
+    own = [_grams(F.col(names[0]))]
+    for i, name in enumerate(names[1:], 1):
+        within = reduce(Column.__or__, (F.contains(F.col(x), F.col(name)) for x in names[:i]))
+        own.append(F.when(~within, _grams(F.col(name))).otherwise(F.array().cast("array<string>")))
+    return texts.select("product", "block", F.explode(F.array_distinct(F.concat(*own))).alias("gram"))
 
 
 def build(products: DataFrame, path: str, product: str, fields: list[Column], block: int = BLOCK) -> None:
