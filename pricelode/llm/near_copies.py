@@ -1,8 +1,9 @@
 """Near-duplicates: texts whose sets of five-word shingles have a Jaccard similarity of ``SIMILARITY`` or more.
 
-One rule decides every link: the exact similarity of both sets (of 64-bit hashes). Candidates come from the
-SimHash search (fingerprints of word pairs that differ in at most ``PROBE_TAU`` bits, by the generalised pigeonhole principle) and from
-``BANDS`` bands of smallest hashes: whatever the edits are, (1 - 0.8 ** 4) ** 20 = 0.003 % of the pairs at 0.8 share none. Sketches of 256 bits
+One rule decides every link: the exact similarity of both sets (of 64-bit hashes). Candidates come from
+``BANDS`` bands of smallest hashes: whatever the edits are, (1 - 0.8 ** 3) ** 24 = 0.000003 % of the pairs at 0.8 share none; and from the
+SimHash search (fingerprints of word pairs that differ in at most ``PROBE_TAU`` bits, by the generalised pigeonhole principle). The probe is as narrow as in
+``simhash``: a wide one has buckets of few bits, whose comparisons grow with the square of the nodes. Sketches of 256 bits
 only reject early: at the similarity asked for, the bits that differ are expected to be some 39, and pairs over
 ``most_bits`` (five standard deviations more) aren't looked at.
 
@@ -27,15 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pricelode.llm.common import checkpointed, slices, small_batches, spread_join, written
-from pricelode.llm.simhash import SEED, Nodes, Plan, bit_sums, components, majority, nodes_of, of_buckets, plan_search, run_numbers, shingle_hashes_of, visits
+from pricelode.llm.common import checkpointed, slices, small_batches, spread_join, word_array, written
+from pricelode.llm.simhash import SEED, TAU, Nodes, Plan, bit_sums, components, hash_spans, majority, nodes_of, of_buckets, plan_search, run_numbers, visits
 
 SHINGLE = 5
 SIMILARITY = 0.8
 PROBE_SHINGLE = 2
-PROBE_TAU = 10
+PROBE_TAU = TAU
 SKETCH_WORDS = 4
-BANDS, BAND_ROWS = 20, 4
+BANDS, BAND_ROWS = 24, 3
 FIRST_BAND = 1000
 #: Sets of so few shingles have sketches that say less; they are allowed as many bits as FEW_BITS.
 FEW_SHINGLES = 20
@@ -46,6 +47,35 @@ FEW = 32
 CHUNK = 512
 
 
+#: Factors of a shingle's words by their places.
+_PLACES = np.array([0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5], np.uint64)
+
+
+def word_shingles(texts: pa.Array, shingles: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length of shingles a 64-bit hash of every shingle, and where each text's begin (a text with fewer words has one, of all of them). Words are
+    hashed once each; a shingle adds up the hashes of its words, each times the factor of its place."""
+    flat, first = word_array(texts, lower=True)
+    at = np.frombuffer(flat.buffers()[1], np.int32).astype(np.int64)
+    raw = np.frombuffer(flat.buffers()[2], np.uint8) if flat.buffers()[2] else np.zeros(0, np.uint8)
+    word, count, out = hash_spans(raw, at[:-1], at[1:]), np.diff(first), []
+    for shingle in shingles:
+        own = np.where(count >= shingle, count - shingle + 1, np.minimum(count, 1))
+        runs = np.zeros(len(count) + 1, np.int64)
+        np.cumsum(own, out=runs[1:])
+        lead = np.repeat(first[:-1] - runs[:-1], own) + np.arange(runs[-1])
+        made = word[lead] * _PLACES[0]
+        few = np.flatnonzero(np.repeat(count < shingle, own))
+        left = np.repeat(count, own)[few]
+        for k in range(1, shingle):
+            # a short text's place behind its last word adds nothing
+            more = word[np.minimum(lead + k, len(word) - 1)] * _PLACES[k]
+            more[few[left <= k]] = 0
+            made += more
+        made = (made ^ (made >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        out.append((made ^ (made >> np.uint64(32)), runs))
+    return out
+
+
 def shingle_sets(made: np.ndarray, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different hashes of each run, sorted, one run after the other, and where each begins."""
     sets = [np.unique(made[i:j]) for i, j in zip(runs[:-1], runs[1:], strict=True)]
@@ -159,6 +189,21 @@ def _walk(nodes: Nodes, rows: np.ndarray, similarity: float) -> Iterator[tuple[i
             front, rest = rest[taken], rest[~taken]
 
 
+#: Rows that are compared with all others of a bucket at once.
+AT_ONCE = 128
+
+
+def _met(fp: np.ndarray) -> np.ndarray:
+    """Which fingerprints have another one within PROBE_TAU bits. Most of a large bucket have none, and aren't walked from."""
+    met = np.zeros(len(fp), bool)
+    for at in range(0, len(fp), AT_ONCE):
+        near = np.bitwise_count(fp[at : at + AT_ONCE, None] ^ fp[None, at:]) <= PROBE_TAU
+        np.fill_diagonal(near, False)
+        met[at : at + AT_ONCE] |= near.any(axis=1)
+        met[at:] |= near.any(axis=0)
+    return met
+
+
 def forest(group: np.ndarray, nodes: Nodes, similarity: float) -> Iterator[tuple[int, int]]:
     """Rows (parent, child) of a spanning forest of the candidates in each run of equal ``group``."""
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
@@ -176,7 +221,7 @@ def forest(group: np.ndarray, nodes: Nodes, similarity: float) -> Iterator[tuple
     for k in np.flatnonzero(size > FEW):
         run = np.arange(starts[k], starts[k] + size[k])
         if nodes.home[run].any():
-            yield from _walk(nodes, run, similarity)
+            yield from _walk(nodes, run[_met(nodes.fp[run])], similarity)
 
 
 def proposals(visited: DataFrame, similarity: float) -> DataFrame:
@@ -212,7 +257,7 @@ def sets_of(table: DataFrame, wanted: DataFrame) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                made, runs = shingle_sets(*shingle_hashes_of(part.column(1), (SHINGLE,))[0])
+                made, runs = shingle_sets(*word_shingles(part.column(1), (SHINGLE,))[0])
                 lists = pa.ListArray.from_arrays(pa.array(runs.astype(np.int32)), pa.array(made.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "items"])
 
@@ -298,7 +343,7 @@ def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         for batch in batches:
             for part in slices(batch, t):
                 texts = part.column(part.schema.get_field_index(t))
-                some, probe = shingle_hashes_of(texts, (SHINGLE, PROBE_SHINGLE))
+                some, probe = word_shingles(texts, (SHINGLE, PROBE_SHINGLE))
                 made, runs = shingle_sets(*some)
                 words = np.c_[sketches(made, runs), np.diff(runs).astype(np.uint64)]
                 more = [
