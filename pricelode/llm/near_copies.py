@@ -194,13 +194,17 @@ AT_ONCE = 128
 
 
 def _met(fp: np.ndarray) -> np.ndarray:
-    """Which fingerprints have another one within PROBE_TAU bits. Most of a large bucket have none, and aren't walked from."""
-    met = np.zeros(len(fp), bool)
+    """Which fingerprints have another one within PROBE_TAU bits. Most of a large bucket have none, and aren't walked from. A row that another one has met
+    before its turn isn't compared with all once more, so equal ones cost little."""
+    met, passed = np.zeros(len(fp), bool), np.zeros(0, np.int64)
     for at in range(0, len(fp), AT_ONCE):
-        near = np.bitwise_count(fp[at : at + AT_ONCE, None] ^ fp[None, at:]) <= PROBE_TAU
-        np.fill_diagonal(near, False)
-        met[at : at + AT_ONCE] |= near.any(axis=1)
-        met[at:] |= near.any(axis=0)
+        block = np.arange(at, min(at + AT_ONCE, len(fp)))
+        todo, others = block[~met[block]], np.r_[passed, np.arange(at, len(fp))]
+        near = np.bitwise_count(fp[todo, None] ^ fp[others]) <= PROBE_TAU
+        near &= todo[:, None] != others
+        passed = np.r_[passed, block[met[block]]]
+        met[todo] |= near.any(axis=1)
+        met[others[near.any(axis=0)]] = True
     return met
 
 

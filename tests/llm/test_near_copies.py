@@ -68,3 +68,14 @@ def test_large_buckets_leave_out_no_candidate():
     found = {frozenset(map(int, nodes.node[list(e)])) for e in near_copies.forest(np.zeros(300, np.int64), nodes, 0.8)}
     assert found == {frozenset((k + i, k + i + 1)) for k in range(0, 120, 3) for i in (0, 1)}
     assert near_copies._met(nodes.fp).sum() == 120
+
+
+def test_who_has_met_whom():
+    """Fingerprints in any order, with equal ones: as all pairs say."""
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 127, 128, 129, 700):
+        for bits in (5, 12, 20):
+            fp = rng.integers(0, 1 << bits, n, dtype=np.uint64) * np.uint64(0x9249249249249249)
+            far = np.bitwise_count(fp[:, None] ^ fp) > near_copies.PROBE_TAU
+            np.fill_diagonal(far, True)
+            assert (near_copies._met(fp) == ~far.all(axis=1)).all()
